@@ -233,9 +233,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text: str =
     tested = durable(pairs)
     links = durable(_verify(durable(_score(tested, classes, percent)), docs, k, percent, text))
     labels = connected_components(links)
-    slim = members.select("bucket", "id")
+    slim = members
     for turn in range(1, star_rounds + 1):
-        named = durable(slim.join(labels, "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label")).distinct())
+        named = durable(slim.select("bucket", "id").join(labels, "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label")).distinct())
         open_ = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("bucket")
         slim = durable(named.join(durable(open_), "bucket", "left_semi"))
         if turn < star_rounds:
@@ -254,7 +254,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text: str =
             continue
         found = durable(_verify(durable(_score(more, classes, percent)), docs, k, percent, text))
         tested = durable(tested.union(more))
-        slim = slim.select("bucket", "id")
         if not found.isEmpty():
             links = durable(links.union(found))
             labels = connected_components(links)
