@@ -7,8 +7,11 @@ Empty registers borrow from others by fixed random probing. Bands of compressed
 registers are grouped; within a group documents meet *representatives*, never
 each other pairwise; a pair goes on if its collision-corrected Jaccard estimate
 comes near the threshold, and is confirmed on the full sets. Groups that still
-span several components get further random representatives, and at last the few
-remaining cross-component pairs, so that no link between two groups is lost.
+span several components are gathered by their least component and compared in
+blocks of bounded size, sketches first, then full sets, across components only:
+pairs live inside a task and only found links leave it, at most one for two
+components, so that no link between two components is lost and no group's pairs
+are ever written out.
 
 At a similarity of 0.8 a pair shares no band with a probability below 5e-7.
 
@@ -40,8 +43,10 @@ REGISTERS = BANDS * ROWS
 #: Share of the hash's mantissa kept, in bits.
 MANTISSA = 10
 EMPTY = 0xFFFF
-#: How far below the threshold an estimate may lie: over six standard deviations.
-SLACK = 0.16
+#: How far below the threshold an estimate may lie: over four and a half standard deviations.
+SLACK = 0.11
+#: Bytes of sketches and sets in a block.
+BLOCK_BYTES = 4 << 20
 _PROBES = 400
 _U = np.uint64
 
@@ -188,37 +193,102 @@ def _score(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return y.select("a", "b", "n", "m", "s", "t").mapInPandas(run, "a long, b long").distinct()
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int, text: str) -> DataFrame:
-    """The pairs with 100 * intersection >= percent * union, counted on full sets.
-
-    Only texts that stand in a pair are shingled again, so full sets of the
-    other documents are never moved.
-    """
-    ids = durable(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct())
+def _sets(ids: DataFrame, docs: DataFrame, k: int, text: str) -> DataFrame:
+    """(doc_id, items, sketch) of the documents in ``ids`` alone, shingled anew, so that no others' sets are moved."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        probes = _probes()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in shingle_sets(b.column(1), k)], pa.binary())], ["doc_id", "items"])
+            found = shingle_sets(b.column(1), k)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([x.tobytes() for x in xs], pa.binary()) for xs in (found, sketches(found, probes)))], ["doc_id", "items", "sketch"])
+
+    full = docs.select(F.col("doc_id").cast("long"), F.col(text)).join(broadcast_if_small(ids), "doc_id", "left_semi").mapInArrow(sets, "doc_id long, items binary, sketch binary").where("length(items) > 0")
+    return durable(full.dropDuplicates())
+
 
-    full = docs.select(F.col("doc_id").cast("long"), F.col(text)).join(broadcast_if_small(ids), "doc_id", "left_semi").mapInArrow(sets, "doc_id long, items binary").where("length(items) > 0")
-    full = durable(full.dropDuplicates())
+def _similar(s: bytes, t: bytes, percent: int) -> bool:
+    """100 * intersection >= percent * union, of sorted sets."""
+    u = np.concatenate([np.frombuffer(s, _U), np.frombuffer(t, _U)])
+    u.sort(kind="stable")  # merges the two sorted runs
+    both = int((u[1:] == u[:-1]).sum())
+    return 100 * both >= percent * (len(u) - both)
+
+
+def _verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int, text: str) -> DataFrame:
+    """The pairs with 100 * intersection >= percent * union, counted on full sets."""
+    ids = durable(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct())
+    full = _sets(ids, docs, k, text)
     x = pairs.join(full.select(F.col("doc_id").alias("a"), F.col("items").alias("s")), "a")
     y = x.join(full.select(F.col("doc_id").alias("b"), F.col("items").alias("t")), "b")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            ok = []
-            for s, t in zip(p["s"], p["t"], strict=True):
-                u = np.concatenate([np.frombuffer(s, _U), np.frombuffer(t, _U)])
-                u.sort(kind="stable")  # merges the two sorted runs
-                both = int((u[1:] == u[:-1]).sum())
-                ok.append(100 * both >= percent * (len(u) - both))
+            ok = [_similar(x, y, percent) for x, y in zip(p["s"], p["t"], strict=True)]
             yield p.loc[np.array(ok, bool), ["a", "b"]]
 
     return y.select("a", "b", "s", "t").mapInPandas(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text", star_rounds: int = 4) -> DataFrame:
+def _compare(left: list[dict], right: list[dict], percent: int, parents: dict[int, int]) -> Iterator[tuple[int, int]]:
+    """Links between the components of two blocks, one for two components at most."""
+
+    def top(v: int) -> int:
+        while (p := parents.setdefault(v, v)) != v:
+            parents[v] = parents.setdefault(p, p)
+            v = parents[v]
+        return v
+
+    codes = np.frombuffer(b"".join(r["sketch"] for r in right), np.uint16).reshape(-1, REGISTERS)
+    size = np.array([len(r["items"]) / 8 for r in right])
+    label = np.array([r["label"] for r in right])
+    for x in left:
+        n = len(x["items"]) / 8
+        near = np.flatnonzero((label != x["label"]) & (100 * np.minimum(size, n) >= percent * np.maximum(size, n)))
+        if not len(near):
+            continue
+        e = estimate(codes[near], np.frombuffer(x["sketch"], np.uint16)[None], size[near], n)
+        for i in near[np.flatnonzero(e >= percent / 100 - SLACK)]:
+            y = right[i]
+            a, b = top(int(x["label"])), top(int(y["label"]))
+            if a != b and _similar(x["items"], y["items"], percent):
+                parents[max(a, b)] = min(a, b)
+                yield int(x["id"]), int(y["id"])
+
+
+def _across(members: DataFrame, labels: DataFrame, docs: DataFrame, k: int, percent: int, text: str) -> DataFrame:
+    """(a, b): links between components that share a bucket, found in blocks.
+
+    The buckets of one least component form a group, whose documents are dealt to
+    blocks of at most BLOCK_BYTES; those of the least component itself, often
+    nearly all, form blocks of their own, which need not meet each other.
+    """
+    named = durable(members.select("bucket", "id").join(labels, "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label")))
+    wide = durable(named.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("bucket", "least"))
+    rows = durable(named.join(wide, "bucket").select("least", "id", "label").distinct())
+    ids = durable(rows.select(F.col("id").alias("doc_id")).distinct())
+    full = _sets(ids, docs, k, text).withColumnRenamed("doc_id", "id")
+    rows = rows.join(full.select("id", F.length("items").alias("size")), "id").withColumn("own", F.col("label") == F.col("least"))
+    rows = durable(rows)
+    parts = durable(rows.groupBy("least", "own").agg(F.ceil(F.sum(F.col("size") + 2 * REGISTERS) / BLOCK_BYTES).alias("parts")))
+    cells = rows.join(parts, ["least", "own"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    cells = durable(cells.select("least", "own", "part", "label", "id")).join(full, "id")
+    blocks = durable(cells.groupBy("least", "own", "part").agg(F.collect_list(F.struct("id", "label", "sketch", "items")).alias("rows")))
+    other = blocks.select("least", F.col("own").alias("own2"), F.col("part").alias("part2"), F.col("rows").alias("rows2"))
+    tiles = blocks.where("NOT own").join(other, "least").where("own2 OR part2 >= part")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                found = list(_compare(b.column(0)[i].as_py(), b.column(1)[i].as_py(), percent, {}))
+                yield pa.RecordBatch.from_arrays([pa.array([p[j] for p in found], pa.int64()) for j in (0, 1)], ["a", "b"])
+
+    arrow_rows(docs.sparkSession, 4)  # two blocks in a row
+    links = durable(tiles.select("rows", "rows2").mapInArrow(run, "a long, b long"))
+    arrow_rows(docs.sparkSession)
+    return links
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id and kept (doc_id is the component's smallest)."""
     prints = durable(fingerprints(docs, k, text))
     # classes of equal sets: the smallest doc_id stands for all
@@ -229,34 +299,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text: str =
 
     groups = durable(_bands(classes).groupBy("bucket").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most"))
     members = durable(_bands(classes).join(groups, "bucket"))  # singletons, most of the rows, end here
-    pairs = members.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
-    tested = durable(pairs)
-    links = durable(_verify(durable(_score(tested, classes, percent)), docs, k, percent, text))
+    pairs = durable(members.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct())
+    links = durable(_verify(durable(_score(pairs, classes, percent)), docs, k, percent, text))
     labels = connected_components(links)
-    slim = members
-    for turn in range(1, star_rounds + 1):
-        named = durable(slim.select("bucket", "id").join(labels, "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label")).distinct())
-        open_ = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("bucket")
-        slim = durable(named.join(durable(open_), "bucket", "left_semi"))
-        if turn < star_rounds:
-            # another representative, drawn for each group, for all rows of other components
-            drawn = slim.groupBy("bucket").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "bucket", "id").alias("h"), F.col("id").alias("pick"), F.col("label").alias("pick_label"))).alias("r"))
-            drawn = durable(drawn.select("bucket", "r.pick", "r.pick_label"))
-            more = slim.join(drawn, "bucket").where("label <> pick_label").select(F.least("id", "pick").alias("a"), F.greatest("id", "pick").alias("b"))
-        else:
-            # what is left, across components only and whole
-            other = slim.select("bucket", F.col("id").alias("id2"), F.col("label").alias("label2"))
-            more = slim.join(other, "bucket").where("label < label2").select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
-        more = durable(more.distinct().join(tested, ["a", "b"], "left_anti"))
-        if more.isEmpty():
-            if turn == star_rounds:
-                break
-            continue
-        found = durable(_verify(durable(_score(more, classes, percent)), docs, k, percent, text))
-        tested = durable(tested.union(more))
-        if not found.isEmpty():
-            links = durable(links.union(found))
-            labels = connected_components(links)
+    more = _across(members, labels, docs, k, percent, text)
+    if not more.isEmpty():
+        # components as nodes: what was linked before stays linked
+        seen = labels.select(F.col("id").alias("a"), F.col("label").alias("b"))
+        labels = connected_components(seen.union(more))
     out = member.join(labels, member.rep == labels.id, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "rep", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
