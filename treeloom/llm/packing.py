@@ -18,6 +18,9 @@ table has no pieces. Sequence numbers hold the partition in the upper bits.
 
 from __future__ import annotations
 
+import re
+import sys
+import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,40 +35,85 @@ from treeloom.plans.sizing import arrow_rows
 _SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: What str.split() cuts at beyond that.
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
-_CACHE_WORDS = 200_000
+#: Words and letter runs that a worker remembers; the first ones seen, which are the frequent ones.
+_WORDS, _RUNS = 150_000, 300_000
+#: Letters that every Unicode version knows as such and that no normal form changes, then marks that form one run.
+_SIMPLE = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,;:!?#*$%&|]*)")
 
 
 class WordTokenizer:
     """Ids of texts by a tokenizer that never joins across white space.
 
-    Words (between white space) are tokenised once and remembered, as
-    little-endian 32-bit ids; a text's ids are those of its words in a row.
+    A text's ids are those of its words in a row, as little-endian 32-bit
+    integers. Frequent words are remembered. Of the others, those of letters and
+    closing marks fall into two runs, which the tokenizer splits as well; runs
+    are remembered and new ones tokenised many at a time. Any other word goes to
+    the tokenizer as it is.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        size = self.tokenizer.get_vocab_size()
+        self.closes = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.known: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {}
+
+    @classmethod
+    def shared(cls, path: str) -> WordTokenizer:
+        """One for each worker process, whatever the number of its tasks."""
+        home = sys.modules.setdefault("_treeloom_tokenizers", types.ModuleType("_treeloom_tokenizers")).__dict__
+        if path not in home:
+            home[path] = cls(path)
+        return home[path]
 
     def words(self, text: str) -> list[str]:
         if any(c in text for c in _ODD):
-            import re
-
             return re.findall(f"[^{_SPACES}]+", text)
         return text.split()
 
+    def _whole(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _tokenised(self, runs: list[str]) -> list[bytes]:
+        """Ids of runs, by way of one text: each run's last token closes a word."""
+        ids = np.array(self.tokenizer.encode(" ".join(runs), add_special_tokens=False).ids, "<u4")
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        if len(ends) != len(runs):
+            return self._whole(runs)
+        return [ids[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
     def encode(self, text: str) -> bytes:
         words, known = self.words(text), self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            if len(known) > _CACHE_WORDS:
-                known.clear()
-            new = list({w for w in words if w not in known})
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-            return b"".join([known[w] for w in words])
+        new = self._resolved(set(words).difference(known))
+        known.update(new)
+        out = b"".join(map(known.__getitem__, words))
+        if len(known) > _WORDS:  # full: the newcomers leave again
+            for w in new:
+                del known[w]
+        return out
+
+    def _resolved(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of words that are not remembered."""
+        runs, out, pairs, rest = self.runs, {}, [], []
+        for w in words:
+            if m := _SIMPLE.fullmatch(w):
+                pairs.append((w, m[1].lower(), m[2]))
+            else:
+                rest.append(w)
+        fresh = list({r for _, a, b in pairs for r in (a, b)}.difference(runs, ("",)))
+        if fresh:
+            got = dict(zip(fresh, self._tokenised(fresh), strict=True))
+            runs.update(got)
+        for w, a, b in pairs:
+            out[w] = runs[a] + runs[b] if b else runs[a]
+        if fresh and len(runs) > _RUNS:
+            for r in fresh:
+                del runs[r]
+        if rest:
+            out.update(zip(rest, self._whole(rest), strict=True))
+        return out
 
 
 class Packer:
@@ -123,7 +171,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 40
-        encode = WordTokenizer(tokenizer_path).encode
+        encode = WordTokenizer.shared(tokenizer_path).encode
         end = np.array([end_id], "<u4").tobytes()
         packer = Packer(capacity, balance)
 
