@@ -70,7 +70,7 @@ class Model:
         return cls(Tree([int(p) for p in row["parent"]], [n or None for n in row["label"]], [float(x) for x in row["length"]]), listed(row["names"]), listed(row["seqs"]), row["root"], listed(row["vocab"]))
 
     def tables(self, placement: str) -> list[np.ndarray]:
-        """Score tables (5 * sites, edges): a query's score on an edge is its one-hot row times the best of them."""
+        """Score tables (sites, states, edges): a query's score on an edge sums its states' entries, in the best of them."""
         sets = parsimony.state_sets([*self.seqs, self.root])
         leaf = dict(zip(self.names, sets[:-1], strict=True))
         if placement == "MP":
@@ -79,10 +79,10 @@ class Model:
             miss = np.zeros((*edge.shape, 5), np.float32)
             for k in range(4):
                 miss[..., k] = (edge & np.uint8(1 << k)) == 0
-            return [-miss.reshape(len(edge), -1).T]
+            return [np.ascontiguousarray(-miss.transpose(1, 2, 0))]
         tips = {n: likelihood.tips(s) for n, s in leaf.items()}
         out = likelihood.attachment_table(self.tree, tips, likelihood.tips(sets[-1]))
-        return [t.reshape(t.shape[0], -1).T for t in out]
+        return [np.ascontiguousarray(t.transpose(1, 2, 0)) for t in out]
 
 
 _STATE = np.full(256, 4, np.int64)
@@ -117,12 +117,12 @@ class Placer:
     def scores(self, seqs: list[str]) -> np.ndarray:
         sites = len(self.model.root)
         codes = _STATE[np.frombuffer("".join(seqs).encode(), np.uint8).reshape(len(seqs), sites)]
-        hot = np.zeros((len(seqs), sites, 5), self.tables[0].dtype)
-        np.put_along_axis(hot, codes[..., None], 1, axis=2)
-        hot = hot.reshape(len(seqs), -1)
-        out = hot @ self.tables[0]
-        for t in self.tables[1:]:
-            np.maximum(out, hot @ t, out=out)
+        out = None
+        for table in self.tables:  # gathered site by site: a matrix product would start threads of its own in every worker
+            total = np.zeros((len(seqs), table.shape[2]), table.dtype)
+            for s in range(sites):
+                total += table[s][codes[:, s]]
+            out = total if out is None else np.maximum(out, total, out=out)
         return out
 
     def best(self, names: list[str], seqs: list[str]) -> list[int]:

@@ -37,12 +37,14 @@ def newick_of(edges: DataFrame, lengths: bool = True) -> DataFrame:
     """(tree_id, newick) of EDGES (S7): one tree for each task; for trees of samples, not for a whole result."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node_id")
+        pdf = pdf.iloc[[i for i, _ in sorted(enumerate(pdf["node_id"]), key=lambda x: int(x[1]))]]
         at = {n: i for i, n in enumerate(pdf["node_id"])}
-        t = Tree([at[int(p)] if pd.notna(p) else -1 for p in pdf["parent_id"]], [None if pd.isna(x) else x for x in pdf["name"]], [float(x or 0) for x in pdf["branch_length"].fillna(0)])
+        t = Tree([at[p] if pd.notna(p) else -1 for p in pdf["parent_id"]], [None if pd.isna(x) else x for x in pdf["name"]], [float(x or 0) for x in pdf["branch_length"].fillna(0)])
         return pd.DataFrame({"tree_id": [pdf["tree_id"].iloc[0]], "newick": [to_newick(t, lengths)]})
 
-    return edges.groupBy("tree_id").applyInPandas(run, "tree_id long, newick string")
+    # ids as text: a nullable 64-bit column would become one of floats
+    rows = edges.withColumns({c: F.col(c).cast("string") for c in ("node_id", "parent_id")})
+    return rows.groupBy("tree_id").applyInPandas(run, "tree_id long, newick string")
 
 
 def read_newick(spark: SparkSession, path: str) -> DataFrame:
