@@ -122,7 +122,7 @@ def _with_root(spark: SparkSession, rows: DataFrame) -> DataFrame:
 @query("lineage_full")
 def lineage_full(spark: SparkSession, d: str) -> DataFrame:
     """The whole engine over all sequences: the node table."""
-    out = reconstruct(_with_root(spark, views.sequences(spark, d)), LineageConfig(method="nj", placement="MP", subsample=100, threshold=200, max_rounds=3, max_clades=10**9, unresolved="polytomy"))
+    out = reconstruct(_with_root(spark, views.sequences(spark, d)), LineageConfig(method="nj", placement="MP", subsample=200, threshold=480, max_rounds=3, max_clades=10**9, unresolved="polytomy"))
     return out.nodes.select("node", "parent", "name", F.round("length", 9).alias("length"))
 
 
@@ -130,12 +130,12 @@ def lineage_full(spark: SparkSession, d: str) -> DataFrame:
 def lineage_edits(spark: SparkSession, d: str) -> DataFrame:
     """The whole engine in edit mode (E3): users by their kinds of events."""
     taxa = views.user_edits(spark, d).groupBy("name").agg(F.sort_array(F.collect_set("edit")).alias("edits"))
-    out = reconstruct(taxa, LineageConfig(edits=True, placement="MP", subsample=100, threshold=200, max_rounds=3, max_clades=10**9, unresolved="polytomy"))
+    out = reconstruct(taxa, LineageConfig(edits=True, placement="MP", subsample=60, threshold=120, max_rounds=3, max_clades=10**9, unresolved="polytomy"))
     return out.nodes.select("node", "parent", "name", F.round("length", 9).alias("length"))
 
 
 @query("lineage_discarded")
 def lineage_discarded(spark: SparkSession, d: str) -> DataFrame:
     """What the default settings leave out, and why."""
-    out = reconstruct(_with_root(spark, views.sequences(spark, d)), LineageConfig(method="nj", placement="MP", subsample=100, threshold=200, max_rounds=3, max_clades=10**9))
+    out = reconstruct(_with_root(spark, views.sequences(spark, d)), LineageConfig(method="nj", placement="MP", subsample=200, threshold=480, max_rounds=3, max_clades=10**9))
     return out.discarded.groupBy("reason").agg(F.count("*").alias("n"))

@@ -28,5 +28,14 @@ def durable(df: DataFrame) -> DataFrame:
     Unlike a local checkpoint the files outlive any executor, so a lost node
     costs a re-read, not a failed job.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    # A checkpoint hands its plan's inferred constraints on to every plan above it.
+    # Over the rounds of a loop they multiply until planning takes all the time.
+    key = "spark.sql.constraintPropagation.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(key, before)

@@ -13,6 +13,7 @@ a later step reads again is cut off in the shared folder.
 
 from __future__ import annotations
 
+import logging
 import math
 import time
 from collections.abc import Iterator
@@ -31,6 +32,8 @@ from treeloom.plans.durable import durable
 from treeloom.plans.sizing import arrow_rows, broadcast_if_small
 from treeloom.sources.trees import NEWICK_NODES, tree_from_rows
 
+_log = logging.getLogger(__name__)
+
 NODES = "node string, parent string, name string, length double"
 _MODEL = "clade_id long, parent array<int>, label array<string>, length array<double>, names array<string>, seqs array<string>, root string, vocab array<string>, error string"
 #: Bytes of sample trees that may be broadcast; beyond, rows and models meet in salted groups.
@@ -289,6 +292,7 @@ def reconstruct(taxa: DataFrame, config: LineageConfig | None = None) -> Lineage
             lost.append(stuck.select("clade_id", "name", F.lit("unresolved").alias("reason")))
         frontier = durable(following.select(*frontier.columns))
         metrics[-1]["seconds"] = time.time() - began
+        _log.info("%s", metrics[-1])
     return _assemble(nodes, lost, twins, taxa, metrics)
 
 
