@@ -344,6 +344,33 @@ def test_html_extraction(wrap):
     assert html_extract.main_text(PAGE.format(main=wrap.format(BODY))) == TEXT
 
 
+LONG = [" ".join(f"{w}{i}" for i in range(90)) for w in ("alpha", "beta", "gamma")]
+BODY_DIV = "<div id=text><h1>Title</h1>" + "".join(f"<p>{x}</p>" for x in LONG) + "</div>"
+BODY_TEXT = "\n".join(["Title", *LONG])
+CLUTTER = "<div><p><b>1</b><i>2</i><b>3</b><i>4</i><b>5</b></p><p><b>6</b><i>7</i><b>8</b><i>9</i></p><p><b>a</b><i>b</i><b>c</b></p></div>"
+
+
+@pytest.mark.parametrize("page", [
+    "<article><h2>Other story</h2><p>A teaser of one line.</p></article>" + BODY_DIV,  # a teaser does not hide the text
+    BODY_DIV + "<article><h2>Other story</h2><p>A teaser of one line.</p></article>",
+    "<div>Unmarked line</div><article>" + BODY_DIV + "</article><div>Unmarked line</div>",
+    "<div>Unmarked line</div><article><h1>Title</h1><div>" + "".join(f"<p>{x}</p>" for x in LONG) + "</div></article>",
+])
+def test_html_ratio_decides_with_articles(page):
+    assert html_extract.main_text(f"<html><body>{page}</body></html>") == BODY_TEXT
+
+
+def test_html_clutter_in_an_article_is_weighed():
+    got = html_extract.main_text(f"<article>{BODY_DIV}{CLUTTER}</article>")
+    assert got.startswith(BODY_TEXT) and not any(x in got for x in ("6789", "abc"))  # smoothing carries one line over the end
+
+
+def test_html_linked_line_inside_the_text():
+    line = '<p>See <a href=x>the long title of a source that the text names</a>.</p>'
+    page = f"<article><p>{LONG[0]}</p>{line}<p>{LONG[1]}</p>" + "<p><a href=x>More stories</a></p>" * 9 + "</article>"
+    assert html_extract.main_text(page) == "\n".join([LONG[0], "See the long title of a source that the text names.", LONG[1]])
+
+
 def test_html_of_odd_pages(spark):
     rows = [(1, None), (2, ""), (3, "plain &lt;text&gt;"), (4, "<p>a<p>b</div></div>c"), (5, "<nav>menu<article><p>kept"), (6, "<p>x &#xD800; y"), (6, "<p>x &#xD800; y"), (7, "<div>" * 3000 + "deep")]
     got = html_extract.extract(spark.createDataFrame([(i, "u", h, 1) for i, h in rows], "page_id long, url string, html string, text int"))

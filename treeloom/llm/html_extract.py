@@ -6,8 +6,11 @@ footers, sidebars, notices, adverts, forms, comments of readers) are passed
 over. A line's ratio is its text outside links over its tags; ratios are
 smoothed by a Gaussian along the page and lines above a threshold, a share of
 their spread, form clusters. The content region is the innermost container that
-holds most of the clustered text (a page's article or main element, where one is
-given), from end to end, without its lines of links.
+holds most of the clustered text of all lines, from end to end; text in an
+article or main element counts MAIN_WEIGHT times in that choice and decides
+nothing else. Where the container lies inside such an element, the element's
+headings and other clustered lines belong to the region too. Short lines of
+links are left out where their run reaches beyond the clusters.
 
 Defined results: a null page is empty; a page without text gives "". Character
 references are decoded, white space inside a block becomes one space, blocks are
@@ -22,6 +25,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html.parser import HTMLParser
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +45,11 @@ MARKS = frozenset(
 )
 #: A header mark counts outside the article only.
 TOP_MARKS = frozenset("header head hero topnav".split())
+#: Elements that can be the content region, and headings.
+HOLDERS = frozenset("article blockquote body center div main section td".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: How often clustered text in an article or main element counts in the choice of container.
+MAIN_WEIGHT = 2
 _NEGATED = frozenset("with has no without".split())
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
@@ -50,8 +59,9 @@ class Line:
     text: str
     linked: int
     tags: int
-    path: tuple[int, ...]
-    main: bool
+    path: tuple[int, ...]  # numbers of the open containers
+    main: int  # number of the innermost article or main element, or 0
+    heading: bool
 
 
 def marked(attrs: list[tuple[str, str | None]], inside: bool) -> bool:
@@ -85,7 +95,8 @@ class Lines(HTMLParser):
     def flush(self) -> None:
         text = " ".join("".join(self.buffer).split())
         if text:
-            self.lines.append(Line(text, self.linked, self.tags, tuple(n for _, n in self.open), any(t in ("article", "main") for t, _ in self.open)))
+            main = max((n for t, n in self.open if t in ("article", "main")), default=0)
+            self.lines.append(Line(text, self.linked, self.tags, tuple(n for t, n in self.open if t in HOLDERS), main, any(t in HEADINGS for t, _ in self.open)))
         self.buffer, self.tags, self.linked = [], 0, 0
 
     def handle_starttag(self, tag, attrs):
@@ -157,25 +168,30 @@ def smoothed(ratios: np.ndarray, sigma: float) -> np.ndarray:
 
 def select(lines: list[Line], sigma: float = 1.0, share: float = 0.35) -> list[Line]:
     """The lines of the content region."""
-    pool = [x for x in lines if x.main] or lines
-    if not pool:
+    if not lines:
         return []
-    size = np.array([len(x.text) for x in pool], float)
-    plain = size - np.minimum(size, [x.linked for x in pool])
-    wave = smoothed(plain / (1 + np.array([x.tags for x in pool])), sigma)
-    chosen = wave >= share * min(wave.std(), wave.mean()) if len(pool) > 1 else np.ones(1, bool)
+    size = np.array([len(x.text) for x in lines], float)
+    plain = size - np.minimum(size, [x.linked for x in lines])
+    wave = smoothed(plain / (1 + np.array([x.tags for x in lines])), sigma)
+    chosen = wave > 0
+    if len(lines) > 1:
+        chosen &= wave >= share * min(wave.std(), wave.mean())
+    counted = plain * chosen * np.where([x.main > 0 for x in lines], MAIN_WEIGHT, 1)
     weight: dict[int, float] = {}
-    for x, s, c in zip(pool, plain, chosen, strict=True):
-        if c:
+    for x, s in zip(lines, counted, strict=True):
+        if s:
             for n in x.path:
                 weight[n] = weight.get(n, 0) + s
-    total = plain[chosen].sum()
-    if any(x.main for x in pool):
-        region = pool
-    else:
-        held = [n for n, s in weight.items() if s >= 0.8 * total]  # nested in each other, the largest number innermost
-        region = [x for x in pool if not held or max(held) in x.path]
-    return [x for x in region if not (len(x.text) < 200 and x.linked > 0.6 * len(x.text) and x.tags)]
+    held = [n for n, s in weight.items() if s >= 0.8 * counted.sum()]  # nested in each other, the largest number innermost
+    best = max(held, default=0)
+    frame = next((x.main for x in lines if best in x.path and x.main and x.main <= best), 0) if best else 0
+    region = [(x, c) for x, c in zip(lines, chosen, strict=True) if not best or best in x.path or (frame in x.path and (c or x.heading))]
+    out: list[Line] = []
+    for links, run in groupby(region, lambda v: len(v[0].text) < 200 and v[0].linked > 0.6 * len(v[0].text) and v[0].tags > 0):
+        rows = list(run)
+        if not links or all(c for _, c in rows):
+            out += [x for x, _ in rows]
+    return out
 
 
 def main_text(html: str | None) -> str:
