@@ -79,6 +79,25 @@ def test_license_scan(spark, make_docs):
     assert license_scan.scan_licenses(make_docs(rows).limit(0), license_scan.known_licenses(spark)).count() == 0
 
 
+@pytest.mark.parametrize("short", [True, False])
+def test_license_lines_without_the_word(spark, make_docs, monkeypatch, short):
+    monkeypatch.setattr(license_scan, "LIST_ROWS", 5_000 if short else 0)
+    isc = license_scan.TEXTS["ISC"][0]
+    known = license_scan.known_licenses(spark).union(spark.createDataFrame([("PD", "This work is in the public domain.")], "license_id string, text string"))
+    rows = [(1, "prose\n" + isc + "\nmore"), (2, "a\nthis work is in the PUBLIC domain\n\n" + isc), (2, "a\nthis work is in the PUBLIC domain\n\n" + isc), (3, "prose\n \nmore"), (4, None)]
+    got = sorted((r.doc_id, r._ls_notice, r._ls_notices) for r in license_scan.scan_licenses(make_docs(rows), known).collect())
+    assert got == [(1, "ISC", 1), (2, "ISC", 2), (2, "ISC", 2), (3, None, 0), (4, None, 0)]
+
+
+def test_whole_licenses(spark, make_docs):
+    mit, isc, bsd = license_scan.TEXTS["MIT"][0], license_scan.TEXTS["ISC"][0], license_scan.TEXTS["BSD-3-Clause"][0]
+    rows = [(1, "MIT License\n\nCopyright (c) 2020 Someone\n\n" + mit), (2, "ISC License\n\n" + isc), (3, "BSD 3-Clause License\n\nCopyright (c) 2020, A\nAll rights reserved.\n\n" + bsd)]
+    whole = ["Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "BSD-2-Clause"]
+    rows += [(4 + i, license_scan.TEXTS[k][0].upper()) for i, k in enumerate(whole)]
+    got = {r.doc_id: r._ls_license for r in license_scan.scan_licenses(make_docs(rows), license_scan.known_licenses(spark)).collect()}
+    assert [got[i] for i in sorted(got)] == ["MIT", "ISC", "BSD-3-Clause", *whole]
+
+
 # -- op3 -----------------------------------------------------------------------------
 
 

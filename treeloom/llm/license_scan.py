@@ -15,12 +15,14 @@ Defined results: a null text has no digest and no licence; a text whose form is
 empty has the digest of the empty form and no licence; equal texts get equal
 results; among several notices in a document the one of least id is reported and
 their number counted. Other columns are carried through (own ones start with
-``_ls_``). The list of known texts is a parameter and must be small: it is
-broadcast behind a count.
+``_ls_``). The list of known texts is a parameter of any size: up to LIST_ROWS
+it is broadcast behind a count, beyond that it is joined by shuffle.
 """
 
 from __future__ import annotations
 
+from importlib.resources import files
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,8 +34,8 @@ NOTICES = {
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
 }
-#: Whole licences.
-TEXTS = {
+#: Bodies of whole licences; those in the folder ``licenses`` are added.
+_BODIES = {
     "ISC": [
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
         'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'
@@ -44,6 +46,17 @@ TEXTS = {
         "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
     ],
 }
+#: Titles over the licences whose bodies have none.
+TITLES = {
+    "BSD-2-Clause": ["BSD 2-Clause License", 'BSD 2-Clause "Simplified" License', "The BSD 2-Clause License", "Simplified BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License', "The BSD 3-Clause License", "New BSD License"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)"],
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"],
+}
+_BODIES |= {p.name.removesuffix(".txt"): [p.read_text("utf-8")] for p in sorted(files("treeloom.llm.licenses").iterdir(), key=lambda p: p.name) if p.name.endswith(".txt")}
+_BODIES["ISC"] += [x.replace("and/or distribute", "and distribute") for x in _BODIES["ISC"]]
+#: Whole licences, bare and under their titles.
+TEXTS = {k: [*v, *(f"{t}\n{x}" for t in TITLES.get(k, []) for x in v)] for k, v in _BODIES.items()}
 #: Fixed values: (pattern, replacement), applied in this order after lower-casing.
 STEPS = [
     (r"(^|\n)[ \t]*((copyright|\(c\)|©)[^\n]*|all rights reserved[^\na-z]*)(?=\n|$)", "\n"),
@@ -54,9 +67,7 @@ STEPS = [
     (r"https?://", "https "),
     (r"[^0-9a-zß-öø-ÿ]+", " "),
 ]
-#: A line that starts some notice, or any line of a whole licence, has one of these words.
-_HINT = "(?i)licen[sc]e"
-#: Known texts (about 100 bytes each in the lookup) that the operator takes.
+#: Known texts (about 100 bytes each in the lookup) that are broadcast.
 LIST_ROWS = 5_000
 
 
@@ -79,19 +90,26 @@ def known_licenses(spark: SparkSession) -> DataFrame:
 def scan_licenses(docs: DataFrame, known: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with _ls_digest, _ls_license (whole text), _ls_notice (least id of a line's) and _ls_notices (number of such lines).
 
-    The whole text's digest meets the list in a broadcast hash join. Lines that
-    name a licence, few, are looked up in the same list as a hash map in the plan.
+    The whole text's digest meets the list in a hash join. Every line that is not
+    blank is looked up: of a short list, in a hash set in the plan; of a long
+    one, by a join of exploded line digests, counted by distinct text.
     """
     lists = known.where("text IS NOT NULL").select(digest(F.col("text")).alias("_ls_key"), "license_id", canonical_form(F.col("text")).alias("_ls_form")).where("_ls_form <> ''").groupBy("_ls_key").agg(F.min("license_id").alias("_ls_id"))
-    rows = lists.count()
-    if rows > LIST_ROWS:
-        raise ValueError(f"{rows} known licences; the line lookup takes {LIST_ROWS}")
-    lists = F.broadcast(lists)
+    short = lists.count() <= LIST_ROWS
+    lists = F.broadcast(lists) if short else lists
     whole = docs.withColumn("_ls_digest", digest(F.col(text)))
     out = whole.join(lists.withColumnsRenamed({"_ls_key": "_ls_k1", "_ls_id": "_ls_license"}), F.col("_ls_digest") == F.col("_ls_k1"), "left").drop("_ls_k1")
-    lines = F.filter(F.split(F.col(text), "\n"), lambda x: x.rlike(_HINT))
-    named = F.str_to_map(F.lit(",".join(f"{r._ls_key}:{r._ls_id}" for r in lists.collect())))  # folded to one literal map
-    out = out.withColumn("_ls_lines", F.when(F.col(text).rlike(_HINT), F.transform(lines, digest)).otherwise(F.array().cast("array<string>")))
-    out = out.withColumn("_ls_found", F.filter(F.transform("_ls_lines", lambda x: F.try_element_at(named, x)), lambda x: x.isNotNull()))
-    own = ["_ls_digest", "_ls_license", F.array_min("_ls_found").alias("_ls_notice"), F.coalesce(F.size("_ls_found"), F.lit(0)).cast("long").alias("_ls_notices")]
-    return out.select(*[F.col(c) for c in docs.columns], *own)
+    lines = F.filter(F.split(F.col(text), "\n"), lambda x: F.btrim(x) != "")
+    if short:
+        ids = {r._ls_key: r._ls_id for r in lists.collect()}
+        named = F.str_to_map(F.lit(",".join(f"{k}:{v}" for k, v in ids.items())))  # folded to one literal map, read for hits alone
+        hits = F.filter(F.transform(lines, digest), lambda x: x.isin(list(ids)))
+        out = out.withColumn("_ls_found", F.transform(hits, lambda x: F.try_element_at(named, x)))
+        found = [F.array_min("_ls_found").alias("_ls_notice"), F.coalesce(F.size("_ls_found"), F.lit(0)).cast("long").alias("_ls_notices")]
+    else:
+        key = F.sha2(F.col(text), 256)
+        each = docs.select(key.alias("_ls_text"), F.posexplode(lines).alias("_ls_at", "_ls_line")).select("_ls_text", "_ls_at", digest(F.col("_ls_line")).alias("_ls_key"))
+        met = each.join(lists, "_ls_key").select("_ls_text", "_ls_at", "_ls_id").distinct().groupBy("_ls_text").agg(F.min("_ls_id").alias("_ls_notice"), F.count("*").alias("_ls_n"))
+        out = out.withColumn("_ls_text", key).join(met, "_ls_text", "left")
+        found = ["_ls_notice", F.coalesce("_ls_n", F.lit(0)).cast("long").alias("_ls_notices")]
+    return out.select(*[F.col(c) for c in docs.columns], "_ls_digest", "_ls_license", *found)
