@@ -122,6 +122,13 @@ def components(rows, k, percent=80):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
+def test_near_duplicates_with_a_low_estimate(make_docs):
+    w = "w814834 w849322 w614630 w98507 w185580 w44064 w336777 w961897 w994677 w2289 w844306".split()
+    rows = [(1, " ".join(w[:10])), (2, " ".join(w[:9] + w[10:]))]  # 8 of 10 two-word shingles; their sketches say 0.687
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(make_docs(rows), k=2, percent=80).collect()}
+    assert got == components(rows, 2) == {1: (9, 1), 2: (9, 1)}
+
+
 @pytest.mark.parametrize("k", [2, 5])
 def test_near_duplicates_match_brute_force(make_docs, k):
     rng = random.Random(k)

