@@ -6,10 +6,10 @@ of the whole form is joined by hash to the digests of known texts. Each line is
 a text of its own as well, so that a notice inside a document is found by the
 same lookup; the whole document counts first.
 
-Equivalences run over words: "licence(s/d)" as "license", "sub-license" as
-"sublicense", "noncommercial" as "non commercial", "(c)" and the copyright sign
-as the word, "http" as "https". A copyright line starts with the word copyright
-or says "all rights reserved" and nothing else.
+Letters and digits of every script count, so that a notice beside Russian or
+Chinese prose is not taken for the whole text. Equivalent spellings are those of
+SPELLINGS. A copyright line starts with the word copyright, "(c)" or the sign,
+or says "all rights reserved" and no more.
 
 Defined results: a null text has no digest and no licence; a text whose form is
 empty has the digest of the empty form and no licence; equal texts get equal
@@ -57,25 +57,48 @@ _BODIES |= {p.name.removesuffix(".txt"): [p.read_text("utf-8")] for p in sorted(
 _BODIES["ISC"] += [x.replace("and/or distribute", "and distribute") for x in _BODIES["ISC"]]
 #: Whole licences, bare and under their titles.
 TEXTS = {k: [*v, *(f"{t}\n{x}" for t in TITLES.get(k, []) for x in v)] for k, v in _BODIES.items()}
-#: Fixed values: (pattern, replacement), applied in this order after lower-casing.
-STEPS = [
-    (r"(^|\n)[ \t]*((copyright|\(c\)|©)[^\n]*|all rights reserved[^\na-z]*)(?=\n|$)", "\n"),
-    (r"\(c\)|©", " copyright "),
-    (r"licence", "license"),
-    (r"sub-license", "sublicense"),
-    (r"non-?commercial", "non commercial"),
-    (r"https?://", "https "),
-    (r"[^0-9a-zß-öø-ÿ]+", " "),
+#: Equivalent spellings, replaced in this order after lower-casing.
+SPELLINGS = [
+    ("licence", "license"),
+    ("sub-license", "sublicense"),
+    ("sub license", "sublicense"),
+    ("non-commercial", "non commercial"),
+    ("noncommercial", "non commercial"),
+    ("copyright owner", "copyright holder"),
+    ("acknowledgement", "acknowledgment"),
+    ("authorisation", "authorization"),
+    ("authorised", "authorized"),
+    ("organisation", "organization"),
+    ("fulfilment", "fulfillment"),
+    ("judgement", "judgment"),
+    ("wilful", "willful"),
+    ("per cent", "percent"),
+    ("https://", "https "),
+    ("http://", "https "),
+    ("(c)", " copyright "),
+    ("©", " copyright "),
 ]
+#: A line that is a copyright notice (the first start, or the whole of the second), and what is neither letter, mark, digit nor line end.
+_COPYRIGHT_LINE = r"(?m)(?d)^[ \t]*(?:(?:copyright|\(c\)|©)[^\n]*|all rights reserved[^\n\p{L}]*)$"
+_OTHER = r"[^\p{L}\p{M}\p{N}\n]+"
 #: Known texts (about 100 bytes each in the lookup) that are broadcast.
 LIST_ROWS = 5_000
 
 
+def _by_line(text: Column) -> Column:
+    """The canonical form with its line ends, which the form of the whole text reads as blanks."""
+    out = F.regexp_replace(F.lower(text), _COPYRIGHT_LINE, "")
+    for a, b in SPELLINGS:
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return F.regexp_replace(out, _OTHER, " ")
+
+
+def _whole(by_line: Column) -> Column:
+    return F.btrim(F.regexp_replace(by_line, "[ \n]+", " "))
+
+
 def canonical_form(text: Column) -> Column:
-    out = F.lower(text)
-    for pattern, to in STEPS:
-        out = F.regexp_replace(out, pattern, to)
-    return F.btrim(out)
+    return _whole(_by_line(text))
 
 
 def digest(text: Column) -> Column:
@@ -97,18 +120,19 @@ def scan_licenses(docs: DataFrame, known: DataFrame, text: str = "text") -> Data
     lists = known.where("text IS NOT NULL").select(digest(F.col("text")).alias("_ls_key"), "license_id", canonical_form(F.col("text")).alias("_ls_form")).where("_ls_form <> ''").groupBy("_ls_key").agg(F.min("license_id").alias("_ls_id"))
     short = lists.count() <= LIST_ROWS
     lists = F.broadcast(lists) if short else lists
-    whole = docs.withColumn("_ls_digest", digest(F.col(text)))
+    # one canonical pass over a text serves its whole form and its lines
+    whole = docs.withColumn("_ls_lined", _by_line(F.col(text))).withColumn("_ls_digest", F.sha2(_whole(F.col("_ls_lined")), 256))
     out = whole.join(lists.withColumnsRenamed({"_ls_key": "_ls_k1", "_ls_id": "_ls_license"}), F.col("_ls_digest") == F.col("_ls_k1"), "left").drop("_ls_k1")
-    lines = F.filter(F.split(F.col(text), "\n"), lambda x: F.btrim(x) != "")
+    lines = F.filter(F.transform(F.split(F.col("_ls_lined"), "\n"), lambda x: F.btrim(x)), lambda x: x != "")
     if short:
         ids = {r._ls_key: r._ls_id for r in lists.collect()}
         named = F.str_to_map(F.lit(",".join(f"{k}:{v}" for k, v in ids.items())))  # folded to one literal map, read for hits alone
-        hits = F.filter(F.transform(lines, digest), lambda x: x.isin(list(ids)))
+        hits = F.filter(F.transform(lines, lambda x: F.sha2(x, 256)), lambda x: x.isin(list(ids)))
         out = out.withColumn("_ls_found", F.transform(hits, lambda x: F.try_element_at(named, x)))
         found = [F.array_min("_ls_found").alias("_ls_notice"), F.coalesce(F.size("_ls_found"), F.lit(0)).cast("long").alias("_ls_notices")]
     else:
         key = F.sha2(F.col(text), 256)
-        each = docs.select(key.alias("_ls_text"), F.posexplode(lines).alias("_ls_at", "_ls_line")).select("_ls_text", "_ls_at", digest(F.col("_ls_line")).alias("_ls_key"))
+        each = docs.select(key.alias("_ls_text"), _by_line(F.col(text)).alias("_ls_lined")).select("_ls_text", F.posexplode(lines).alias("_ls_at", "_ls_line")).select("_ls_text", "_ls_at", F.sha2("_ls_line", 256).alias("_ls_key"))
         met = each.join(lists, "_ls_key").select("_ls_text", "_ls_at", "_ls_id").distinct().groupBy("_ls_text").agg(F.min("_ls_id").alias("_ls_notice"), F.count("*").alias("_ls_n"))
         out = out.withColumn("_ls_text", key).join(met, "_ls_text", "left")
         found = ["_ls_notice", F.coalesce("_ls_n", F.lit(0)).cast("long").alias("_ls_notices")]

@@ -2,16 +2,16 @@
 
 For every site the pages that contain a line (at least once, compared without
 white space at its ends) are divided by the site's pages; lines above ``ratio``
-on at least ``min_pages`` pages are boilerplate and are dropped there, and only
-there. Pages of one site with equal texts count as one page on both sides of
-the fraction, so that a copied page does not turn its own lines to boilerplate.
+on at least ``min_pages`` pages (two: a line on one page repeats nothing) are
+boilerplate and are dropped there, and only there. Every row is a page, a copied
+one too.
 
 Built from DataFrame functions alone. Lines travel as 16-byte digests, counted
-map-side first; a line of a hot site spreads by page until the last count. A
+map-side first, so that a line of a hot site moves as one count for each task. A
 site has at most (lines per page / ratio) boilerplate lines, so that its list is
 one small row, broadcast behind a count, else joined by site.
 
-Defined results: a null text stays null and has no lines; a null site is a site
+Defined results: a null text stays null and is no page; a null site is a site
 of its own; blank lines are never dropped; a text of boilerplate only becomes
 empty, and its row stays; repeated rows are treated alike; other columns are
 carried through, whatever their names (the operator's own begin with ``_ld_``).
@@ -30,28 +30,38 @@ _BLANK = " \t\r\v\f"
 LIST_ROWS = 500_000
 
 
+def _site(site: Column | str) -> Column:
+    return F.col(site) if isinstance(site, str) else site
+
+
 def _key(line: Column) -> Column:
     return F.unhex(F.md5(F.btrim(line, F.lit(_BLANK))))
 
 
-def boilerplate(docs: DataFrame, site: str = "source", text: str = "text", ratio: float = 0.05, min_pages: int = 5) -> DataFrame:
+def _lines(text: Column) -> Column:
+    return F.split(text, "\n")
+
+
+def boilerplate(docs: DataFrame, site: Column | str = "source", text: str = "text", ratio: float = 0.1, min_pages: int = 2) -> DataFrame:
     """(_ld_site, _ld_key, _ld_pages, _ld_total) of every line to drop."""
-    pages = docs.where(F.col(text).isNotNull()).select(F.col(site).alias("_ld_site"), F.col(text).alias("_ld_text"))
-    total = pages.select("_ld_site", F.xxhash64("_ld_text").alias("_ld_page")).groupBy("_ld_site").agg(F.countDistinct("_ld_page").alias("_ld_total"))
-    keys = F.array_distinct(F.transform(F.filter(F.split("_ld_text", "\n"), lambda x: F.btrim(x, F.lit(_BLANK)) != ""), _key))
-    lines = pages.select("_ld_site", F.xxhash64("_ld_text").alias("_ld_page"), F.explode(keys).alias("_ld_key"))
-    counts = lines.groupBy("_ld_site", "_ld_key").agg(F.countDistinct("_ld_page").alias("_ld_pages")).where(F.col("_ld_pages") >= min_pages)
+    pages = docs.where(F.col(text).isNotNull()).select(_site(site).alias("_ld_site"), F.col(text).alias("_ld_text"))
+    total = pages.groupBy("_ld_site").agg(F.count("*").alias("_ld_total"))
+    keys = F.array_distinct(F.transform(F.filter(_lines(F.col("_ld_text")), lambda x: F.btrim(x, F.lit(_BLANK)) != ""), _key))
+    counts = pages.select("_ld_site", F.explode(keys).alias("_ld_key")).groupBy("_ld_site", "_ld_key").agg(F.count("*").alias("_ld_pages")).where(F.col("_ld_pages") >= min_pages)
     total = total.select(F.col("_ld_site").alias("_ld_of"), "_ld_total")
     return counts.join(broadcast_if_small(total, limit=LIST_ROWS), F.col("_ld_site").eqNullSafe(F.col("_ld_of"))).where(F.col("_ld_pages") > ratio * F.col("_ld_total")).drop("_ld_of")
 
 
-def dedup_lines(docs: DataFrame, site: str = "source", text: str = "text", ratio: float = 0.05, min_pages: int = 5) -> DataFrame:
-    """``docs`` with the boilerplate lines gone from ``text``, plus ``_ld_lines`` and ``_ld_dropped`` (long)."""
+def dedup_lines(docs: DataFrame, site: Column | str = "source", text: str = "text", ratio: float = 0.1, min_pages: int = 2) -> DataFrame:
+    """``docs`` with the boilerplate lines gone from ``text``, plus ``_ld_lines`` and ``_ld_dropped`` (long).
+
+    ``site``: a column or an expression, as ``url_filter.host_of(F.col("url"))``.
+    """
     found = durable(boilerplate(docs, site, text, ratio, min_pages))
     lists = found.groupBy(F.col("_ld_site").alias("_ld_of")).agg(F.collect_list("_ld_key").alias("_ld_drop"))
     lists = F.broadcast(lists) if found.count() <= LIST_ROWS else durable(lists)
-    out = docs.join(lists, F.col(site).eqNullSafe(F.col("_ld_of")), "left")
-    lines = F.split(F.col(text), "\n")
+    out = docs.join(lists, _site(site).eqNullSafe(F.col("_ld_of")), "left")
+    lines = _lines(F.col(text))
     left = F.when(F.col("_ld_drop").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains("_ld_drop", _key(x))))
     out = out.withColumn("_ld_left", left)
     return out.select(

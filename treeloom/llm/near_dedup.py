@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from treeloom.llm._text import FOLDED_VALUES, chunks, hasher, window_hashes, word_hashes, words
 from treeloom.plans.durable import durable
-from treeloom.plans.sizing import arrow_rows, broadcast_if_small
+from treeloom.plans.sizing import arrow_batches, arrow_rows, broadcast_if_small
 
 BANDS, ROWS = 48, 6
 REGISTERS = BANDS * ROWS
@@ -284,10 +284,8 @@ def _across(members: DataFrame, labels: DataFrame, docs: DataFrame, k: int, perc
                 found = list(_compare(b.column(0)[i].as_py(), b.column(1)[i].as_py(), percent, {}))
                 yield pa.RecordBatch.from_arrays([pa.array([p[j] for p in found], pa.int64()) for j in (0, 1)], ["a", "b"])
 
-    arrow_rows(docs.sparkSession, 4)  # two blocks in a row
-    links = durable(tiles.select("rows", "rows2").mapInArrow(run, "a long, b long"))
-    arrow_rows(docs.sparkSession)
-    return links
+    with arrow_batches(docs.sparkSession, 4):  # two blocks in a row
+        return durable(tiles.select("rows", "rows2").mapInArrow(run, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text") -> DataFrame:

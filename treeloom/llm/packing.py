@@ -18,6 +18,7 @@ table has no pieces. Sequence numbers hold the partition in the upper bits.
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 import types
@@ -41,8 +42,22 @@ _WORDS, _RUNS = 150_000, 300_000
 _SIMPLE = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,;:!?#*$%&|]*)")
 
 
+#: The settings that make a tokenizer one of words in lower case, each closed by its last token.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def by_words(settings: dict) -> bool:
+    """Whether a tokenizer's settings are those that WordTokenizer takes apart; any other is asked for whole texts."""
+    split = (settings.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    return (
+        (settings.get("normalizer") or {}).get("normalizers") == _NORMALIZERS and split[0].get("pattern") == {"Regex": _SPLIT} and split[0].get("behavior") == "Removed" and split[0].get("invert") is True
+        and [x.get("type") for x in split[1:]] == ["ByteLevel"] and not split[1].get("add_prefix_space") and (settings.get("model") or {}).get("end_of_word_suffix") == "</w>" and not settings.get("post_processor")
+    )
+
+
 class WordTokenizer:
-    """Ids of texts by a tokenizer that never joins across white space.
+    """Ids of texts, word by word where the tokenizer never joins across white space (``by_words``).
 
     A text's ids are those of its words in a row, as little-endian 32-bit
     integers. Frequent words are remembered. Of the others, those of letters and
@@ -55,6 +70,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.apart = by_words(json.loads(self.tokenizer.to_str()))
         size = self.tokenizer.get_vocab_size()
         self.closes = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.known: dict[str, bytes] = {}
@@ -85,6 +101,8 @@ class WordTokenizer:
         return [ids[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
     def encode(self, text: str) -> bytes:
+        if not self.apart:
+            return self._whole([text])[0]
         words, known = self.words(text), self.known
         new = self._resolved(set(words).difference(known))
         known.update(new)

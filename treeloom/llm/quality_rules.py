@@ -10,9 +10,9 @@ Defined results: a null text counts as empty; an empty text has zero for every
 statistic and fails the base rule; texts of any length are handled whole, in
 bounded chunks; with no labelled rows, or labels of one kind, the list is empty
 and only the base rule decides. A null doc_id is carried through. Repeated rows
-are judged separately and alike. Columns of ``docs`` other than the text are
-carried through, and a clash with a statistic's name is settled by the caller's
-choice of ``prefix``.
+are judged separately and alike. A document with contradictory labels has none.
+Columns of ``docs`` other than the text are carried through, whatever their names;
+the operator's own begin with ``prefix``, which no other may begin with.
 """
 
 from __future__ import annotations
@@ -120,13 +120,13 @@ def text_statistics(texts: pa.Array) -> dict[str, np.ndarray]:
     return {k: np.concatenate(v).astype(np.int64) if v else np.empty(0, np.int64) for k, v in parts.items()}
 
 
-def with_statistics(docs: DataFrame, text: str = "text", prefix: str = "", keep_text: bool = False) -> DataFrame:
+def with_statistics(docs: DataFrame, text: str = "text", prefix: str = "_qr_", keep_text: bool = False) -> DataFrame:
     """``docs`` with the STATISTICS of ``text``; the text itself only if asked for."""
     arrow_rows(docs.sparkSession)
     kept = [c for c in docs.columns if keep_text or c != text]
     names = [prefix + s for s in STATISTICS]
-    if clash := set(kept) & set(names):
-        raise ValueError(f"docs has columns {sorted(clash)}; choose another prefix")
+    if clash := [c for c in kept if c.startswith(prefix)]:
+        raise ValueError(f"docs has columns {clash}; choose another prefix")
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(n, T.LongType()) for n in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +153,7 @@ FEATURES = {
 }
 
 
-def feature_columns(prefix: str = "") -> dict[str, Column]:
+def feature_columns(prefix: str = "_qr_") -> dict[str, Column]:
     one = lambda n, d: F.col(prefix + n).cast("double") if d is None else F.col(prefix + n) / F.greatest(F.col(prefix + d), F.lit(1))
     return {k: one(*v) for k, v in FEATURES.items()}
 
@@ -248,7 +248,7 @@ def learn(x: pd.DataFrame, bad: np.ndarray, min_precision: float = 0.97, min_cov
     return rules
 
 
-def verdict(rules: list[list[Condition]], prefix: str = "") -> Column:
+def verdict(rules: list[list[Condition]], prefix: str = "_qr_") -> Column:
     """The list as one ordered conditional: the number (from 1) of the first rule that holds, else 0."""
     features, out = feature_columns(prefix), F.lit(0)
     for i in range(len(rules), 0, -1):
@@ -262,26 +262,27 @@ def verdict(rules: list[list[Condition]], prefix: str = "") -> Column:
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, text: str = "text", **how) -> list[list[Condition]]:
     """Learn from at most ``sample_rows`` labelled documents (those of smallest hash).
 
-    Only their statistics reach the driver. A missing or null label is no label.
+    Only their statistics reach the driver. A missing or null label is
+    no label, nor are two that differ.
     """
     picked = (
-        labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"), F.col("quality").alias("_quality")).dropDuplicates(["_id"])
+        labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("_quality"), F.max("quality").alias("_most")).where("_quality = _most").drop("_most")
         .orderBy(F.xxhash64(F.lit(11), "_id"), "_id").limit(sample_rows)
     )
-    rows = docs.select("doc_id", text).join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select("_id", "_quality", text)
+    rows = docs.select("doc_id", text).join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select(F.col("_id").alias("id"), F.col("_quality").alias("quality"), text)
     stats = with_statistics(rows, text, "_s_")
-    found = stats.where(~base_failed("_s_")).select("_id", "_quality", *[c.alias(k) for k, c in feature_columns("_s_").items()]).toPandas()
-    found = found.sort_values(["_id", *FEATURES]).reset_index(drop=True)  # the same order, and so the same list, at each run
-    return learn(found[list(FEATURES)], (found["_quality"] == 0).to_numpy(), **how)
+    found = stats.where(~base_failed("_s_")).select("id", "quality", *[c.alias(k) for k, c in feature_columns("_s_").items()]).toPandas()
+    found = found.sort_values(["id", *FEATURES]).reset_index(drop=True)  # the same order, and so the same list, at each run
+    return learn(found[list(FEATURES)], (found["quality"] == 0).to_numpy(), **how)
 
 
-def base_failed(prefix: str = "") -> Column:
+def base_failed(prefix: str = "_qr_") -> Column:
     """Under 50 words, or over half of the words in repeated three-word windows."""
     n = F.col(prefix + "n_words")
     return (n < 50) | (100 * F.col(prefix + "n_repeat_words") > 50 * n)
 
 
-def judge(docs: DataFrame, rules: list[list[Condition]], text: str = "text", keep_text: bool = False, prefix: str = "") -> DataFrame:
+def judge(docs: DataFrame, rules: list[list[Condition]], text: str = "text", keep_text: bool = False, prefix: str = "_qr_") -> DataFrame:
     """``docs`` with statistics, ``base_failed``, ``rule`` (0: none) and ``kept``, each with ``prefix``."""
     out = with_statistics(docs, text, prefix, keep_text)
     return out.withColumns({prefix + "base_failed": base_failed(prefix), prefix + "rule": verdict(rules, prefix)}).withColumn(prefix + "kept", ~F.col(prefix + "base_failed") & (F.col(prefix + "rule") == 0))

@@ -8,8 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-from treeloom.llm import decontaminate, html_extract, license_scan, line_dedup, near_dedup, packing, quality_rules, sharding, toxicity, url_filter
+from treeloom.llm import decontaminate, html_extract, license_scan, line_dedup, near_dedup, packing, quality_rules, sharding, stages, toxicity, url_filter
 
 #: Fixed values: (host, path, verdict).
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -58,27 +57,24 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op2_sql() -> str:
+    """Its own wording of the canonical form: lines first, copyright lines by their start, then letters, marks and digits."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    form = lambda x: f"trim({_replaced(x)})"
-
-    def _replaced(x: str) -> str:
-        out = f"lower({x})"
-        for k, (pattern, to) in enumerate(license_scan.STEPS):
-            if k == 0:  # RE2 has no look-ahead: the line's end is put back
-                pattern, to = r"(^|\n)[ \t]*(?:(?:copyright|\(c\)|©)[^\n]*|all rights reserved[^\na-z]*)$", r"\1"
-                out = f"array_to_string(list_transform(string_split({out}, chr(10)), lambda z: regexp_replace(z, {quote(pattern)}, '')), chr(10))"
-            else:
-                out = f"regexp_replace({out}, {quote(pattern)}, {quote(to)}, 'g')"
-        return out
+
+    def line_form(x: str) -> str:
+        out = f"CASE WHEN regexp_matches({x}, '^[ \\t]*(copyright|\\(c\\)|©|all rights reserved[^\\pL]*$)') THEN '' ELSE {x} END"
+        for a, b in license_scan.SPELLINGS:
+            out = f"replace({out}, {quote(a)}, {quote(b)})"
+        return f"trim(regexp_replace({out}, '[^\\pL\\pM\\pN]+', ' ', 'g'))"
 
     known = ", ".join(f"({quote(k)}, {quote(t)})" for table in (license_scan.NOTICES, license_scan.TEXTS) for k, ts in table.items() for t in ts)
+    forms = f"list_filter(list_transform(string_split(lower(text), chr(10)), lambda x: {line_form('x')}), lambda x: x <> '')"
     return f"""
 WITH known(id, text) AS (VALUES {known}),
-lists AS (SELECT sha256({form("text")}) AS key, min(id) AS id FROM known GROUP BY 1),
-lines AS (SELECT doc_id, unnest(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '(?i)licen[sc]e'))) AS line FROM documents),
-found AS (SELECT doc_id, min(lists.id) AS notice_id, count(*) AS n FROM lines JOIN lists ON sha256({form("line")}) = lists.key GROUP BY doc_id)
-SELECT d.doc_id, d.digest, lists.id AS license_id, found.notice_id AS notice_id, CAST(coalesce(found.n, 0) AS BIGINT) AS n_notices
-FROM (SELECT doc_id, sha256({form("text")}) AS digest FROM documents) d LEFT JOIN lists ON d.digest = lists.key LEFT JOIN found ON d.doc_id = found.doc_id
+lists AS (SELECT sha256(array_to_string({forms}, ' ')) AS key, min(id) AS id FROM known GROUP BY 1),
+d AS (SELECT doc_id, {forms} AS forms FROM documents),
+found AS (SELECT doc_id, min(lists.id) AS notice_id, count(*) AS n FROM (SELECT doc_id, sha256(unnest(forms)) AS key FROM d) f JOIN lists ON f.key = lists.key GROUP BY doc_id)
+SELECT w.doc_id, w.digest, lists.id AS license_id, found.notice_id AS notice_id, CAST(coalesce(found.n, 0) AS BIGINT) AS n_notices
+FROM (SELECT doc_id, sha256(array_to_string(forms, ' ')) AS digest FROM d) w LEFT JOIN lists ON w.digest = lists.key LEFT JOIN found ON w.doc_id = found.doc_id
 """
 
 
@@ -100,9 +96,9 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP5_SQL = r"""
 WITH d AS (SELECT doc_id, source, text, list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13) || chr(11) || chr(12))) AS keys FROM documents),
-total AS (SELECT source, count(DISTINCT text) AS n FROM d WHERE text IS NOT NULL GROUP BY source),
-counts AS (SELECT source, line, count(DISTINCT text) AS pages FROM (SELECT source, text, unnest(keys) AS line FROM d WHERE text IS NOT NULL) WHERE line <> '' GROUP BY source, line),
-gone AS (SELECT c.source, list(c.line) AS lines FROM counts c JOIN total t ON c.source IS NOT DISTINCT FROM t.source WHERE pages >= 5 AND pages > 0.05 * n GROUP BY c.source),
+total AS (SELECT source, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY source),
+counts AS (SELECT source, line, count(*) AS pages FROM (SELECT source, unnest(list_distinct(keys)) AS line FROM d WHERE text IS NOT NULL) WHERE line <> '' GROUP BY source, line),
+gone AS (SELECT c.source, list(c.line) AS lines FROM counts c JOIN total t ON c.source IS NOT DISTINCT FROM t.source WHERE pages >= 2 AND pages > 0.1 * n GROUP BY c.source),
 kept AS (
   SELECT doc_id, text, keys, CASE WHEN gone.lines IS NULL THEN string_split(text, chr(10)) ELSE list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(gone.lines, trim(x, ' ' || chr(9) || chr(13) || chr(11) || chr(12)))) END AS rest
   FROM d LEFT JOIN gone ON d.source IS NOT DISTINCT FROM gone.source
@@ -131,7 +127,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     rules = quality_rules.train(docs, _table(spark, sf_dir, "labels"))
     out = quality_rules.judge(docs, rules)
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+    return out.select("doc_id", *[F.col(f"_qr_{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")])
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,9 +144,9 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (op1_url_filter, op2_license_scan, op3_near_dedup, op4_decontaminate, op5_line_dedup, op6_packing, op7_sharding, op8_quality_rules, op9_toxicity, op10_html_extract)
-    return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in own} | {"pipeline": stages.run}
 
 
 def oracle_sql() -> dict[str, str]:
     out = {"op1_url_filter": OP1_SQL, "op2_license_scan": _op2_sql(), "op5_line_dedup": OP5_SQL}
-    return out | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return out | ({"pipeline": stages.ORACLE_SQL} if stages.ORACLE_SQL else {})

@@ -9,11 +9,12 @@ No source is sorted in one task. Seeded hashes spread every source over buckets;
 counts by (source, bucket) and their running sums, a small table, turn ranks
 within a bucket into ranks within the source, and the same is done once more for
 the global order over buckets of the fractional rank. At most MAX_BUCKETS
-buckets exist, whose running sum is one short window.
+buckets exist, whose running sum is one short window. Rows of one key, or
+without a key, share a hash: a bucket of over HOT_ROWS rows is dealt on by a
+salt, so that no key's rows are sorted in one task either.
 
 Defined results: a null source is a source of its own; null and empty texts are
-rows like others; equal keys and repeated rows take neighbouring ranks in some
-order; an empty table has no shards; fewer rows than shards leave shards empty.
+rows like others; equal keys and repeated rows take near ranks in some order; an empty table has no shards; fewer rows than shards leave shards empty.
 Columns of ``docs`` are carried through (own ones begin with ``_sh_``); select
 what is needed first, since rows travel twice.
 """
@@ -28,16 +29,18 @@ from treeloom.plans.durable import durable
 from treeloom.plans.sizing import broadcast_if_small
 
 BUCKET_ROWS, MAX_BUCKETS = 512, 65_536
+#: Rows of a source in one bucket beyond which it is dealt on.
+HOT_ROWS = 64 * BUCKET_ROWS
 
 
-def _running(counts: DataFrame, by: list[Column], bucket: str, n: str, out: str) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+def _running(counts: DataFrame, by: list[Column], bucket: list[str], n: str, out: str) -> DataFrame:
+    w = Window.partitionBy(*by).orderBy(*bucket).rowsBetween(Window.unboundedPreceding, -1)
     return counts.withColumn(out, F.coalesce(F.sum(n).over(w), F.lit(0)))
 
 
 def assign_shards(docs: DataFrame, shards: int = 16, source: str = "source", key: str = "doc_id", seed: int = 17) -> DataFrame:
     """``docs`` with _sh_rank (place in the whole order), _sh_shard and _sh_slot."""
-    rows = docs.withColumns({"_sh_source": F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("n")), "_sh_hash": F.xxhash64(F.lit(seed), F.col(key))})
+    rows = docs.withColumns({"_sh_source": F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("n")), "_sh_hash": F.xxhash64(F.lit(seed), F.col(key)), "_sh_salt": F.monotonically_increasing_id()})
     rows = durable(rows)
     total = rows.count()
     if not total:
@@ -46,16 +49,26 @@ def assign_shards(docs: DataFrame, shards: int = 16, source: str = "source", key
     bucket = F.pmod(F.shiftrightunsigned(F.col("_sh_hash"), 16), F.lit(buckets)).cast("int")
     rows = rows.withColumn("_sh_bucket", bucket)
     counts = durable(rows.groupBy("_sh_source", "_sh_bucket").agg(F.count("*").alias("_sh_n")))
+    rows = rows.withColumn("_sh_part", F.lit(0))
+    per = max(1, -(-total // buckets))
+    hot = counts.where(F.col("_sh_n") > max(HOT_ROWS, 64 * per))
+    if not hot.isEmpty():
+        parts = durable(hot.select("_sh_source", "_sh_bucket", F.ceil(F.col("_sh_n") / max(BUCKET_ROWS, per)).alias("_sh_parts")))
+        part = F.coalesce(F.pmod(F.xxhash64("_sh_salt"), F.col("_sh_parts")), F.lit(0)).cast("int")
+        rows = rows.drop("_sh_part").join(broadcast_if_small(parts), ["_sh_source", "_sh_bucket"], "left").withColumn("_sh_part", part).drop("_sh_parts")
+        counts = durable(rows.groupBy("_sh_source", "_sh_bucket", "_sh_part").agg(F.count("*").alias("_sh_n")))
+    else:
+        counts = counts.withColumn("_sh_part", F.lit(0))
     sizes = counts.groupBy("_sh_source").agg(F.sum("_sh_n").alias("_sh_of"))
-    before = durable(_running(counts, [F.col("_sh_source")], "_sh_bucket", "_sh_n", "_sh_before").join(sizes, "_sh_source").drop("_sh_n"))
-    local = F.row_number().over(Window.partitionBy("_sh_source", "_sh_bucket").orderBy("_sh_hash", F.col(key))) - 1
-    ranked = rows.withColumn("_sh_local", local).join(broadcast_if_small(before), ["_sh_source", "_sh_bucket"])
+    before = durable(_running(counts, [F.col("_sh_source")], ["_sh_bucket", "_sh_part"], "_sh_n", "_sh_before").join(sizes, "_sh_source").drop("_sh_n"))
+    local = F.row_number().over(Window.partitionBy("_sh_source", "_sh_bucket", "_sh_part").orderBy("_sh_hash", F.col(key), "_sh_salt")) - 1
+    ranked = rows.withColumn("_sh_local", local).join(broadcast_if_small(before), ["_sh_source", "_sh_bucket", "_sh_part"])
     fraction = (F.col("_sh_before") + F.col("_sh_local") + 0.5) / F.col("_sh_of")
-    ranked = ranked.withColumn("_sh_fraction", fraction).withColumn("_sh_bucket", F.least(F.floor(F.col("_sh_fraction") * buckets), F.lit(buckets - 1)).cast("int"))
+    ranked = ranked.withColumn("_sh_fraction", fraction).withColumn("_sh_spot", F.col("_sh_before") + F.col("_sh_local")).withColumn("_sh_bucket", F.least(F.floor(F.col("_sh_fraction") * buckets), F.lit(buckets - 1)).cast("int"))
     ranked = durable(ranked.drop("_sh_before", "_sh_of"))
     heads = ranked.groupBy("_sh_bucket").agg(F.count("*").alias("_sh_n"))
-    heads = durable(_running(heads, [F.lit(0)], "_sh_bucket", "_sh_n", "_sh_before").drop("_sh_n"))
-    local = F.row_number().over(Window.partitionBy("_sh_bucket").orderBy("_sh_fraction", "_sh_source", "_sh_local")) - 1
+    heads = durable(_running(heads, [F.lit(0)], ["_sh_bucket"], "_sh_n", "_sh_before").drop("_sh_n"))
+    local = F.row_number().over(Window.partitionBy("_sh_bucket").orderBy("_sh_fraction", "_sh_source", "_sh_spot")) - 1
     out = ranked.withColumn("_sh_local", local).join(F.broadcast(heads), "_sh_bucket")  # at most MAX_BUCKETS rows
     rank = (F.col("_sh_before") + F.col("_sh_local")).cast("long")
     out = out.withColumn("_sh_rank", rank).withColumn("_sh_shard", F.floor(F.col("_sh_rank") * shards / total).cast("int"))
