@@ -1,68 +1,8 @@
-"""From documents to packed training sequences, in five stages.
+"""From documents to packed training sequences: quality rules, line dedup, near-duplicates, decontamination, packing.
 
-Each stage reads what the stage before it wrote, whole, and returns a DataFrame;
-all but the last return the columns of documents. No stage can be expressed in
-SQL as a whole (learned rules, sketches, alignment and a tokenizer), so
-ORACLE_SQL is None and the tests hold the stages against brute force.
+The stages' code is part of the training-data subpackage.
 """
 
-from __future__ import annotations
+from treeloom.llm.stages import ORACLE_SQL, STAGES, run
 
-import uuid
-
-import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from treeloom.llm import decontaminate, line_dedup, near_dedup, packing, quality_rules
-from treeloom.plans.durable import durable, ensure_checkpoint_dir
-from treeloom.plans.sizing import broadcast_if_small
-
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
-
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rule or a learned rule go."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    judged = quality_rules.judge(docs, quality_rules.train(docs, labels), keep_text=True, prefix="_qr_")
-    return judged.where("_qr_kept").select(*COLUMNS)
-
-
-def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines of a source go; n_chars follows the text."""
-    out = line_dedup.dedup_lines(docs)
-    return out.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one of least doc_id (five-word shingles, similarity 0.8)."""
-    gone = durable(near_dedup.near_duplicates(docs, k=5, percent=80).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(broadcast_if_small(gone), docs.doc_id == gone["_gone"], "left_anti").select(*COLUMNS)
-
-
-def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a benchmark passage go."""
-    return decontaminate.drop_leaks(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-
-
-def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces in sequences of 2048."""
-    out = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=1)
-    return out.select("doc_id", "start", "length", F.crc32("token_ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
-
-
-STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("decontaminated", decontaminated), ("packed", packed)]
-
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; every stage but the last is written to the shared folder and read again."""
-    folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4()}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs.write.parquet(f"{folder}/{k}_{name}")
-            docs = spark.read.parquet(f"{folder}/{k}_{name}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]

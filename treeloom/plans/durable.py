@@ -9,14 +9,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The session's shared checkpoint folder.
 
     ``spark.checkpoint.dir`` wins. Where neither it nor a folder on the context
-    is set (tests, notebooks), a folder beside the warehouse is used, which is
-    the other location that all nodes of a session share.
+    is set, a local session (tests, notebooks) takes a folder in its warehouse;
+    on a cluster that is an error, since only its owner knows what its nodes share.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
     target = named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     sc.setCheckpointDir(target)
     return target

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +23,25 @@ def broadcast_if_small(df: DataFrame, rows: int | None = None, limit: int = BROA
     return F.broadcast(df) if rows <= limit else df
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def arrow_rows(spark: SparkSession, rows: int = 256) -> None:
-    """Bound the rows of one Arrow batch, so that long texts fit a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Hold the session's Arrow batches to ``rows`` rows at most, so that long texts fit a Python worker.
+
+    Spark reads the setting when a plan runs, so it must outlast the call. It is
+    lowered only, once for a session, and a caller's smaller value stays.
+    """
+    if not 0 < int(spark.conf.get(_BATCH)) <= rows:
+        spark.conf.set(_BATCH, str(rows))
+
+
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Batches of ``rows`` rows for what is materialised inside the block; the session's own value after it."""
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
