@@ -60,6 +60,8 @@ def test_url_filter(spark, shapes, monkeypatch):
         assert (r._uf_host, r._uf_path, r._uf_rule) == (host, path, rule)
         assert r._uf_verdict == (RULES[rule] if rule else "block" if host == "listed.io" else "allow")
         assert r.rule == "extra"
+    long = spark.createDataFrame([(1, "http://example.com/en/7" + "x" * 3000)], "page_id long, url string")
+    assert [r._uf_rule for r in url_filter.filter_urls(long, rules, listed).collect()] == ["example.com/en/7"]
     none = url_filter.filter_urls(pages, rules.limit(0), listed.limit(0))
     assert {r._uf_verdict for r in none.collect()} == {"allow"}
     assert url_filter.filter_urls(pages.limit(0), rules, listed).count() == 0
@@ -98,6 +100,20 @@ def test_whole_licenses(spark, make_docs):
     assert [got[i] for i in sorted(got)] == ["MIT", "ISC", "BSD-3-Clause", *whole]
 
 
+def test_license_texts_of_other_scripts(spark, make_docs):
+    mit = license_scan.TEXTS["MIT"][0]
+    russian, chinese = "Это обычная статья о погоде и о реках. ", "这是一篇关于天气和河流的文章。"
+    rows = [(1, russian), (2, chinese), (3, "Released under the MIT License.\n" + russian), (4, "Released under the MIT License. " + chinese), (5, "MIT License\n\nCopyright (c) 2021 X\n\n" + mit)]
+    rows += [(6, russian * 20_000 + "\nReleased under the MIT License.\n"), (6, russian * 20_000 + "\nReleased under the MIT License.\n"), (7, "!?")]
+    docs = make_docs(rows).withColumns({"license_id": F.lit("mine"), "digest": F.lit(1)})
+    out = license_scan.scan_licenses(docs, license_scan.known_licenses(spark))
+    got = {r.doc_id: r for r in out.collect()}
+    assert [got[i]._ls_license for i in range(1, 8)] == [None, None, None, None, "MIT", None, None]
+    assert [got[i]._ls_notice for i in range(1, 7)] == [None, None, "MIT", None, "MIT", "MIT"]
+    assert len({got[i]._ls_digest for i in (1, 2, 7)}) == 3 and got[1].license_id == "mine"
+    assert out.count() == len(rows)
+
+
 # -- op3 -----------------------------------------------------------------------------
 
 
@@ -184,24 +200,79 @@ def test_decontamination(spark, make_docs):
     ]
     docs = make_docs(rows)
     got = decontaminate.find_leaks(docs, bench).collect()
-    assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 1), (1, 1), (2, 2), (3, 3), (7, 5)]
+    order = lambda rows: sorted(((r.doc_id, -1 if r.item_id is None else r.item_id) for r in rows))
+    assert order(got) == [(1, 1), (1, 1), (2, 2), (3, 3), (7, 5), (8, 6), (9, -1)]
     parts = decontaminate.find_leaks(docs, bench, part_chars=300).collect()
-    assert sorted((r.doc_id, r.item_id) for r in parts) == sorted((r.doc_id, r.item_id) for r in got)
+    assert order(parts) == order(got)
     r = next(r for r in got if r.doc_id == 3)
     assert rows[3][1].encode()[r.span_start : r.span_end].decode() == items[3][1]
     kept = decontaminate.drop_leaks(docs.withColumn("edits", F.lit(1)), bench)
-    assert sorted(r.doc_id for r in kept.collect()) == [0, 4, 5, 6, 8, 9]
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 4, 5, 6]
     assert kept.columns == [*docs.columns, "edits"]
     assert decontaminate.find_leaks(docs.limit(0), bench).count() == decontaminate.find_leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_short_items_are_whole_words(spark, make_docs):
+    bench = spark.createDataFrame([(1, "To be, or"), (2, "to be or"), (3, "x"), (4, " ")], "item_id long, text string")
+    rows = [(1, "well, to be; OR not"), (2, "to be orange"), (3, "into be or"), (4, "to be or"), (5, "x"), (6, "xx x-ray"), (7, "to be"), (8, "or to be")]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(make_docs(rows), bench).collect()}
+    assert got == {(1, 1), (1, 2), (4, 1), (4, 2), (5, 3), (6, 3)}
+
+
+def _changed(rng, text, n):
+    for _ in range(n):
+        p = rng.randrange(len(text))
+        text = rng.choice([text[:p] + "q" + text[p + 1 :], text[:p] + text[p + 1 :], text[:p] + "q" + text[p:]])
+    return text
+
+
+def _fewest(pattern, text):
+    """Edits of ``pattern`` against any part of ``text``, over the whole rectangle."""
+    t = np.frombuffer(text.encode(), np.uint8)
+    j = np.arange(len(t) + 1)
+    row = np.zeros(len(t) + 1, np.int64)
+    for i, c in enumerate(pattern.encode(), 1):
+        new = row + 1
+        new[1:] = np.minimum(new[1:], row[:-1] + (t != c))
+        new[0] = i
+        row = np.minimum.accumulate(new - j) + j
+    return int(row.min())
+
+
+def test_leaks_with_edits_against_brute_force(spark, make_docs):
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 8)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    items = [text(n) for n in (9, 18, 30, 45)]
+    items.append(items[3][100:260] + " " + text(10))  # shares windows with another
+    rows = []
+    for item in items:
+        for n in range(10):
+            at = rng.randrange(max(1, len(item) - 96))
+            rows.append((len(rows), text(rng.randint(0, 12)) + " " + _changed(rng, item[at : at + rng.randint(60, 220)], n) + " " + text(rng.randint(0, 12))))
+    half = items[2]
+    rows += [(len(rows), text(5) + " " + half[:48]), (len(rows) + 1, half[48:96] + " " + text(5))]  # no match spans two texts
+    want = {}
+    for i, t in rows:
+        for k, item in enumerate(items):
+            w = min(96, len(item))
+            edits = [_fewest(item[a : a + w], t) for a in {*range(0, len(item) - w + 1, 48), len(item) - w}]
+            if min(edits) <= min(int(0.055 * w), (w - 12) // 12):
+                want[i, k] = min(edits)
+    assert {0, 1, 2, 3, 4, 5} <= set(want.values())
+    got = decontaminate.find_leaks(make_docs(rows).coalesce(1), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    assert {(r.doc_id, r.item_id): r.edits for r in got.collect()} == want
+
+
 def test_alignment_against_plain_edit_distance():
     rng = random.Random(1)
     for _ in range(40):
         p = "".join(rng.choices("ab", k=rng.randint(1, 8)))
         t = "".join(rng.choices("ab", k=rng.randint(1, 12)))
         best = min(_distance(p, t[i:j]) for i in range(len(t) + 1) for j in range(i, len(t) + 1))
-        assert decontaminate.align(p.encode(), np.frombuffer(t.encode(), np.uint8))[0] == best
+        width = len(p) + len(t) + 1  # a band of all diagonals
+        edits, start, end = decontaminate.align_bands(np.frombuffer(p.encode(), np.uint8)[None], np.frombuffer(t.encode(), np.uint8), np.array([-len(p)]), width)
+        assert edits[0] == best == _distance(p, t[max(0, start[0]) : max(0, end[0])])
 
 
 def _distance(a, b):
@@ -218,18 +289,37 @@ def _distance(a, b):
 
 def test_line_dedup(make_docs):
     rows = [(i, f"Menu \nown line {i}\n\n footer", "en", "a") for i in range(10)]
-    rows += [(i, "Menu\nunique", "en", "b") for i in range(10, 12)]  # too few pages there
-    rows += [(i, "copied page\nMenu", "en", "c") for i in range(20, 29)]  # one page, copied
-    rows += [(30, None, "en", "a"), (31, "", "en", None), (32, "Menu", "en", "a"), (32, "Menu", "en", "a")]
-    got = line_dedup.dedup_lines(make_docs(rows).withColumn("line", F.lit(1))).collect()
+    rows += [(i, "Menu\nunique" if i < 12 else f"page {i}", "en", "b") for i in range(10, 35)]  # 2 of 25 pages
+    rows += [(i, "copied page\nMenu" if i < 60 else f"page {i}", "en", "c") for i in range(40, 61)]  # 20 of 21 pages, copies all
+    rows += [(70, None, "en", "a"), (71, "", "en", None), (72, "Menu", "en", "a"), (72, "Menu", "en", "a"), (73, "Menu\n" + "x" * 3_000_000 + "\nend", "en", "a")]
+    docs = make_docs(rows).withColumns({"line": F.lit(1), "_key": F.lit(2)})
+    got = line_dedup.dedup_lines(docs).collect()
     text = {r.doc_id: r.text for r in got}
     assert len(got) == len(rows)
-    assert text[0] == "own line 0\n" and text[32] == "" and text[30] is None and text[31] == ""
-    assert text[10] == "Menu\nunique" and text[20] == "copied page\nMenu"
+    assert text[0] == "own line 0\n" and text[72] == "" and text[70] is None and text[71] == ""
+    assert text[10] == "Menu\nunique" and text[40] == "" and text[60] == "page 60"
+    assert text[73] == "x" * 3_000_000 + "\nend"
     assert {(r._ld_lines, r._ld_dropped) for r in got if r.doc_id < 10} == {(4, 2)}
     assert line_dedup.dedup_lines(make_docs(rows).limit(0)).count() == 0
 
 
+def test_line_dedup_against_brute_force_on_small_sites(make_docs):
+    rng = random.Random(5)
+    rows, i = [], 0
+    for n in (1, 2, 3, 5, 10, 20, 50, 100):
+        for _ in range(n):
+            rows.append((i, "\n".join(rng.choice([f"l{rng.randrange(12)}", f"own {i} {j}"]) for j in range(4)), "en", f"http://H{n}.example/p"))
+            i += 1
+    pages, count = {}, {}
+    for _, t, _, s in rows:
+        pages[s] = pages.get(s, 0) + 1
+        for x in set(t.split("\n")):
+            count[s, x] = count.get((s, x), 0) + 1
+    want = {d: "\n".join(x for x in t.split("\n") if not (count[s, x] >= 2 and count[s, x] > 0.1 * pages[s])) for d, t, _, s in rows}
+    got = line_dedup.dedup_lines(make_docs(rows), site=url_filter.host_of(F.col("source")))
+    assert {r.doc_id: r.text for r in got.collect()} == want
+
+
 # -- op6 -----------------------------------------------------------------------------
 
 
@@ -258,6 +348,27 @@ def test_packing(make_docs):
     assert packing.pack(make_docs(rows).limit(0), TOKENIZER).count() == 0
 
 
+def test_packing_of_long_texts_and_other_tokenizers(make_docs, tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    rng = random.Random(66)
+    rows = [(1, prose(rng, 60_000)), (2, "Two Words"), (3, prose(rng, 9))]
+    settings = json.loads(Tokenizer.from_file(TOKENIZER).to_str())
+    settings["normalizer"] = {"type": "NFC"}  # case counts
+    other = tmp_path / "cased.json"
+    other.write_text(json.dumps(settings))
+    for path in (TOKENIZER, str(other)):
+        tok = Tokenizer.from_file(path)
+        assert packing.by_words(json.loads(tok.to_str())) == (path == TOKENIZER)
+        got = packing.pack(make_docs(rows).withColumns({"start": F.lit(1), "token_ids": F.lit("x")}).coalesce(1), path, window_tokens=10_000).collect()
+        for i, t in rows:
+            mine = sorted((r for r in got if r.doc_id == i), key=lambda r: r.start)
+            assert np.frombuffer(b"".join(r.token_ids for r in mine), "<u4").tolist() == [*tok.encode(t, add_special_tokens=False).ids, 1]
+            assert [r.start for r in mine] == list(np.cumsum([0, *[r.length for r in mine]])[:-1])
+
+
 def test_packing_balances_cost():
     p = packing.Packer(2048, 1024.0)
     rng = random.Random(0)
@@ -290,6 +401,18 @@ def test_sharding(make_docs, tmp_path, spark):
     assert {r.shard: r["count"] for r in spark.read.parquet(str(tmp_path / "s")).groupBy("shard").count().collect()} == dict.fromkeys(range(4), 16)
 
 
+def test_sharding_of_a_key_that_fills_a_bucket(make_docs, monkeypatch):
+    monkeypatch.setattr(sharding, "HOT_ROWS", 64)
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", 1)
+    rows = [(None, None if i % 2 else "", "en", "big") for i in range(700)] + [(7, "same", "en", "big")] * 300 + [(i, "t", "en", "small") for i in range(1000)]
+    got = sharding.assign_shards(make_docs(rows).withColumns({"shard": F.lit("x"), "hash": F.lit(1)}), shards=16).collect()
+    assert sorted(r._sh_rank for r in got) == list(range(2000)) and got[0].shard == "x"
+    for s in range(16):
+        mine = [r for r in got if r._sh_shard == s]
+        assert len(mine) == 125 and sorted(r._sh_slot for r in mine) == list(range(125))
+        assert abs(sum(r.source == "big" for r in mine) - 62.5) <= 2
+
+
 # -- op8 -----------------------------------------------------------------------------
 
 
@@ -323,11 +446,27 @@ def test_quality_rules(spark, make_docs):
     assert rules and rules == quality_rules.train(docs.repartition(7), labels)
     more = make_docs([*rows, (300, None), (301, ""), (302, "short"), (303, "a b c " * 30), (304, prose(rng, 60) + " #"), (None, prose(rng, 20_000))])
     got = {r.doc_id: r for r in quality_rules.judge(more, rules).collect()}
-    assert all(got[i].kept == bool(i % 4) for i in range(240))
-    assert [got[i].kept for i in (300, 301, 302, 303, 304, None)] == [False, False, False, False, True, True]
+    assert all(got[i]._qr_kept == bool(i % 4) for i in range(240))
+    assert [got[i]._qr_kept for i in (300, 301, 302, 303, 304, None)] == [False, False, False, False, True, True]
     assert quality_rules.train(docs, labels.limit(0)) == []
+    odd = quality_rules.judge(more.withColumns({"n_words": F.lit(1), "kept": F.lit("MINE"), "rule": F.lit(0)}), rules)
+    assert {r.kept for r in odd.collect()} == {"MINE"} and odd.where("_qr_kept").count() == sum(r._qr_kept for r in got.values())
     with pytest.raises(ValueError, match="prefix"):
-        quality_rules.judge(more.withColumn("n_words", F.lit(1)), rules)
+        quality_rules.judge(more.withColumn("_qr_x", F.lit(1)), rules)
+    twice = labels.union(spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(0, 240, 2)], "doc_id long, quality int"))
+    assert quality_rules.train(docs, twice) == quality_rules.train(docs.repartition(3), twice.repartition(5))
+
+
+def test_the_verdict_is_that_of_the_list(make_docs):
+    conditions = [[quality_rules.Condition("symbol_ratio", True, 0.02), quality_rules.Condition("words", False, 70.0)], [quality_rules.Condition("upper_ratio", True, 0.3)]]
+    rng = random.Random(19)
+    rows = [(i, " ".join(w.upper() if i % 3 == 0 else w for w in prose(rng, rng.randint(55, 90)).split()) + " #" * (i % 20)) for i in range(120)]
+    for r in quality_rules.judge(make_docs(rows), conditions).collect():
+        n, _, symbols, _, repeated = plain_statistics(rows[r.doc_id][1])
+        text = rows[r.doc_id][1]
+        letters = [c for c in text if c.isascii() and c.isalpha()]
+        first = 1 if symbols / len(text) > 0.02 and n <= 70 else 2 if sum(c.isupper() for c in letters) / len(letters) > 0.3 else 0
+        assert (r._qr_rule, r._qr_kept) == (first, first == 0 and n >= 50 and 100 * repeated <= 50 * n)
 
 
 # -- op9 -----------------------------------------------------------------------------
@@ -355,6 +494,40 @@ def test_toxicity(spark, make_docs):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def _convolved(model, ids):
+    """The score by a convolution over the whole text at once."""
+    x = model.embed[ids].sum(axis=1).astype(np.float64)
+    pooled = []
+    for w in toxicity.WIDTHS:
+        z = np.zeros((len(x), model.filters[w].shape[2]))
+        for j in range(w):
+            z[: len(x) - j] += x[j:] @ model.filters[w][j]
+        pooled.append(z.max(axis=0) + model.bias[w])
+    return 1 / (1 + np.exp(-(np.maximum(np.concatenate(pooled), 0) @ model.out + model.out_bias)))
+
+
+def test_scores_of_long_texts_against_a_plain_convolution():
+    rng = np.random.default_rng(3)
+    docs = [rng.integers(0, toxicity.BUCKETS, (40, 3)).astype(np.int32) for _ in range(60)]
+    model = toxicity.fit(docs, np.arange(60) % 2, epochs=2)
+    model.out *= 40  # so that a changed maximum shows
+    for n in (32_767, 32_768, 32_769, 32_770, 33_000, 70_000):
+        ids = rng.integers(0, toxicity.BUCKETS, (n, 3)).astype(np.int32)
+        got = model.scores(ids, np.array([0, n]), model.folded())[0]
+        assert abs(got - _convolved(model, ids)) < 1e-3
+
+
+def test_toxicity_sample_is_bounded_and_settled(spark, make_docs):
+    rng = random.Random(20)
+    rows = [(i, prose(rng, 30) + (" foul vile" if i % 2 else "")) for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(i, 1 - i % 2) for i in range(0, 50)], "doc_id long, toxic int")
+    docs = make_docs([*rows, (3, "twice"), (61, prose(rng, 30_000))])
+    a = toxicity.train(docs, labels, chars=20_000, epochs=2)
+    b = toxicity.train(docs.repartition(5), labels.repartition(3), chars=20_000, epochs=2)
+    assert np.array_equal(a.out, b.out) and np.array_equal(a.embed, b.embed)
+    assert toxicity.train(docs, labels, chars=0).constant == 0.5
+
+
 # -- op10 ----------------------------------------------------------------------------
 
 PAGE = """<html><head><title>T</title><script>x("<p>no</p>")</script></head><body class="no-sidebar"><header>Site</header><nav><a href=x>Home</a></nav>
@@ -397,6 +570,18 @@ def test_html_linked_line_inside_the_text():
     assert html_extract.main_text(page) == "\n".join([LONG[0], "See the long title of a source that the text names.", LONG[1]])
 
 
+def test_html_outcome_depends_on_the_ratio(monkeypatch):
+    pages = [f"<div>{CLUTTER}{BODY_DIV}</div>", f"<article>{BODY_DIV}{CLUTTER}</article>", "<article><h2>Other story</h2><p>A teaser of one line.</p></article>" + BODY_DIV]
+    want = [html_extract.main_text(p) for p in pages]
+    monkeypatch.setattr(html_extract, "smoothed", lambda ratios, sigma: np.zeros(len(ratios)))
+    assert all(html_extract.main_text(p) != w for p, w in zip(pages, want, strict=True))
+
+
+def test_html_of_a_very_long_page():
+    body = [f"paragraph {i} with some words of its own, as long as a line" for i in range(30_000)]
+    assert html_extract.main_text("<nav><a href=x>x</a></nav><div>" + "".join(f"<p>{x}</p>" for x in body) + "</div>") == "\n".join(body)
+
+
 def test_html_of_odd_pages(spark):
     rows = [(1, None), (2, ""), (3, "plain &lt;text&gt;"), (4, "<p>a<p>b</div></div>c"), (5, "<nav>menu<article><p>kept"), (6, "<p>x &#xD800; y"), (6, "<p>x &#xD800; y"), (7, "<div>" * 3000 + "deep")]
     got = html_extract.extract(spark.createDataFrame([(i, "u", h, 1) for i, h in rows], "page_id long, url string, html string, text int"))
