@@ -227,11 +227,12 @@ def _changed(rng, text, n):
 
 
 def _fewest(pattern, text):
-    """Edits of ``pattern`` against any part of ``text``, over the whole rectangle."""
-    t = np.frombuffer(text.encode(), np.uint8)
+    """Edits of ``pattern`` against any part of ``text``, in bytes, over the whole rectangle."""
+    pattern, text = (x.encode() if isinstance(x, str) else x for x in (pattern, text))
+    t = np.frombuffer(text, np.uint8)
     j = np.arange(len(t) + 1)
     row = np.zeros(len(t) + 1, np.int64)
-    for i, c in enumerate(pattern.encode(), 1):
+    for i, c in enumerate(pattern, 1):
         new = row + 1
         new[1:] = np.minimum(new[1:], row[:-1] + (t != c))
         new[0] = i
