@@ -12,6 +12,10 @@ from treeloom.config import ALIASES, METHODS, LineageConfig
 from treeloom.plans.engine import Lineage, reconstruct
 from treeloom.sources.edits import read_edits
 from treeloom.sources.fasta import read_fasta
+from treeloom.sources.trees import write_newick
+
+#: Nodes up to which a tree is written as one line.
+TEXT_NODES = 200_000
 
 
 def parser() -> argparse.ArgumentParser:
@@ -54,14 +58,23 @@ def config_of(args: argparse.Namespace) -> LineageConfig:
 
 
 def publish(spark: SparkSession, out: Lineage, args: argparse.Namespace) -> None:
-    """Newick text, discarded names and, if asked for, the tables, by Spark's writers."""
+    """The node table, the discarded names and the figures, then the tree's text, all by Spark's writers.
+
+    The table comes first, so that no size of the tree can lose a finished run. A
+    tree of up to TEXT_NODES nodes is one line in one file, a larger one is
+    written in pieces, part files in order.
+    """
     base = f"{args.output}/{args.name}"
     pack = "gzip" if args.gzip else "none"
-    spark.createDataFrame([(out.newick(),)], "value string").coalesce(1).write.mode("overwrite").option("compression", pack).text(f"{base}.nwk")
-    out.discarded.selectExpr("concat_ws('\t', name, reason) AS value").write.mode("overwrite").option("compression", pack).text(f"{base}.discarded")
-    if args.keep:
+    if args.keep or (n := out.nodes.count()) > TEXT_NODES:
         out.nodes.write.mode("overwrite").parquet(f"{base}.nodes")
         spark.createDataFrame([(json.dumps(m),) for m in out.metrics], "value string").coalesce(1).write.mode("overwrite").text(f"{base}.metrics")
+        n = out.nodes.count()
+    out.discarded.selectExpr("concat_ws('\t', name, reason) AS value").write.mode("overwrite").option("compression", pack).text(f"{base}.discarded")
+    if n <= TEXT_NODES:
+        spark.createDataFrame([(out.newick(),)], "value string").coalesce(1).write.mode("overwrite").option("compression", pack).text(f"{base}.nwk")
+    else:
+        write_newick(out.nodes, f"{base}.nwk", compression=pack)
 
 
 def main(argv: list[str] | None = None) -> Lineage:

@@ -33,6 +33,9 @@ class LineageConfig:
     max_clades: int = 10_000
     #: What becomes of a clade that no round could divide: "drop" or "polytomy".
     unresolved: str = "drop"
+    #: Problematic rows of a clade that join its sample for the next round; all by default.
+    retry_rows: int | None = None
+    #: Rows of a clade beyond which it counts as large and is placed in parts.
     chunk: int = 10_000
     keep: str | None = None
 

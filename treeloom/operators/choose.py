@@ -6,7 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from treeloom.operators.sampling import draw
+from treeloom.operators.clades import paths
+from treeloom.operators.ranking import ranked
+from treeloom.operators.sampling import draw, sample
+from treeloom.plans.durable import durable
+from treeloom.plans.sizing import broadcast_if_small
 
 
 def best_edge(cand: DataFrame, by: list[str], weight: str, order: str, edge: str = "edge") -> DataFrame:
@@ -25,13 +29,19 @@ def top_k(cand: DataFrame, by: list[str], weight: str, order: str, k: int) -> Da
     return cand.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= k).drop("_rank")
 
 
-def lowest_common_ancestor(cand: DataFrame, by: list[str], closure: DataFrame, edge: str = "edge") -> DataFrame:
-    """The deepest node above all candidates of a query (A8, T10). ``closure``: (node, ancestor, depth of the ancestor), a node above itself."""
-    up = cand.join(closure, F.col(edge) == closure.node)
-    n = cand.groupBy(*by).agg(F.countDistinct(edge).alias("_n"))
-    met = up.groupBy(*by, "ancestor", "ancestor_depth").agg(F.countDistinct(edge).alias("_met"))
-    deep = met.join(n, by).where("_met = _n").groupBy(*by).agg(F.max(F.struct("ancestor_depth", "ancestor")).alias("m"))
-    return deep.select(*by, F.col("m.ancestor").alias("lca"))
+def lowest_common_ancestor(cand: DataFrame, by: list[str], tree: DataFrame, edge: str = "edge") -> DataFrame:
+    """The deepest node above all candidates of a query (A8, T10), itself included. ``tree``: (node, parent).
+
+    All nodes between two in depth-first order lie below the common ancestor of
+    the two, so the first and the last candidate decide: two numbers for a query,
+    combined map-side. The common ancestor ends what their paths share.
+    """
+    at = durable(ranked(paths(tree), [], ["path"], "_place"))
+    n = at.count()
+    ends = cand.join(broadcast_if_small(at.select(F.col("node").alias(edge), "_place"), n), edge).groupBy(*by).agg(F.min("_place").alias("_first"), F.max("_place").alias("_last"))
+    first, last = (broadcast_if_small(at.select(F.col("_place").alias(p), F.col("path").alias(f"{p}_path")), n) for p in ("_first", "_last"))
+    both = ends.join(first, "_first").join(last, "_last")
+    return both.select(*by, F.element_at(F.array_intersect("_first_path", "_last_path"), -1).alias("lca"))
 
 
 def problematic(placed: DataFrame, root_edge: Column | str, edge: str = "edge") -> DataFrame:
@@ -39,12 +49,20 @@ def problematic(placed: DataFrame, root_edge: Column | str, edge: str = "edge")
     return placed.where(F.col(edge) == root_edge)
 
 
-def next_round_pool(sampled: DataFrame, bad: DataFrame) -> DataFrame:
-    """The next round's pool (F7): sample and problematic rows as a bag."""
-    return sampled.unionByName(bad)
+def next_round_pool(sampled: DataFrame, bad: DataFrame, by: str | None = None, name: str = "name", limit: int | None = None, seed: int | str = 0) -> DataFrame:
+    """The next round's pool (F7): sample and problematic rows as a bag.
+
+    With ``limit``, at most so many problematic rows of each ``by`` (F6, W8): the
+    cap is pushed below the shuffle, as in a sample.
+    """
+    return sampled.unionByName(bad if limit is None else sample(bad, by, name, limit, seed))
+
 
+def edge_members(edges: DataFrame, placed: DataFrame, edge: str, name: str) -> DataFrame:
+    """(edge, n, name): a row for each name on an edge, and one without a name for an empty edge.
 
-def edge_names(edges: DataFrame, placed: DataFrame, edge: str, name: str) -> DataFrame:
-    """(edge, n, names) for every edge, empty ones too (J5); for reports, the engine uses the counts alone."""
-    got = placed.groupBy(edge).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(name)).alias("names"))
-    return edges.select(edge).distinct().join(got, edge, "left").select(edge, F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.coalesce("names", F.array().cast("array<string>")).alias("names"))
+    Rows, not a list for each edge: an edge may hold most names. The engine uses
+    the counts alone.
+    """
+    n = placed.groupBy(edge).agg(F.count("*").alias("n"))
+    return edges.select(edge).distinct().join(n, edge, "left").join(placed.select(edge, name), edge, "left").select(edge, F.coalesce("n", F.lit(0).cast("long")).alias("n"), name)

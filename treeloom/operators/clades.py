@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
+from treeloom.operators.ranking import ranked
 from treeloom.plans.durable import durable
 
 
@@ -29,14 +28,45 @@ def closure(tree: DataFrame) -> DataFrame:
         reach *= 2
 
 
+def _folded_up(start: DataFrame, fold, pending: str = "up IS NOT NULL") -> DataFrame:
+    """Let every node learn of all nodes above it, in a number of joins logarithmic in the depth.
+
+    ``start``: (node, up, x). Round k joins a node to its ancestor 2**k levels up
+    and sets x to ``fold(x, that one's x)``; the table keeps one row for a node,
+    so that an unbalanced tree costs no more than a balanced one.
+    """
+    at = durable(start)
+    while not at.where(pending).isEmpty():
+        above = at.select(F.col("node").alias("_node"), F.col("up").alias("_up"), F.col("x").alias("_x"))
+        at = durable(at.join(above, F.col("up") == F.col("_node"), "left").select("node", F.col("_up").alias("up"), F.when(F.col("_node").isNull(), F.col("x")).otherwise(fold(F.col("x"), F.col("_x"))).alias("x")))
+    return at.select("node", "x")
+
+
 def depths(tree: DataFrame) -> DataFrame:
     """(node, depth): edges between a node and the top."""
-    return closure(tree).groupBy("node").agg(F.max("distance").cast("int").alias("depth"))
+    start = tree.select("node", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("x"))
+    return _folded_up(start, lambda x, above: x + above).withColumnRenamed("x", "depth")
+
 
+def paths(tree: DataFrame) -> DataFrame:
+    """(node, path): the nodes from the top down to each node; for trees of samples, whose paths are short."""
+    start = tree.select("node", F.col("parent").alias("up"), F.array("node").alias("x"))
+    return _folded_up(start, lambda x, above: F.concat(above, x)).withColumnRenamed("x", "path")
 
-def subtree_counts(pairs: DataFrame, counts: DataFrame) -> DataFrame:
-    """(node, n): what is counted at a node or below (A6). ``counts``: (node, cnt)."""
-    return pairs.join(counts, "node").groupBy(F.col("ancestor").alias("node")).agg(F.sum("cnt").cast("long").alias("n"))
+
+def subtree_counts(tree: DataFrame, counts: DataFrame) -> DataFrame:
+    """(node, n): what is counted at a node or below, where there is any (A6). ``counts``: (node, cnt).
+
+    Round k adds to each node what its descendants 2**k levels down have summed
+    so far; one row for a node, and as many rounds as the depth has binary digits.
+    """
+    at = durable(tree.join(counts, "node", "left").select("node", F.col("parent").alias("up"), F.coalesce("cnt", F.lit(0)).cast("long").alias("n")))
+    while not at.where("up IS NOT NULL").isEmpty():
+        got = at.where("up IS NOT NULL").groupBy(F.col("up").alias("_node")).agg(F.sum("n").alias("_n"))
+        above = at.select(F.col("node").alias("_mid"), F.col("up").alias("_up"))
+        at = at.join(got, F.col("node") == F.col("_node"), "left").join(above, F.col("up") == F.col("_mid"), "left")
+        at = durable(at.select("node", F.col("_up").alias("up"), (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n")))
+    return at.where("n > 0").select("node", "n")
 
 
 def clade_cut(tree: DataFrame, counts: DataFrame, top: str, limit: int) -> DataFrame:
@@ -47,15 +77,15 @@ def clade_cut(tree: DataFrame, counts: DataFrame, top: str, limit: int) -> DataF
     owns all that lies at or below it. A node is reached if no node above it,
     the top apart, was cut.
     """
-    pairs = closure(tree)
-    depth = pairs.groupBy("node").agg((F.max("distance") + 1).alias("depth"))  # the top is at path depth 1
+    depth = depths(tree).select("node", (F.col("depth") + 1).alias("depth"))  # the top is at path depth 1
     leaf = tree.select(F.col("parent").alias("node")).where("node IS NOT NULL").distinct().withColumn("inner", F.lit(True))
-    state = tree.select("node").join(depth, "node").join(counts, "node", "left").join(leaf, "node", "left")
-    state = state.select("node", ((F.coalesce("cnt", F.lit(0)) > 0) | (F.col("depth") >= limit)).alias("stop"), F.coalesce("inner", F.lit(False)).alias("inner")).where(F.col("node") != top)
-    state = durable(state)
-    above = pairs.where("distance > 0").join(state.where("stop").select(F.col("node").alias("ancestor")), "ancestor").select("node").distinct()
-    reached = state.join(above, "node", "left_anti").where("stop OR NOT inner")
-    n = subtree_counts(pairs, counts)
+    state = tree.join(depth, "node").join(counts, "node", "left").join(leaf, "node", "left")
+    stop = (F.col("node") != top) & ((F.coalesce("cnt", F.lit(0)) > 0) | (F.col("depth") >= limit))
+    state = durable(state.select("node", "parent", stop.alias("stop"), F.coalesce("inner", F.lit(False)).alias("inner")))
+    up = state.select(F.col("node").alias("_of"), F.col("stop").alias("_stop"))
+    hidden = _folded_up(state.join(up, F.col("parent") == F.col("_of"), "left").select("node", F.col("parent").alias("up"), F.coalesce("_stop", F.lit(False)).alias("x")), lambda x, above: x | above)
+    reached = state.join(hidden, "node").where((F.col("node") != top) & ~F.col("x") & (F.col("stop") | ~F.col("inner")))
+    n = subtree_counts(tree, counts)
     return reached.join(n, "node", "left").select("node", F.when(F.col("stop"), "cut").otherwise("empty").alias("kind"), F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
@@ -70,21 +100,26 @@ def induced_subtree(tree: DataFrame, keep: DataFrame) -> DataFrame:
     A node that loses a child disappears; survivors hang on the nearest ancestor
     that lost none. The top stays.
     """
-    pairs = closure(tree)
-    alive = durable(pairs.join(keep.select("node").distinct(), "node").select(F.col("ancestor").alias("node")).distinct().withColumn("alive", F.lit(True)))
+    alive = durable(subtree_counts(tree, keep.select("node").distinct().withColumn("cnt", F.lit(1))).select("node", F.lit(True).alias("alive")))
     child = tree.select(F.col("node").alias("child"), "parent").where("parent IS NOT NULL").join(alive.select(F.col("node").alias("child"), "alive"), "child", "left")
     # every child alive (bool_and), by parent
     whole = child.groupBy(F.col("parent").alias("node")).agg(F.bool_and(F.coalesce("alive", F.lit(False))).alias("whole"))
     state = tree.join(alive, "node", "left_semi").join(whole, "node", "left").select("node", "parent", (F.coalesce("whole", F.lit(True)) | F.col("parent").isNull()).alias("stays"))
     state = durable(state)
-    stays = state.where("stays").select(F.col("node").alias("ancestor"))
-    near = pairs.where("distance > 0").join(stays, "ancestor").groupBy("node").agg(F.min_by("ancestor", "distance").alias("parent"))
-    return state.where("stays").select("node").join(near, "node", "left").select("node", "parent")
+    up = state.where("stays").select(F.col("node").alias("_of"))
+    start = state.join(up, F.col("parent") == F.col("_of"), "left").select("node", F.col("parent").alias("up"), F.col("_of").alias("x"))
+    near = _folded_up(start, F.coalesce, "up IS NOT NULL AND x IS NULL")
+    return state.where("stays").select("node").join(near, "node", "left").select("node", F.col("x").alias("parent"))
 
 
 def number_tips(tips: DataFrame, order: str, offset: int) -> DataFrame:
-    """Child clade ids from ``offset`` on (T12), in ``order``; for tables of tips, no longer than a level's clades."""
-    return tips.withColumn("child_clade_id", (F.row_number().over(Window.orderBy(order)) + offset).cast("long"))
+    """Child clade ids from ``offset`` + 1 on (T12), in ``order``."""
+    return ranked(tips, [], [order], "_place").withColumn("child_clade_id", F.col("_place") + (offset + 1)).drop("_place")
+
+
+def without_rows(tips: DataFrame, rows: DataFrame, on: list[str]) -> DataFrame:
+    """Tips that no row belongs to (J6, C6): they get no job."""
+    return tips.join(rows.select(*on), on, "left_anti")
 
 
 def pool_of(n: Column, limit: int) -> Column:

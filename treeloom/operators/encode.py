@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from treeloom.operators.ranking import ranked
+from treeloom.plans.durable import durable
+from treeloom.plans.sizing import broadcast_if_small
+
 
 def vocabulary(rows: DataFrame, total: int | Column, by: list[str] | None = None, edit: str = "edit", floor: float = 0.001) -> DataFrame:
     """(by, edit, cnt) of the edits worth a site (A4), from one row for each occurrence.
@@ -16,11 +20,27 @@ def vocabulary(rows: DataFrame, total: int | Column, by: list[str] | None = None
     return rows.groupBy(*(by or []), edit).agg(F.count("*").alias("cnt")).where((F.col("cnt") / of > floor) & (F.col("cnt") < of))
 
 
-def encode(edits: Column, vocab: Column) -> Column:
-    """Pseudo-DNA over a sorted vocabulary (P3): sites of its first half T (present) or C, the others A or G."""
-    half = (F.floor(F.size(vocab) / 2) + 1).cast("int")
-    site = lambda e, i: F.when(i < half, F.when(F.array_contains(edits, e), "T").otherwise("C")).otherwise(F.when(F.array_contains(edits, e), "A").otherwise("G"))
-    return F.array_join(F.transform(vocab, site), "")
+def encode(rows: DataFrame, vocab: DataFrame, name: str = "name", edit: str = "edit") -> DataFrame:
+    """(name, seq): pseudo-DNA over a sorted vocabulary (P3), from one row for each occurrence.
+
+    Sites of the vocabulary's first half are T (present) or C, the others A or G.
+    The vocabulary is numbered and joined, so that a taxon costs its own edits;
+    the sites between them are written as runs.
+    """
+    sites = durable(ranked(vocab.select(edit).distinct(), [], [edit], "_site"))
+    size = sites.count()
+    half = size // 2 + 1
+    have = rows.select(name, edit).join(broadcast_if_small(sites, size), edit, "left").groupBy(name).agg(F.sort_array(F.collect_set("_site")).alias("_have"))
+
+    def run(a: Column, b: Column) -> Column:
+        """The letters of absent edits from site a up to b."""
+        zero = F.lit(0).cast("long")
+        c = F.greatest(F.least(b, F.lit(half)) - a, zero)
+        return F.concat(F.repeat(F.lit("C"), c.cast("int")), F.repeat(F.lit("G"), F.greatest(b - a - c, zero).cast("int")))
+
+    after = lambda k: F.coalesce(F.get("_have", k - 1) + 1, F.lit(0).cast("long"))
+    parts = F.transform("_have", lambda x, k: F.concat(run(after(k), x), F.when(x < half, "T").otherwise("A")))
+    return have.select(name, F.concat(F.array_join(parts, ""), run(after(F.size("_have")), F.lit(size).cast("long"))).alias("seq"))
 
 
 def normalize_gaps(seq: Column, to: str = "-") -> Column:

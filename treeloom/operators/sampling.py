@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from treeloom.operators.ranking import ranked
+
 
 def draw(seed: int | str, *parts: Column | str) -> Column:
     """A seeded pseudo-random order: the MD5 of the seed and the parts, joined by ``|``."""
@@ -31,7 +33,7 @@ def dedup_sequences(df: DataFrame, by: list[str], seq: str, order: str, root: st
 def dense_rename(df: DataFrame, by: list[str], order: str, first: Column | None = None) -> DataFrame:
     """``new_name`` s0, s1, ... within ``by`` (P1); rows where ``first`` holds come first, so that a root is s0."""
     keys = ([F.when(first, 0).otherwise(1)] if first is not None else []) + [F.col(order)]
-    return df.withColumn("new_name", F.concat(F.lit("s"), (F.row_number().over(Window.partitionBy(*by).orderBy(*keys)) - 1).cast("string")))
+    return ranked(df, by, keys, "_place").withColumn("new_name", F.concat(F.lit("s"), F.col("_place").cast("string"))).drop("_place")
 
 
 def rename_back(name: Column) -> Column:
@@ -49,6 +51,16 @@ def without_root(df: DataFrame, name: str = "name", prefix: bool = False) -> Dat
     return df.where(~F.col(name).rlike("^root") if prefix else F.col(name) != "root")
 
 
+def count_by(df: DataFrame, *by: str) -> DataFrame:
+    """(by, n): rows of each group (A1, A5)."""
+    return df.groupBy(*by).agg(F.count("*").alias("n"))
+
+
+def total(counts: DataFrame) -> DataFrame:
+    """The sum of the parts' counts."""
+    return counts.agg(F.sum("n").alias("n"))
+
+
 def count_and_length(df: DataFrame, by: str, seq: str) -> DataFrame:
     """(by, n, mean_length) with the mean cut to a whole number (A1, A3)."""
     return df.groupBy(by).agg(F.count("*").alias("n"), F.expr(f"sum(length({seq})) div count(*)").alias("mean_length"))

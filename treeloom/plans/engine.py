@@ -27,7 +27,10 @@ from treeloom.config import LineageConfig
 from treeloom.kernels import align
 from treeloom.kernels.sample_tree import Model, Placer, build_tree, child_id, cut, edit_vocabulary, encode_edits, upper_tree
 from treeloom.kernels.tree import to_newick
-from treeloom.operators.sampling import draw, root_row, sample, without_root
+from treeloom.operators import rounds
+from treeloom.operators.choose import next_round_pool
+from treeloom.operators.clades import pool_of
+from treeloom.operators.sampling import count_by, draw, root_row, sample, without_root
 from treeloom.plans.durable import durable
 from treeloom.plans.sizing import arrow_rows, broadcast_if_small
 from treeloom.sources.trees import NEWICK_NODES, tree_from_rows
@@ -134,7 +137,7 @@ class _Run:
 
             return rows.mapInPandas(run, schema)
         chunk = self.config.chunk
-        salts = F.ceil(F.col("n") / chunk)
+        salts = F.when(pool_of(F.col("n"), chunk) == "large", F.ceil(F.col("n") / chunk)).otherwise(F.lit(1).cast("long"))  # large clades are spread (C7)
         n = rows.groupBy("clade_id").agg(F.count("*").alias("n"))
         salted = rows.join(broadcast_if_small(durable(n)), "clade_id").withColumn("_salt", F.pmod(F.xxhash64("name"), salts)).drop("n")
         spread = sound.join(n, "clade_id").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("n")
@@ -222,7 +225,7 @@ def reconstruct(taxa: DataFrame, config: LineageConfig | None = None) -> Lineage
     clades = 1
     for level in range(10_000):
         began = time.time()
-        sizes = durable(frontier.groupBy("clade_id").agg(F.count("*").alias("n")))
+        sizes = durable(count_by(frontier, "clade_id"))
         figures = sizes.agg(F.count("*").alias("c"), F.sum("n").alias("n"), F.count_if(F.col("n") > config.threshold).alias("open")).first()
         if not figures.c:
             break
@@ -237,11 +240,10 @@ def reconstruct(taxa: DataFrame, config: LineageConfig | None = None) -> Lineage
             break
         active = sized.where(F.col("n") > config.threshold)
         if config.unaligned:  # keep an alignment while the clade is not much smaller than when it was made (X12)
-            stale = F.col("n") < F.col("aln_n") * config.realign_ratio
-            active = active.withColumn("aln", F.when(~F.coalesce(stale, F.lit(False)), F.col("aln"))).withColumn("aln_n", F.when(F.col("aln").isNull(), F.col("n")).otherwise(F.col("aln_n")))
+            active = active.withColumn("aln", F.when(~rounds.realign(F.col("n"), F.col("aln_n"), config.realign_ratio), F.col("aln"))).withColumn("aln_n", F.when(F.col("aln").isNull(), F.col("n")).otherwise(F.col("aln_n")))
         active = durable(active.drop("n"))
         state = durable(sizes.where(F.col("n") > config.threshold).select("clade_id", "n", F.col("n").alias("prev"), F.lit(None).cast("int").alias("good")))
-        pool, rounds, settled = active, {}, []
+        pool, made, settled = active, {}, []
         for turn in range(1, config.max_rounds):
             open_ = state.select("clade_id")
             todo = active if turn == 1 else durable(active.join(broadcast_if_small(open_), "clade_id", "left_semi"))
@@ -252,14 +254,11 @@ def reconstruct(taxa: DataFrame, config: LineageConfig | None = None) -> Lineage
             placed = durable(run.place(todo, models))
             counts = placed.groupBy("clade_id", "edge").agg(F.count("*").alias("cnt"))
             cuts = durable(run.cuts(counts, models, state.select("clade_id", "n"), turn))
-            rounds[turn] = (placed, cuts)
+            made[turn] = (placed, cuts)
             got = cuts.groupBy("clade_id").agg(F.max("para").alias("para"), F.max("largest").alias("largest"))
             s = state.join(got, "clade_id", "left")
-            failed = F.col("para").isNull() | (F.col("para") > F.col("prev")) | (F.col("largest") == F.col("n")) | (F.col("largest") == 0)
-            last = turn == config.max_rounds - 1
-            action = (
-                F.when(failed & F.col("good").isNotNull(), "previous").when(failed & F.lit(last), "unresolved").when(failed, "again").when((F.col("para") == 0) | F.lit(last), "accept").otherwise("retry")
-            )
+            fail = rounds.failed(F.col("para"), F.col("prev"), F.col("largest"), F.col("n"))
+            action = rounds.decision(fail, F.col("para"), F.col("good"), turn == config.max_rounds - 1)
             s = durable(s.withColumn("action", action))
             settled.append(s.where("action IN ('accept', 'previous', 'unresolved')").select("clade_id", F.when(F.col("action") == "accept", turn).when(F.col("action") == "previous", F.col("good")).alias("turn")))
             state = durable(s.where("action IN ('again', 'retry')").select("clade_id", "n", F.when(F.col("action") == "retry", F.col("para")).otherwise(F.col("prev")).alias("prev"), F.when(F.col("action") == "retry", turn).otherwise(F.col("good")).alias("good"), "action"))
@@ -269,20 +268,21 @@ def reconstruct(taxa: DataFrame, config: LineageConfig | None = None) -> Lineage
             again = state.where("action = 'again'").select("clade_id")
             retry = state.where("action = 'retry'").select("clade_id")
             bad = placed.where("edge = 0").drop("edge")
-            mixed = drawn.drop("_order").unionByName(bad).dropDuplicates(["clade_id", "name"]).join(broadcast_if_small(retry), "clade_id", "left_semi")
+            mixed = next_round_pool(drawn.drop("_order"), bad, "clade_id", "name", config.retry_rows, run.seed).dropDuplicates(["clade_id", "name"]).join(broadcast_if_small(retry), "clade_id", "left_semi")
             pool = active.join(broadcast_if_small(again), "clade_id", "left_semi").unionByName(mixed)
         done = settled[0]
         for more in settled[1:]:
             done = done.union(more)
         done = durable(done)
         following = None
-        for turn, (placed, cuts) in rounds.items():
+        for turn, (placed, cuts) in made.items():
             mine = broadcast_if_small(done.where(F.col("turn") == turn).select("clade_id"))
             chosen = durable(cuts.join(mine, "clade_id", "left_semi"))
             nodes.append(chosen.where("node IS NOT NULL").select("node", "parent", F.lit(None).cast("string").alias("name"), "length"))
             to = chosen.where("edge IS NOT NULL").select("clade_id", "edge", "child")
             moved = durable(placed.join(mine, "clade_id", "left_semi").join(broadcast_if_small(to), ["clade_id", "edge"], "left"))
             lost.append(moved.where("child IS NULL").select("clade_id", "name", F.lit("problematic").alias("reason")))
+            metrics[-1]["discarded"] += lost[-1].count()
             kept = moved.where("child IS NOT NULL").withColumn("clade_id", F.col("child")).drop("child", "edge")
             following = kept if following is None else following.unionByName(kept)
         stuck = durable(active.join(broadcast_if_small(done.where("turn IS NULL").select("clade_id")), "clade_id", "left_semi"))
@@ -290,6 +290,7 @@ def reconstruct(taxa: DataFrame, config: LineageConfig | None = None) -> Lineage
             nodes.append(stuck.select(F.concat(F.lit("c"), F.col("clade_id"), F.lit("."), F.col("name")).alias("node"), F.concat(F.lit("c"), F.col("clade_id")).alias("parent"), "name", F.lit(0.0).alias("length")))
         else:
             lost.append(stuck.select("clade_id", "name", F.lit("unresolved").alias("reason")))
+            metrics[-1]["discarded"] += lost[-1].count()
         frontier = durable(following.select(*frontier.columns))
         metrics[-1]["seconds"] = time.time() - began
         _log.info("%s", metrics[-1])

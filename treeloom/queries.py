@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from treeloom import views
 from treeloom.catalog import query
-from treeloom.operators import choose, clades, encode, sampling
+from treeloom.operators import choose, clades, encode, rounds, sampling
+from treeloom.plans.durable import durable
 from treeloom.sources import fasta, trees
 from treeloom.sources import edits as edit_lists
 from treeloom.views import SQL_CAND, SQL_CLOSURE, SQL_COUNTS, SQL_EDITS, SQL_SEQ, SQL_TREE, table
@@ -24,7 +26,7 @@ def count_per_source(spark: SparkSession, d: str) -> DataFrame:
 @query("count_total", "SELECT count(*) AS n FROM documents")
 def count_total(spark: SparkSession, d: str) -> DataFrame:
     """The sum of the inputs' counts."""
-    return table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n")).agg(F.sum("n").alias("n"))
+    return sampling.total(sampling.count_by(table(spark, d, "documents"), "source"))
 
 
 _NAMES = "names AS (SELECT 'root' AS name UNION ALL SELECT lower(r_name) FROM region UNION ALL SELECT 'root_' || lower(n_name) FROM nation)"
@@ -127,15 +129,6 @@ def edit_vocabulary(spark: SparkSession, d: str) -> DataFrame:
     return encode.vocabulary(li, total)
 
 
-def _vocab_array(rows: DataFrame, total: int) -> DataFrame:
-    return encode.vocabulary(rows, total).agg(F.sort_array(F.collect_list("edit")).alias("vocab")).withColumn("one", F.lit(1))
-
-
-def _encoded(rows: DataFrame, vocab: DataFrame) -> DataFrame:
-    taxa = rows.groupBy("name").agg(F.collect_set("edit").alias("edits")).withColumn("one", F.lit(1))
-    return taxa.join(F.broadcast(vocab), "one").select("name", encode.encode(F.col("edits"), F.col("vocab")).alias("seq"))
-
-
 def _sql_encode(sampled: str) -> str:
     return f"""WITH {SQL_EDITS}, src AS ({sampled}), total AS (SELECT count(DISTINCT name) AS n FROM src),
 v AS (SELECT list_sort(list(edit)) AS vocab FROM (SELECT edit FROM src GROUP BY edit HAVING count(*) / (SELECT n FROM total) > 0.001 AND count(*) < (SELECT n FROM total))),
@@ -147,7 +140,7 @@ SELECT name, array_to_string(list_transform(vocab, lambda e, i: CASE WHEN i <= l
 def edit_encode(spark: SparkSession, d: str) -> DataFrame:
     """Every user over the vocabulary of all."""
     rows = views.user_edits(spark, d)
-    return _encoded(rows, _vocab_array(rows, rows.select("name").distinct().count()))
+    return encode.encode(rows, encode.vocabulary(rows, rows.select("name").distinct().count()))
 
 
 _TWENTY = "SELECT * FROM edits WHERE name IN (SELECT name FROM (SELECT DISTINCT name FROM edits) ORDER BY md5('5|0|' || name), name LIMIT 20)"
@@ -157,8 +150,8 @@ _TWENTY = "SELECT * FROM edits WHERE name IN (SELECT name FROM (SELECT DISTINCT
 def edit_encode_unseen(spark: SparkSession, d: str) -> DataFrame:
     """P3 over the vocabulary of a sample of twenty: other users may have edits that it lacks."""
     rows = views.user_edits(spark, d)
-    some = sampling.sample(rows.select("name").distinct().withColumn("clade", F.lit(0)), "clade", "name", 20, 5).select("name")
-    return _encoded(rows, _vocab_array(rows.join(F.broadcast(some), "name", "left_semi"), 20))
+    some = durable(sampling.sample(rows.select("name").distinct().withColumn("clade", F.lit(0)), "clade", "name", 20, 5).select("name"))
+    return encode.encode(rows, encode.vocabulary(rows.join(F.broadcast(some), "name", "left_semi"), some.count()))
 
 
 _GAPPED = f"{SQL_SEQ}, gapped AS (SELECT name, replace(seq, 'C', '-') AS seq FROM seqs)"
@@ -219,10 +212,8 @@ def top_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _lca(spark: SparkSession, d: str) -> DataFrame:
-    pairs = clades.closure(views.tree(spark, d))
-    depth = pairs.groupBy(F.col("node").alias("ancestor")).agg(F.max("distance").alias("ancestor_depth"))
     two = choose.top_k(views.candidates(spark, d), ["query"], "lwr", "edge", 2)
-    return choose.lowest_common_ancestor(two, ["query"], pairs.join(depth, "ancestor").select("node", "ancestor", "ancestor_depth"))
+    return choose.lowest_common_ancestor(two, ["query"], views.tree(spark, d))
 
 
 @query("careful_lca", f"WITH RECURSIVE {_LCA} SELECT * FROM lca")
@@ -248,12 +239,23 @@ def next_round_pool(spark: SparkSession, d: str) -> DataFrame:
     return choose.next_round_pool(some, choose.problematic(_lca(spark, d), "root", "lca").select("query"))
 
 
-@query("edge_multimap", f"WITH {_BEST} SELECT 's' || s_suppkey AS edge, CAST(count(query) AS BIGINT) AS n, coalesce(array_to_string(list(query ORDER BY query) FILTER (query IS NOT NULL), ','), '') AS names FROM supplier LEFT JOIN best ON 's' || s_suppkey = edge GROUP BY 1")
+_BOUNDED = "bad AS (SELECT query FROM (SELECT l_returnflag, query, row_number() OVER (PARTITION BY l_returnflag ORDER BY md5('2|' || l_returnflag || '|' || query), query) AS k FROM (SELECT DISTINCT l_returnflag, l_orderkey AS query FROM lineitem) JOIN (SELECT query FROM lca WHERE lca = 'root') USING (query)) WHERE k <= 15)"
+
+
+@query("next_round_pool_bounded", f"WITH RECURSIVE {_LCA}, {_SAMPLED}, {_BOUNDED} SELECT query FROM sampled UNION ALL SELECT query FROM bad")
+def next_round_pool_bounded(spark: SparkSession, d: str) -> DataFrame:
+    """At most fifteen problematic rows of each clade join the sample."""
+    rows = durable(table(spark, d, "lineitem").select("l_returnflag", F.col("l_orderkey").alias("query")).distinct())
+    some = sampling.sample(rows, "l_returnflag", "query", 10, 1)
+    bad = rows.join(choose.problematic(_lca(spark, d), "root", "lca").select("query"), "query")
+    return choose.next_round_pool(some, bad.select("l_returnflag", "query"), "l_returnflag", "query", 15, 2).select("query")
+
+
+@query("edge_multimap", f"WITH {_BEST} SELECT e.edge, count(b.query) OVER (PARTITION BY e.edge) AS n, b.query FROM (SELECT 's' || s_suppkey AS edge FROM supplier) e LEFT JOIN best b ON e.edge = b.edge")
 def edge_multimap(spark: SparkSession, d: str) -> DataFrame:
     """J5."""
     edges = table(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("edge"))
-    out = choose.edge_names(edges, _best(spark, d), "edge", "query")
-    return out.select("edge", "n", F.array_join("names", ",").alias("names"))
+    return choose.edge_members(edges, _best(spark, d), "edge", "query")
 
 
 # -- tree tables -------------------------------------------------------------------
@@ -276,13 +278,13 @@ def node_depth(spark: SparkSession, d: str) -> DataFrame:
 @query("subtree_counts", f"WITH RECURSIVE {_SUB} SELECT node, n FROM sub")
 def subtree_counts(spark: SparkSession, d: str) -> DataFrame:
     """A6."""
-    return clades.subtree_counts(clades.closure(views.tree(spark, d)), views.counts(spark, d))
+    return clades.subtree_counts(views.tree(spark, d), views.counts(spark, d))
 
 
 @query("largest_subclade", f"WITH RECURSIVE {_SUB} SELECT CAST(coalesce(max(n), 0) AS BIGINT) AS largest FROM sub WHERE node LIKE 'n%'")
 def largest_subclade(spark: SparkSession, d: str) -> DataFrame:
     """Zero where nothing was classified."""
-    n = clades.subtree_counts(clades.closure(views.tree(spark, d)), views.counts(spark, d))
+    n = clades.subtree_counts(views.tree(spark, d), views.counts(spark, d))
     return n.where(F.col("node").startswith("n")).agg(F.coalesce(F.max("n"), F.lit(0).cast("long")).alias("largest"))
 
 
@@ -309,14 +311,14 @@ def route_sequences(spark: SparkSession, d: str) -> DataFrame:
 @query("count_per_clade", "SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1")
 def count_per_clade(spark: SparkSession, d: str) -> DataFrame:
     """A5, J6."""
-    return table(spark, d, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n"))
+    return sampling.count_by(table(spark, d, "customer"), "c_nationkey")
 
 
 @query("empty_clades", "SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier)")
 def empty_clades(spark: SparkSession, d: str) -> DataFrame:
     """Nations without suppliers get no job."""
-    nation, supplier = table(spark, d, "nation"), table(spark, d, "supplier")
-    return nation.join(supplier, nation.n_nationkey == supplier.s_nationkey, "left_anti").select("n_nationkey")
+    rows = table(spark, d, "supplier").select(F.col("s_nationkey").alias("n_nationkey"))
+    return clades.without_rows(table(spark, d, "nation").select("n_nationkey"), rows, ["n_nationkey"])
 
 
 @query("clade_numbering", "SELECT n_name, CAST(row_number() OVER (ORDER BY n_name) + 6 AS BIGINT) AS child_clade_id FROM nation")
@@ -367,13 +369,30 @@ def tree_assembly(spark: SparkSession, d: str) -> DataFrame:
     return clades.graft([top, link("region", "r", "r_regionkey", None, "root"), link("nation", "n", "n_nationkey", "r", "n_regionkey"), link("customer", "c", "c_custkey", "n", "c_nationkey")])
 
 
+def _nodes(spark: SparkSession, d: str) -> DataFrame:
+    return views.tree(spark, d).select("node", "parent", F.col("node").alias("name"), F.lit(0.5).alias("length"))
+
+
+@query(
+    "newick_tokens",
+    f"""WITH RECURSIVE {SQL_TREE}, walk AS (SELECT node, parent, [node] AS path, 0 AS nth FROM tree WHERE parent IS NULL
+  UNION ALL SELECT t.node, t.parent, list_append(w.path, t.node), t.nth FROM walk w JOIN (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY node) - 1 AS nth FROM tree) t ON t.parent = w.node),
+inner_ AS (SELECT DISTINCT parent AS node FROM tree WHERE parent IS NOT NULL),
+label AS (SELECT w.*, w.node || CASE WHEN w.parent IS NULL THEN ';' ELSE ':0.50000' END AS label, CASE WHEN nth > 0 THEN ',' ELSE '' END AS comma, i.node IS NOT NULL AS inside FROM walk w LEFT JOIN inner_ i ON w.node = i.node),
+events AS (SELECT path AS k, comma || CASE WHEN inside THEN '(' ELSE label END AS text FROM label UNION ALL SELECT list_append(path, '~'), ')' || label FROM label WHERE inside)
+SELECT row_number() OVER (ORDER BY k) - 1 AS at, text FROM events""",
+)
+def newick_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """The text of a tree in pieces, each with its place."""
+    return trees.newick_tokens(_nodes(spark, d))
+
+
 @query("newick_roundtrip", f"WITH {SQL_TREE} SELECT node, parent FROM tree")
 def newick_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """An edge table to Newick and back."""
-    tree = views.tree(spark, d)
-    ids = lambda c: F.abs(F.xxhash64(c))
-    edges = tree.select(F.lit(1).cast("long").alias("tree_id"), ids(F.col("node")).alias("node_id"), F.when(F.col("parent").isNotNull(), ids(F.col("parent"))).alias("parent_id"), F.lit(0).alias("edge_num"), F.col("node").alias("name"), F.lit(0.0).alias("branch_length"), F.lit(False).alias("is_leaf"))
-    back = trees.edges_of(trees.newick_of(edges))
+    """The pieces put together (one small tree, one text) and read back."""
+    tokens = trees.newick_tokens(_nodes(spark, d))
+    text = tokens.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), "").alias("newick"))
+    back = trees.edges_of(text.select(F.lit(1).cast("long").alias("tree_id"), "newick"))
     up = back.select(F.col("node_id").alias("parent_id"), F.col("name").alias("parent"))
     return back.join(up, "parent_id", "left").select(F.col("name").alias("node"), "parent")
 
@@ -391,6 +410,11 @@ def jplace_best_edge(spark: SparkSession, d: str) -> DataFrame:
 # -- rounds ------------------------------------------------------------------------
 
 
+def _rounds(spark: SparkSession, d: str) -> DataFrame:
+    r = table(spark, d, "conversations").select("conv_id", "turn", F.length("text").alias("para"))
+    return r.withColumn("prev", F.lag("para").over(Window.partitionBy("conv_id").orderBy("turn")))
+
+
 @query(
     "accepted_round",
     "WITH r AS (SELECT conv_id, turn, length(text) AS para FROM conversations), p AS (SELECT *, lag(para) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM r) "
@@ -400,16 +424,30 @@ def accepted_round(spark: SparkSession, d: str) -> DataFrame:
     """The round before the first that leaves more problematic rows than the one before, else the last."""
     from pyspark.sql.window import Window
 
-    r = table(spark, d, "conversations").select("conv_id", "turn", F.length("text").alias("para"))
-    r = r.withColumn("prev", F.lag("para").over(Window.partitionBy("conv_id").orderBy("turn")))
-    return r.groupBy("conv_id").agg(F.coalesce(F.min(F.when(F.col("para") > F.col("prev"), F.col("turn") - 1)), F.max("turn")).cast("long").alias("accepted"))
+    r = _rounds(spark, d)
+    return r.groupBy("conv_id").agg(F.coalesce(F.min(F.when(rounds.worse(F.col("para"), F.col("prev")), F.col("turn") - 1)), F.max("turn")).cast("long").alias("accepted"))
+
+
+@query(
+    "round_decision",
+    "WITH r AS (SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN NULL ELSE length(text) % 7 END AS para, turn % 3 AS largest, CASE WHEN turn % 2 = 1 THEN 1 END AS good FROM conversations), "
+    "f AS (SELECT *, para IS NULL OR para > 4 OR largest = 2 OR largest = 0 AS bad FROM r) "
+    "SELECT conv_id, turn, CASE WHEN bad AND good IS NOT NULL THEN 'previous' WHEN bad THEN 'again' WHEN para = 0 THEN 'accept' ELSE 'retry' END AS early, CASE WHEN bad AND good IS NOT NULL THEN 'previous' WHEN bad THEN 'unresolved' ELSE 'accept' END AS late FROM f",
+)
+def round_decision(spark: SparkSession, d: str) -> DataFrame:
+    """The engine's own expressions over every kind of outcome, before the last round and in it."""
+    r = table(spark, d, "conversations")
+    para = F.when(F.col("turn") % 5 != 4, F.length("text") % 7)
+    good = F.when(F.col("turn") % 2 == 1, 1)
+    fail = rounds.failed(para, F.lit(4), F.col("turn") % 3, F.lit(2))
+    return r.select("conv_id", "turn", rounds.decision(fail, para, good, False).alias("early"), rounds.decision(fail, para, good, True).alias("late"))
 
 
 @query("realign_needed", "SELECT conv_id, count(*) AS n, count(*) < max(turn) * 0.5 AS realign FROM conversations GROUP BY conv_id")
 def realign_needed(spark: SparkSession, d: str) -> DataFrame:
     """Realign where fewer rows are left than half of those at the last alignment."""
     n = table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"), F.max("turn").alias("at"))
-    return n.select("conv_id", "n", (F.col("n") < F.col("at") * 0.5).alias("realign"))
+    return n.select("conv_id", "n", rounds.realign(F.col("n"), F.col("at"), 0.5).alias("realign"))
 
 
 @query(

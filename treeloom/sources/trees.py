@@ -8,11 +8,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeloom.kernels.tree import Tree, parse_newick, to_newick
+from treeloom.kernels.tree import Tree, parse_newick
+from treeloom.operators.ranking import ranked
+from treeloom.plans.durable import durable
 
 EDGES = "tree_id long, node_id long, parent_id long, edge_num int, name string, branch_length double, is_leaf boolean"
 #: Nodes up to which a tree is put together as one text on the driver.
-NEWICK_NODES = 20_000_000
+NEWICK_NODES = 1_000_000
 
 
 def edges_of(trees: DataFrame) -> DataFrame:
@@ -33,18 +35,42 @@ def edges_of(trees: DataFrame) -> DataFrame:
     return trees.select("tree_id", "newick").mapInPandas(run, EDGES)
 
 
-def newick_of(edges: DataFrame, lengths: bool = True) -> DataFrame:
-    """(tree_id, newick) of EDGES (S7): one tree for each task; for trees of samples, not for a whole result."""
+def newick_tokens(nodes: DataFrame, lengths: bool = True) -> DataFrame:
+    """(at, text): the Newick text (S7) of a (node, parent, name, length) table in pieces, ``at`` being their order from 0 on.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.iloc[[i for i, _ in sorted(enumerate(pdf["node_id"]), key=lambda x: int(x[1]))]]
-        at = {n: i for i, n in enumerate(pdf["node_id"])}
-        t = Tree([at[p] if pd.notna(p) else -1 for p in pdf["parent_id"]], [None if pd.isna(x) else x for x in pdf["name"]], [float(x or 0) for x in pdf["branch_length"].fillna(0)])
-        return pd.DataFrame({"tree_id": [pdf["tree_id"].iloc[0]], "newick": [to_newick(t, lengths)]})
-
-    # ids as text: a nullable 64-bit column would become one of floats
-    rows = edges.withColumns({c: F.col(c).cast("string") for c in ("node_id", "parent_id")})
-    return rows.groupBy("tree_id").applyInPandas(run, "tree_id long, newick string")
+    The pieces form a list, each of which knows the next one: a node's opening is
+    followed by its first child, its end by its next sibling's opening or its
+    parent's end. Pointers double until every piece knows how many follow, so
+    that no task holds the tree, however deep or wide it is.
+    """
+    rows = durable(ranked(nodes.select("node", "parent", "name", "length"), ["parent"], ["node"], "nth"))
+    kids = rows.where("parent IS NOT NULL").select(F.col("parent").alias("_of"), "nth", F.col("node").alias("_kid"))
+    first = kids.where("nth = 0").select(F.col("_of").alias("_node"), F.col("_kid").alias("_first"))
+    beside = kids.select(F.col("_of").alias("_parent"), (F.col("nth") - 1).alias("_nth"), F.col("_kid").alias("_next"))
+    linked = rows.join(first, F.col("node") == F.col("_node"), "left").join(beside, (F.col("parent") == F.col("_parent")) & (F.col("nth") == F.col("_nth")), "left")
+    odd = F.coalesce(F.col("name"), F.lit("")).rlike(r"[ ,():;'\[\]]")
+    label = F.when(odd, F.concat(F.lit("'"), F.replace("name", F.lit("'"), F.lit("''")), F.lit("'"))).otherwise(F.coalesce("name", F.lit("")))
+    tail = F.concat(F.lit(":"), F.format_string("%.5f", F.coalesce("length", F.lit(0.0)))) if lengths else F.lit("")
+    label = F.concat(label, F.when(F.col("parent").isNull(), ";").otherwise(tail))
+    comma = F.when((F.col("nth") > 0) & F.col("parent").isNotNull(), ",").otherwise("")
+    piece = lambda kind, c: F.concat(F.lit(kind), c)
+    following = F.when(F.col("_next").isNotNull(), piece("o", F.col("_next"))).when(F.col("parent").isNotNull(), piece("c", F.col("parent")))
+    linked = durable(linked.select("node", "_first", following.alias("next"), label.alias("label"), comma.alias("comma")))
+    leaf = linked.where("_first IS NULL").select(piece("o", F.col("node")).alias("piece"), "next", F.concat("comma", "label").alias("text"))
+    opens = linked.where("_first IS NOT NULL").select(piece("o", F.col("node")).alias("piece"), piece("o", F.col("_first")).alias("next"), F.concat("comma", F.lit("(")).alias("text"))
+    ends = linked.where("_first IS NOT NULL").select(piece("c", F.col("node")).alias("piece"), "next", F.concat(F.lit(")"), "label").alias("text"))
+    pieces = durable(leaf.union(opens).union(ends))
+    total = pieces.count()
+    at = durable(pieces.select("piece", "next", F.when(F.col("next").isNull(), 0).otherwise(1).cast("long").alias("left")))
+    while not at.where("next IS NOT NULL").isEmpty():
+        on = at.select(F.col("piece").alias("_piece"), F.col("next").alias("_then"), F.col("left").alias("_left"))
+        at = durable(at.join(on, F.col("next") == F.col("_piece"), "left").select("piece", F.col("_then").alias("next"), (F.col("left") + F.coalesce("_left", F.lit(0))).alias("left")))
+    return pieces.select("piece", "text").join(at.select("piece", "left"), "piece").select((F.lit(total - 1) - F.col("left")).alias("at"), "text")
+
+
+def write_newick(nodes: DataFrame, path: str, lengths: bool = True, compression: str = "none") -> None:
+    """Part files that, one after the other, are the tree's text; a line end between pieces is white space there."""
+    newick_tokens(nodes, lengths).orderBy("at").select("text").write.mode("overwrite").option("compression", compression).text(path)
 
 
 def read_newick(spark: SparkSession, path: str) -> DataFrame:
