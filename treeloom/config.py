@@ -9,7 +9,9 @@ from dataclasses import dataclass
 METHODS = ("mp", "nj", "ml")
 #: Method names that users of comparable tools know.
 ALIASES = {"raxmlMP": "mp", "rapidnjNJ": "nj", "fasttreeML": "ml", "raxmlML": "ml"}
-MODELS = ("JC", "F81", "GTR")
+MODELS = ("JC", "F81", "F81+G")
+#: Names of models with exchange rates as well, and the nearest one here: base frequencies and rate categories.
+NEAREST = {"GTR": "F81", "GTRCAT": "F81+G", "GTRGAMMA": "F81+G"}
 
 
 @dataclass(frozen=True)
@@ -55,10 +57,14 @@ class LineageConfig:
             raise ValueError("subsample, threshold and tip_sample are 2 at least")
         if self.max_rounds < 2:
             raise ValueError("max_rounds is 2 at least: a run makes max_rounds - 1 rounds")
-        if self.model not in (*MODELS, "GTRCAT"):
-            raise ValueError(f"model is one of {MODELS} or GTRCAT")
-        if self.model not in ("JC", "GTRCAT"):
-            warnings.warn(f"{self.model} is approximated by JC", stacklevel=2)
+        if self.model not in (*MODELS, *NEAREST):
+            raise ValueError(f"model is one of {MODELS} or {tuple(NEAREST)}")
+        if self.model == "GTR":
+            warnings.warn("GTR is approximated by F81: all exchanges have one rate", stacklevel=2)
+
+    def substitution(self) -> str:
+        """The model that is computed."""
+        return NEAREST.get(self.model, self.model)
 
     def seed_value(self) -> int:
         """The seed; ``random`` draws one for this run."""

@@ -10,11 +10,13 @@ from treeloom import views
 from treeloom.catalog import query
 from treeloom.config import LineageConfig
 from treeloom.kernels import align
-from treeloom.operators import sampling
-from treeloom.plans.durable import durable
+from treeloom.operators import choose, clades, sampling
+from treeloom.plans.durable import stored
 from treeloom.plans.engine import _Run, reconstruct
 from treeloom.kernels.sample_tree import Model
 from treeloom.kernels.tree import to_newick
+from treeloom.plans.sizing import broadcast_if_small
+from treeloom.views import table
 
 
 def _samples(spark: SparkSession, d: str, k: int = 12) -> DataFrame:
@@ -66,7 +68,7 @@ def user_builder_tree(spark: SparkSession, d: str) -> DataFrame:
 
 def _placed(spark: SparkSession, d: str, **how) -> DataFrame:
     run = _Run(LineageConfig(**how), views.ROOT)
-    models = durable(run.models(_samples(spark, d)))
+    models = stored(run.models(_samples(spark, d)))
     rows = views.sequences(spark, d).withColumnRenamed("label", "clade_id")
     return run.place(rows.select("clade_id", "name", "seq"), models).drop("seq")
 
@@ -112,30 +114,40 @@ def plus_one_align(spark: SparkSession, d: str) -> DataFrame:
             done = {k: align.profile(align.align_all(list(g["sample"].iloc[0]), views.ROOT) + [views.ROOT]) for k, g in b.groupby("label")}
             yield b[["label", "name"]].assign(aligned=[align.to_profile(s, done[k]) for k, s in zip(b["label"], b["seq"], strict=True)])
 
-    return raw.join(F.broadcast(lists), "label").mapInPandas(run, "label long, name string, aligned string")
+    return raw.join(broadcast_if_small(stored(lists), limit=10_000), "label").mapInPandas(run, "label long, name string, aligned string")
 
 
-def _with_root(spark: SparkSession, rows: DataFrame) -> DataFrame:
-    return rows.select("name", "seq").union(spark.createDataFrame([("root", views.ROOT)], "name string, seq string"))
+def _clades(nodes: DataFrame, taxa: DataFrame, depth: int) -> DataFrame:
+    """(clade, n, together): for each true clade of the first levels its taxa, and the taxa under the node where they meet in ``nodes``."""
+    tree = stored(nodes.select("node", "parent", "name"))
+    leaves = tree.where("name IS NOT NULL").select("node", "name").join(taxa, "name")
+    each = stored(leaves.select("node", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("m"), "prefix").select(F.substring(F.col("prefix"), F.lit(1), F.col("m")).alias("clade"), F.col("node").alias("edge")))
+    met = choose.lowest_common_ancestor(each, ["clade"], tree)
+    under = clades.subtree_counts(tree, leaves.select("node", F.lit(1).alias("cnt"))).select(F.col("node").alias("lca"), F.col("n").alias("together"))
+    return sampling.count_by(each, "clade").join(met, "clade").join(under, "lca").select("clade", "n", "together")
 
 
-@query("lineage_full")
+@query("lineage_full", views.sql_clades("customer", "c_custkey", 5))
 def lineage_full(spark: SparkSession, d: str) -> DataFrame:
-    """The whole engine over all sequences: the node table."""
-    out = reconstruct(_with_root(spark, views.sequences(spark, d)), LineageConfig(method="nj", placement="MP", subsample=200, threshold=480, max_rounds=3, max_clades=10**9, unresolved="polytomy"))
-    return out.nodes.select("node", "parent", "name", F.round("length", 9).alias("length"))
+    """The whole engine, with the default sample, threshold and rounds, over sequences that evolved along a known tree: its clades stay together, whole."""
+    taxa = stored(views.lineage_taxa(spark, d, "customer", "c_custkey"))
+    rows = views.lineage_sequences(taxa).union(spark.createDataFrame([("root", "A" * views.SITES)], "name string, seq string"))
+    return _clades(reconstruct(rows, LineageConfig(method="nj", placement="MP", careful=2, max_clades=10**9)).nodes, taxa, 5)
 
 
-@query("lineage_edits")
+@query("lineage_edits", views.sql_clades("supplier", "s_suppkey", 4))
 def lineage_edits(spark: SparkSession, d: str) -> DataFrame:
-    """The whole engine in edit mode (E3): users by their kinds of events."""
-    taxa = views.user_edits(spark, d).groupBy("name").agg(F.sort_array(F.collect_set("edit")).alias("edits"))
-    out = reconstruct(taxa, LineageConfig(edits=True, placement="MP", subsample=60, threshold=120, max_rounds=3, max_clades=10**9, unresolved="polytomy"))
-    return out.nodes.select("node", "parent", "name", F.round("length", 9).alias("length"))
+    """The same in edit mode."""
+    taxa = stored(views.lineage_taxa(spark, d, "supplier", "s_suppkey"))
+    out = reconstruct(views.lineage_edits(taxa), LineageConfig(method="nj", edits=True, placement="MP", careful=2, max_clades=10**9))
+    return _clades(out.nodes, taxa, 4)
 
 
-@query("lineage_discarded")
+@query("lineage_discarded", "SELECT 'problematic' AS reason, count(*) AS n FROM nation")
 def lineage_discarded(spark: SparkSession, d: str) -> DataFrame:
-    """What the default settings leave out, and why."""
-    out = reconstruct(_with_root(spark, views.sequences(spark, d)), LineageConfig(method="nj", placement="MP", subsample=200, threshold=480, max_rounds=3, max_clades=10**9))
+    """Taxa that cannot be told from the root stay on its edge in every round and are left out, with all their copies."""
+    taxa = views.lineage_taxa(spark, d, "supplier", "s_suppkey")
+    blank = table(spark, d, "nation").select(F.concat(F.lit("blank"), "n_nationkey"), F.repeat(F.lit("A"), F.lit(views.SITES)))
+    rows = views.lineage_sequences(taxa).union(blank).union(spark.createDataFrame([("root", "A" * views.SITES)], "name string, seq string"))
+    out = reconstruct(rows, LineageConfig(method="nj", max_clades=10**9))
     return out.discarded.groupBy("reason").agg(F.count("*").alias("n"))

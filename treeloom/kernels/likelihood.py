@@ -1,7 +1,14 @@
-"""Jukes-Cantor likelihood: scores of attaching a query to each edge, and tree search by interchange."""
+"""Likelihood of DNA on a tree: scores of attaching a query to each edge, and tree search by interchange.
+
+The substitution model has base frequencies (equal ones are Jukes-Cantor, others
+Felsenstein 1981) and rate categories, whose likelihoods are averaged by site.
+"""
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 import numpy as np
 
 from treeloom.kernels.parsimony import state_sets
@@ -11,10 +18,41 @@ from treeloom.kernels.tree import Tree
 PENDANT = (0.0005, 0.005, 0.02, 0.05, 0.1, 0.3)
 
 
-def along(partial: np.ndarray, t: float) -> np.ndarray:
-    """Partial likelihoods (..., 4) after a branch of length t."""
-    e = np.exp(-4 / 3 * max(t, 1e-6))
-    return e * partial + (1 - e) / 4 * partial.sum(axis=-1, keepdims=True)
+@dataclass(frozen=True)
+class Substitution:
+    """Base frequencies (A, C, G, T) and relative rates of equal weight."""
+
+    freq: np.ndarray
+    rates: tuple[float, ...] = (1.0,)
+
+    @property
+    def pace(self) -> float:
+        """What makes a branch of length 1 one expected change a site."""
+        return 1 / (1 - float((self.freq**2).sum()))
+
+    def along(self, partial: np.ndarray, t: np.ndarray | float) -> np.ndarray:
+        """Partial likelihoods (..., 4) after a branch of length t."""
+        e = np.exp(-self.pace * np.maximum(t, 1e-6))
+        return e * partial + (1 - e) * (partial * self.freq).sum(axis=-1, keepdims=True)
+
+
+JC = Substitution(np.full(4, 0.25))
+
+
+def gamma_rates(n: int = 4) -> tuple[float, ...]:
+    """Mean rates of the n equal shares of an exponential distribution (a gamma one of shape 1)."""
+    cut = [-math.log(1 - k / n) for k in range(n)]
+    tail = [(x + 1) * math.exp(-x) for x in cut] + [0.0]
+    return tuple(n * (tail[k] - tail[k + 1]) for k in range(n))
+
+
+def substitution(name: str, seqs: list[str]) -> Substitution:
+    """The model ``name`` (JC, F81 or F81+G) with the base frequencies of ``seqs`` (X7); a base that is missing counts once."""
+    if name == "JC":
+        return JC
+    codes = np.frombuffer("".join(seqs).upper().encode(), np.uint8)
+    n = np.array([max(1, int((codes == c).sum())) for c in b"ACGT"], float)
+    return Substitution(n / n.sum(), gamma_rates() if name == "F81+G" else (1.0,))
 
 
 def tips(sets: np.ndarray) -> np.ndarray:
@@ -27,7 +65,7 @@ def _scaled(x: np.ndarray, log: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x / top, log + np.log(top[..., 0])
 
 
-def partials(tree: Tree, leaf: dict[str, np.ndarray], root: np.ndarray):
+def partials(tree: Tree, leaf: dict[str, np.ndarray], root: np.ndarray, model: Substitution = JC, rate: float = 1.0):
     """(below, above) with their site logs: at each node's lower end from below, and at its upper end from the rest."""
     kids, order = tree.children(), tree.preorder()
     sites = len(root)
@@ -37,48 +75,60 @@ def partials(tree: Tree, leaf: dict[str, np.ndarray], root: np.ndarray):
         if not kids[v]:
             below[v] = leaf[tree.name[v]]
         for w in kids[v]:
-            below[v], lb[v] = _scaled(below[v] * along(below[w], tree.length[w]), lb[v] + lb[w])
+            below[v], lb[v] = _scaled(below[v] * model.along(below[w], rate * tree.length[w]), lb[v] + lb[w])
     above[order[0]] = root
     for v in order:
         for w in kids[v]:
-            x, log = along(above[v], tree.length[v]), la[v]
+            x, log = model.along(above[v], rate * tree.length[v]), la[v]
             for s in kids[v]:
                 if s != w:
-                    x, log = x * along(below[s], tree.length[s]), log + lb[s]
+                    x, log = x * model.along(below[s], rate * tree.length[s]), log + lb[s]
             above[w], la[w] = _scaled(x, log)
     return below, lb, above, la
 
 
-def log_likelihood(tree: Tree, leaf: dict[str, np.ndarray], root: np.ndarray) -> float:
-    below, lb, _, _ = partials(tree, leaf, root)
-    top = tree.preorder()[0]
-    return float((np.log((along(below[top], tree.length[top]) * root).sum(axis=-1) / 4) + lb[top]).sum())
+def _mean(logs: list[np.ndarray]) -> np.ndarray:
+    """log of the mean of the categories' likelihoods."""
+    if len(logs) == 1:
+        return logs[0]
+    top = np.max(logs, axis=0)
+    return top + np.log(np.mean([np.exp(x - top) for x in logs], axis=0))
+
+
+def log_likelihood(tree: Tree, leaf: dict[str, np.ndarray], root: np.ndarray, model: Substitution = JC) -> float:
+    top, logs = tree.preorder()[0], []
+    for rate in model.rates:
+        below, lb, _, _ = partials(tree, leaf, root, model, rate)
+        logs.append(np.log((model.along(below[top], rate * tree.length[top]) * root * model.freq).sum(axis=-1)) + lb[top])
+    return float(_mean(logs).sum())
 
 
-def attachment_table(tree: Tree, leaf: dict[str, np.ndarray], root: np.ndarray) -> np.ndarray:
+def attachment_table(tree: Tree, leaf: dict[str, np.ndarray], root: np.ndarray, model: Substitution = JC) -> np.ndarray:
     """log likelihood (pendant length, edge, site, state) of a query's site; state 4 is unknown.
 
     A query's score on an edge is the sum over its sites, so that many queries
-    are scored by one matrix product.
+    are scored from one table.
     """
-    below, lb, above, la = partials(tree, leaf, root)
-    half = np.array(tree.length)[:, None, None] / 2
-    e = np.exp(-4 / 3 * np.maximum(half, 1e-6))
-    mid = (e * below + (1 - e) / 4 * below.sum(-1, keepdims=True)) * (e * above + (1 - e) / 4 * above.sum(-1, keepdims=True))
-    log = (lb + la)[..., None]
-    out = np.empty((len(PENDANT), *mid.shape[:2], 5))
-    for k, t in enumerate(PENDANT):
-        out[k, ..., :4] = np.log(np.maximum(along(mid, t) / 4, 1e-300)) + log
-    out[..., 4] = (np.log(np.maximum(mid.sum(-1) / 4, 1e-300)) + lb + la)[None]
-    return out
-
-
-def interchange(tree: Tree, names: list[str], seqs: list[str], root_seq: str, rounds: int = 3) -> Tree:
+    logs = []
+    for rate in model.rates:
+        below, lb, above, la = partials(tree, leaf, root, model, rate)
+        half = rate * np.array(tree.length)[:, None, None] / 2
+        mid = model.along(below, half) * model.along(above, half)
+        log = (lb + la)[..., None]
+        out = np.empty((len(PENDANT), *mid.shape[:2], 5))
+        for k, t in enumerate(PENDANT):
+            out[k, ..., :4] = np.log(np.maximum(model.along(mid, rate * t) * model.freq, 1e-300)) + log
+        out[..., 4] = (np.log(np.maximum((mid * model.freq).sum(-1), 1e-300)) + lb + la)[None]
+        logs.append(out)
+    return _mean(logs)
+
+
+def interchange(tree: Tree, names: list[str], seqs: list[str], root_seq: str, model: Substitution = JC, rounds: int = 3) -> Tree:
     """Nearest-neighbour interchange under the likelihood, from ``tree`` (X3: an approximation of a full search)."""
     sets = state_sets([*seqs, root_seq])
     leaf = dict(zip(names, tips(sets[:-1]), strict=True))
     root = tips(sets[-1])
-    best = log_likelihood(tree, leaf, root)
+    best = log_likelihood(tree, leaf, root, model)
     for _ in range(rounds):
         changed = False
         for v in range(1, len(tree)):
@@ -90,7 +140,7 @@ def interchange(tree: Tree, names: list[str], seqs: list[str], root_seq: str, ro
                 for s in beside:
                     trial = Tree(list(tree.parent), list(tree.name), list(tree.length))
                     trial.parent[w], trial.parent[s] = tree.parent[v], v
-                    got = log_likelihood(trial, leaf, root)
+                    got = log_likelihood(trial, leaf, root, model)
                     if got > best + 1e-6:
                         tree, best, changed = trial, got, True
                         break

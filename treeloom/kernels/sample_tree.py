@@ -50,7 +50,7 @@ def build_tree(names: list[str], seqs: list[str], root: str, config: LineageConf
         return parsimony.stepwise(names, sets[:-1], sets[-1])
     tree = distance.neighbor_joining([*names, "root"], distance.pairwise([*seqs, root]))
     if config.method == "ml":
-        tree = likelihood.interchange(parsimony.with_lengths(tree, leaf, sets[-1]), names, seqs, root)
+        tree = likelihood.interchange(parsimony.with_lengths(tree, leaf, sets[-1]), names, seqs, root, likelihood.substitution(config.substitution(), [*seqs, root]))
     return tree if config.method == "nj" else parsimony.with_lengths(tree, leaf, sets[-1])
 
 
@@ -69,7 +69,7 @@ class Model:
         listed = lambda x: list(x) if x is not None else None
         return cls(Tree([int(p) for p in row["parent"]], [n or None for n in row["label"]], [float(x) for x in row["length"]]), listed(row["names"]), listed(row["seqs"]), row["root"], listed(row["vocab"]))
 
-    def tables(self, placement: str) -> list[np.ndarray]:
+    def tables(self, placement: str, substitution: str = "JC") -> list[np.ndarray]:
         """Score tables (sites, states, edges): a query's score on an edge sums its states' entries, in the best of them."""
         sets = parsimony.state_sets([*self.seqs, self.root])
         leaf = dict(zip(self.names, sets[:-1], strict=True))
@@ -81,7 +81,7 @@ class Model:
                 miss[..., k] = (edge & np.uint8(1 << k)) == 0
             return [np.ascontiguousarray(-miss.transpose(1, 2, 0))]
         tips = {n: likelihood.tips(s) for n, s in leaf.items()}
-        out = likelihood.attachment_table(self.tree, tips, likelihood.tips(sets[-1]))
+        out = likelihood.attachment_table(self.tree, tips, likelihood.tips(sets[-1]), likelihood.substitution(substitution, [*self.seqs, self.root]))
         return [np.ascontiguousarray(t.transpose(1, 2, 0)) for t in out]
 
 
@@ -95,7 +95,7 @@ class Placer:
 
     def __init__(self, model: Model, config: LineageConfig, clade: int, seed: int) -> None:
         self.model, self.config, self.clade, self.seed = model, config, clade, seed
-        self.tables = model.tables(config.placement)
+        self.tables = model.tables(config.placement, config.substitution())
         self.columns = align.profile(model.seqs + [model.root]) if config.unaligned else None
         self.above = [self._path(v) for v in range(len(model.tree))]
 

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from treeloom.operators.clades import paths
 from treeloom.operators.ranking import ranked
 from treeloom.operators.sampling import draw, sample
-from treeloom.plans.durable import durable
+from treeloom.plans.durable import stored
 from treeloom.plans.sizing import broadcast_if_small
 
 
@@ -36,7 +36,7 @@ def lowest_common_ancestor(cand: DataFrame, by: list[str], tree: DataFrame, edge
     the two, so the first and the last candidate decide: two numbers for a query,
     combined map-side. The common ancestor ends what their paths share.
     """
-    at = durable(ranked(paths(tree), [], ["path"], "_place"))
+    at = stored(ranked(paths(tree), [], ["path"], "_place"))
     n = at.count()
     ends = cand.join(broadcast_if_small(at.select(F.col("node").alias(edge), "_place"), n), edge).groupBy(*by).agg(F.min("_place").alias("_first"), F.max("_place").alias("_last"))
     first, last = (broadcast_if_small(at.select(F.col("_place").alias(p), F.col("path").alias(f"{p}_path")), n) for p in ("_first", "_last"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from treeloom.operators.ranking import ranked
-from treeloom.plans.durable import durable
+from treeloom.plans.durable import stored
 
 
 def closure(tree: DataFrame) -> DataFrame:
@@ -14,16 +14,16 @@ def closure(tree: DataFrame) -> DataFrame:
     Paths double in length at each step, so a chain of d nodes takes log2(d) joins.
     """
     known = tree.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("distance"))
-    step = durable(tree.where("parent IS NOT NULL").select("node", F.col("parent").alias("ancestor")))
-    known = durable(known.union(step.withColumn("distance", F.lit(1))))
+    step = stored(tree.where("parent IS NOT NULL").select("node", F.col("parent").alias("ancestor")))
+    known = stored(known.union(step.withColumn("distance", F.lit(1))))
     hop, reach = step, 1
     while True:
         # hop: exactly `reach` levels up; known: every pair up to `reach`
         further = hop.select(F.col("node").alias("low"), F.col("ancestor").alias("mid")).join(known.where("distance > 0"), F.col("mid") == F.col("node"))
-        new = durable(further.select(F.col("low").alias("node"), "ancestor", (F.col("distance") + reach).alias("distance")))
+        new = stored(further.select(F.col("low").alias("node"), "ancestor", (F.col("distance") + reach).alias("distance")))
         if new.isEmpty():
             return known
-        known = durable(known.union(new))
+        known = stored(known.union(new))
         hop = new.where(F.col("distance") == 2 * reach).select("node", "ancestor")
         reach *= 2
 
@@ -35,10 +35,10 @@ def _folded_up(start: DataFrame, fold, pending: str = "up IS NOT NULL") -> DataF
     and sets x to ``fold(x, that one's x)``; the table keeps one row for a node,
     so that an unbalanced tree costs no more than a balanced one.
     """
-    at = durable(start)
+    at = stored(start)
     while not at.where(pending).isEmpty():
         above = at.select(F.col("node").alias("_node"), F.col("up").alias("_up"), F.col("x").alias("_x"))
-        at = durable(at.join(above, F.col("up") == F.col("_node"), "left").select("node", F.col("_up").alias("up"), F.when(F.col("_node").isNull(), F.col("x")).otherwise(fold(F.col("x"), F.col("_x"))).alias("x")))
+        at = stored(at.join(above, F.col("up") == F.col("_node"), "left").select("node", F.col("_up").alias("up"), F.when(F.col("_node").isNull(), F.col("x")).otherwise(fold(F.col("x"), F.col("_x"))).alias("x")))
     return at.select("node", "x")
 
 
@@ -60,12 +60,12 @@ def subtree_counts(tree: DataFrame, counts: DataFrame) -> DataFrame:
     Round k adds to each node what its descendants 2**k levels down have summed
     so far; one row for a node, and as many rounds as the depth has binary digits.
     """
-    at = durable(tree.join(counts, "node", "left").select("node", F.col("parent").alias("up"), F.coalesce("cnt", F.lit(0)).cast("long").alias("n")))
+    at = stored(tree.join(counts, "node", "left").select("node", F.col("parent").alias("up"), F.coalesce("cnt", F.lit(0)).cast("long").alias("n")))
     while not at.where("up IS NOT NULL").isEmpty():
         got = at.where("up IS NOT NULL").groupBy(F.col("up").alias("_node")).agg(F.sum("n").alias("_n"))
         above = at.select(F.col("node").alias("_mid"), F.col("up").alias("_up"))
         at = at.join(got, F.col("node") == F.col("_node"), "left").join(above, F.col("up") == F.col("_mid"), "left")
-        at = durable(at.select("node", F.col("_up").alias("up"), (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n")))
+        at = stored(at.select("node", F.col("_up").alias("up"), (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n")))
     return at.where("n > 0").select("node", "n")
 
 
@@ -81,7 +81,7 @@ def clade_cut(tree: DataFrame, counts: DataFrame, top: str, limit: int) -> DataF
     leaf = tree.select(F.col("parent").alias("node")).where("node IS NOT NULL").distinct().withColumn("inner", F.lit(True))
     state = tree.join(depth, "node").join(counts, "node", "left").join(leaf, "node", "left")
     stop = (F.col("node") != top) & ((F.coalesce("cnt", F.lit(0)) > 0) | (F.col("depth") >= limit))
-    state = durable(state.select("node", "parent", stop.alias("stop"), F.coalesce("inner", F.lit(False)).alias("inner")))
+    state = stored(state.select("node", "parent", stop.alias("stop"), F.coalesce("inner", F.lit(False)).alias("inner")))
     up = state.select(F.col("node").alias("_of"), F.col("stop").alias("_stop"))
     hidden = _folded_up(state.join(up, F.col("parent") == F.col("_of"), "left").select("node", F.col("parent").alias("up"), F.coalesce("_stop", F.lit(False)).alias("x")), lambda x, above: x | above)
     reached = state.join(hidden, "node").where((F.col("node") != top) & ~F.col("x") & (F.col("stop") | ~F.col("inner")))
@@ -100,12 +100,12 @@ def induced_subtree(tree: DataFrame, keep: DataFrame) -> DataFrame:
     A node that loses a child disappears; survivors hang on the nearest ancestor
     that lost none. The top stays.
     """
-    alive = durable(subtree_counts(tree, keep.select("node").distinct().withColumn("cnt", F.lit(1))).select("node", F.lit(True).alias("alive")))
+    alive = stored(subtree_counts(tree, keep.select("node").distinct().withColumn("cnt", F.lit(1))).select("node", F.lit(True).alias("alive")))
     child = tree.select(F.col("node").alias("child"), "parent").where("parent IS NOT NULL").join(alive.select(F.col("node").alias("child"), "alive"), "child", "left")
     # every child alive (bool_and), by parent
     whole = child.groupBy(F.col("parent").alias("node")).agg(F.bool_and(F.coalesce("alive", F.lit(False))).alias("whole"))
     state = tree.join(alive, "node", "left_semi").join(whole, "node", "left").select("node", "parent", (F.coalesce("whole", F.lit(True)) | F.col("parent").isNull()).alias("stays"))
-    state = durable(state)
+    state = stored(state)
     up = state.where("stays").select(F.col("node").alias("_of"))
     start = state.join(up, F.col("parent") == F.col("_of"), "left").select("node", F.col("parent").alias("up"), F.col("_of").alias("x"))
     near = _folded_up(start, F.coalesce, "up IS NOT NULL AND x IS NULL")

@@ -6,11 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treeloom.operators.ranking import ranked
-from treeloom.plans.durable import durable
+from treeloom.plans.durable import stored
 from treeloom.plans.sizing import broadcast_if_small
 
 
-def vocabulary(rows: DataFrame, total: int | Column, by: list[str] | None = None, edit: str = "edit", floor: float = 0.001) -> DataFrame:
+#: Fixed value: an edit in no more than this share of the taxa gets no site.
+FLOOR = 0.001
+
+
+def vocabulary(rows: DataFrame, total: int | Column, by: list[str] | None = None, edit: str = "edit", floor: float = FLOOR) -> DataFrame:
     """(by, edit, cnt) of the edits worth a site (A4), from one row for each occurrence.
 
     Kept are those in more than ``floor`` of ``total`` taxa but not in all;
@@ -27,7 +31,7 @@ def encode(rows: DataFrame, vocab: DataFrame, name: str = "name", edit: str = "e
     The vocabulary is numbered and joined, so that a taxon costs its own edits;
     the sites between them are written as runs.
     """
-    sites = durable(ranked(vocab.select(edit).distinct(), [], [edit], "_site"))
+    sites = stored(ranked(vocab.select(edit).distinct(), [], [edit], "_site"))
     size = sites.count()
     half = size // 2 + 1
     have = rows.select(name, edit).join(broadcast_if_small(sites, size), edit, "left").groupBy(name).agg(F.sort_array(F.collect_set("_site")).alias("_have"))

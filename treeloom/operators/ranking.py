@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from treeloom.plans.durable import durable
+from treeloom.plans.durable import stored
 from treeloom.plans.sizing import broadcast_if_small
 
 
@@ -21,9 +21,9 @@ def ranked(df: DataFrame, by: list[str], order: list[Column | str], out: str = "
     in the group. Rows equal in ``by`` and ``order`` share a range.
     """
     dealt = df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumn("_rk_at", F.monotonically_increasing_id())
-    dealt = durable(dealt).withColumn("_rk_block", F.shiftrightunsigned("_rk_at", 33))
+    dealt = stored(dealt).withColumn("_rk_block", F.shiftrightunsigned("_rk_at", 33))
     heads = dealt.groupBy(*by, "_rk_block").agg(F.min("_rk_at").alias("_rk_first"), F.count("*").alias("_rk_n"))
     before = F.coalesce(F.sum("_rk_n").over(Window.partitionBy(*(by or [F.lit(0)])).orderBy("_rk_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    heads = durable(heads.select(*[F.col(c).alias(f"_rk_{c}") for c in by], F.col("_rk_block").alias("_rk_of"), (before - F.col("_rk_first")).alias("_rk_shift")))
+    heads = stored(heads.select(*[F.col(c).alias(f"_rk_{c}") for c in by], F.col("_rk_block").alias("_rk_of"), (before - F.col("_rk_first")).alias("_rk_shift")))
     on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_rk_{c}")) for c in by], F.col("_rk_block") == F.col("_rk_of"))
     return dealt.join(broadcast_if_small(heads), on).select(*df.columns, (F.col("_rk_at") + F.col("_rk_shift")).alias(out))

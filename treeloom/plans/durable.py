@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders that are to be deleted when the JVM ends.
+_LEAVING: set[str] = set()
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The session's shared checkpoint folder.
@@ -41,3 +46,22 @@ def durable(df: DataFrame) -> DataFrame:
         return df.checkpoint(eager=True)
     finally:
         spark.conf.set(key, before)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as a Parquet table in the shared folder and read back, for tables that loops read again.
+
+    A checkpoint runs its last stage twice and hands on the size estimate of its
+    plan, which a loop of joins squares each round until planning takes all the
+    time; a table is computed once and has the size of its files. The session's
+    tables go when its JVM ends.
+    """
+    spark = df.sparkSession
+    base = f"{ensure_checkpoint_dir(spark)}/tables-{spark.sparkContext.applicationId}"
+    path = f"{base}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if base not in _LEAVING:
+        _LEAVING.add(base)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(base)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return spark.read.schema(df.schema).parquet(path)

@@ -31,7 +31,7 @@ from treeloom.operators import rounds
 from treeloom.operators.choose import next_round_pool
 from treeloom.operators.clades import pool_of
 from treeloom.operators.sampling import count_by, draw, root_row, sample, without_root
-from treeloom.plans.durable import durable
+from treeloom.plans.durable import stored
 from treeloom.plans.sizing import arrow_rows, broadcast_if_small
 from treeloom.sources.trees import NEWICK_NODES, tree_from_rows
 
@@ -139,7 +139,7 @@ class _Run:
         chunk = self.config.chunk
         salts = F.when(pool_of(F.col("n"), chunk) == "large", F.ceil(F.col("n") / chunk)).otherwise(F.lit(1).cast("long"))  # large clades are spread (C7)
         n = rows.groupBy("clade_id").agg(F.count("*").alias("n"))
-        salted = rows.join(broadcast_if_small(durable(n)), "clade_id").withColumn("_salt", F.pmod(F.xxhash64("name"), salts)).drop("n")
+        salted = rows.join(broadcast_if_small(stored(n)), "clade_id").withColumn("_salt", F.pmod(F.xxhash64("name"), salts)).drop("n")
         spread = sound.join(n, "clade_id").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("n")
 
         def both(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -209,15 +209,15 @@ def reconstruct(taxa: DataFrame, config: LineageConfig | None = None) -> Lineage
     rows = without_root(taxa.select("name", payload))
     key = F.array_join(F.sort_array("edits"), ";") if config.edits else F.col("seq")
     first = rows.withColumn("_key", F.sha2(key, 256)).groupBy("_key").agg(F.min("name").alias("name"), F.min_by(payload, "name").alias(payload), F.count("*").alias("_n"))
-    first = durable(first)
+    first = stored(first)
     twins = None
     if not first.where("_n > 1").isEmpty():
         named = rows.select(F.col("name").alias("twin"), F.sha2(key, 256).alias("_key"))
-        twins = durable(named.join(first.where("_n > 1").select("_key", "name"), "_key").select("name", "twin"))
+        twins = stored(named.join(first.where("_n > 1").select("_key", "name"), "_key").select("name", "twin"))
     frontier = first.select(F.lit(0).cast("long").alias("clade_id"), "name", payload)
     if config.unaligned:
         frontier = frontier.withColumns({"aln": F.lit(None).cast("string"), "aln_n": F.lit(None).cast("long")})
-    frontier = durable(frontier)
+    frontier = stored(frontier)
 
     nodes: list[DataFrame] = []
     lost: list[DataFrame] = []
@@ -225,7 +225,7 @@ def reconstruct(taxa: DataFrame, config: LineageConfig | None = None) -> Lineage
     clades = 1
     for level in range(10_000):
         began = time.time()
-        sizes = durable(count_by(frontier, "clade_id"))
+        sizes = stored(count_by(frontier, "clade_id"))
         figures = sizes.agg(F.count("*").alias("c"), F.sum("n").alias("n"), F.count_if(F.col("n") > config.threshold).alias("open")).first()
         if not figures.c:
             break
@@ -233,7 +233,7 @@ def reconstruct(taxa: DataFrame, config: LineageConfig | None = None) -> Lineage
         if clades > config.max_clades + 1 and figures.open:
             raise RuntimeError(f"over {config.max_clades} clades: raise max_clades")
         sized = frontier.join(broadcast_if_small(sizes, figures.c), "clade_id")
-        nodes.append(durable(run.direct(sized.where(F.col("n") <= config.threshold).drop("n"))))
+        nodes.append(stored(run.direct(sized.where(F.col("n") <= config.threshold).drop("n"))))
         metrics.append({"level": level, "clades": figures.c, "taxa": figures.n, "open": figures.open, "rounds": 0, "discarded": 0})
         if not figures.open:
             metrics[-1]["seconds"] = time.time() - began
@@ -241,27 +241,27 @@ def reconstruct(taxa: DataFrame, config: LineageConfig | None = None) -> Lineage
         active = sized.where(F.col("n") > config.threshold)
         if config.unaligned:  # keep an alignment while the clade is not much smaller than when it was made (X12)
             active = active.withColumn("aln", F.when(~rounds.realign(F.col("n"), F.col("aln_n"), config.realign_ratio), F.col("aln"))).withColumn("aln_n", F.when(F.col("aln").isNull(), F.col("n")).otherwise(F.col("aln_n")))
-        active = durable(active.drop("n"))
-        state = durable(sizes.where(F.col("n") > config.threshold).select("clade_id", "n", F.col("n").alias("prev"), F.lit(None).cast("int").alias("good")))
+        active = stored(active.drop("n"))
+        state = stored(sizes.where(F.col("n") > config.threshold).select("clade_id", "n", F.col("n").alias("prev"), F.lit(None).cast("int").alias("good")))
         pool, made, settled = active, {}, []
         for turn in range(1, config.max_rounds):
             open_ = state.select("clade_id")
-            todo = active if turn == 1 else durable(active.join(broadcast_if_small(open_), "clade_id", "left_semi"))
+            todo = active if turn == 1 else stored(active.join(broadcast_if_small(open_), "clade_id", "left_semi"))
             drawn = sample(pool, "clade_id", "name", min(config.subsample, config.tip_sample), run.seed, F.lit(turn))
-            drawn = durable(drawn if root is None else drawn.where(F.col("seq") != root))
+            drawn = stored(drawn if root is None else drawn.where(F.col("seq") != root))
             drawn = drawn.withColumn("_order", draw(run.seed, "clade_id", "name"))
-            models = durable(run.models(drawn))
-            placed = durable(run.place(todo, models))
+            models = stored(run.models(drawn))
+            placed = stored(run.place(todo, models))
             counts = placed.groupBy("clade_id", "edge").agg(F.count("*").alias("cnt"))
-            cuts = durable(run.cuts(counts, models, state.select("clade_id", "n"), turn))
+            cuts = stored(run.cuts(counts, models, state.select("clade_id", "n"), turn))
             made[turn] = (placed, cuts)
             got = cuts.groupBy("clade_id").agg(F.max("para").alias("para"), F.max("largest").alias("largest"))
             s = state.join(got, "clade_id", "left")
             fail = rounds.failed(F.col("para"), F.col("prev"), F.col("largest"), F.col("n"))
             action = rounds.decision(fail, F.col("para"), F.col("good"), turn == config.max_rounds - 1)
-            s = durable(s.withColumn("action", action))
+            s = stored(s.withColumn("action", action))
             settled.append(s.where("action IN ('accept', 'previous', 'unresolved')").select("clade_id", F.when(F.col("action") == "accept", turn).when(F.col("action") == "previous", F.col("good")).alias("turn")))
-            state = durable(s.where("action IN ('again', 'retry')").select("clade_id", "n", F.when(F.col("action") == "retry", F.col("para")).otherwise(F.col("prev")).alias("prev"), F.when(F.col("action") == "retry", turn).otherwise(F.col("good")).alias("good"), "action"))
+            state = stored(s.where("action IN ('again', 'retry')").select("clade_id", "n", F.when(F.col("action") == "retry", F.col("para")).otherwise(F.col("prev")).alias("prev"), F.when(F.col("action") == "retry", turn).otherwise(F.col("good")).alias("good"), "action"))
             metrics[-1]["rounds"] = turn
             if state.isEmpty():
                 break
@@ -273,25 +273,25 @@ def reconstruct(taxa: DataFrame, config: LineageConfig | None = None) -> Lineage
         done = settled[0]
         for more in settled[1:]:
             done = done.union(more)
-        done = durable(done)
+        done = stored(done)
         following = None
         for turn, (placed, cuts) in made.items():
             mine = broadcast_if_small(done.where(F.col("turn") == turn).select("clade_id"))
-            chosen = durable(cuts.join(mine, "clade_id", "left_semi"))
+            chosen = stored(cuts.join(mine, "clade_id", "left_semi"))
             nodes.append(chosen.where("node IS NOT NULL").select("node", "parent", F.lit(None).cast("string").alias("name"), "length"))
             to = chosen.where("edge IS NOT NULL").select("clade_id", "edge", "child")
-            moved = durable(placed.join(mine, "clade_id", "left_semi").join(broadcast_if_small(to), ["clade_id", "edge"], "left"))
+            moved = stored(placed.join(mine, "clade_id", "left_semi").join(broadcast_if_small(to), ["clade_id", "edge"], "left"))
             lost.append(moved.where("child IS NULL").select("clade_id", "name", F.lit("problematic").alias("reason")))
             metrics[-1]["discarded"] += lost[-1].count()
             kept = moved.where("child IS NOT NULL").withColumn("clade_id", F.col("child")).drop("child", "edge")
             following = kept if following is None else following.unionByName(kept)
-        stuck = durable(active.join(broadcast_if_small(done.where("turn IS NULL").select("clade_id")), "clade_id", "left_semi"))
+        stuck = stored(active.join(broadcast_if_small(done.where("turn IS NULL").select("clade_id")), "clade_id", "left_semi"))
         if config.unresolved == "polytomy":
             nodes.append(stuck.select(F.concat(F.lit("c"), F.col("clade_id"), F.lit("."), F.col("name")).alias("node"), F.concat(F.lit("c"), F.col("clade_id")).alias("parent"), "name", F.lit(0.0).alias("length")))
         else:
             lost.append(stuck.select("clade_id", "name", F.lit("unresolved").alias("reason")))
             metrics[-1]["discarded"] += lost[-1].count()
-        frontier = durable(following.select(*frontier.columns))
+        frontier = stored(following.select(*frontier.columns))
         metrics[-1]["seconds"] = time.time() - began
         _log.info("%s", metrics[-1])
     return _assemble(nodes, lost, twins, taxa, metrics)
@@ -306,24 +306,24 @@ def _assemble(nodes: list[DataFrame], lost: list[DataFrame], twins: DataFrame |
     # a clade's top is a tip above and a top, or a taxon's name, below
     tree = every.groupBy("node").agg(F.max("parent").alias("parent"), F.max("name").alias("name"), F.max("length").alias("length"))
     tops = every.where("parent IS NOT NULL").select(F.col("parent").alias("node")).distinct()
-    tree = durable(tree.join(tops.withColumn("_inner", F.lit(True)), "node", "full").select("node", "parent", "name", "length", F.coalesce("_inner", F.lit(False)).alias("_inner")))
+    tree = stored(tree.join(tops.withColumn("_inner", F.lit(True)), "node", "full").select("node", "parent", "name", "length", F.coalesce("_inner", F.lit(False)).alias("_inner")))
     while True:  # tips of clades that gave up have no name, and may leave parents without tips
-        dead = durable(tree.where("name IS NULL AND NOT _inner AND parent IS NOT NULL").select("node", F.col("parent").alias("up")))
+        dead = stored(tree.where("name IS NULL AND NOT _inner AND parent IS NOT NULL").select("node", F.col("parent").alias("up")))
         if dead.isEmpty():
             break
         left = tree.join(dead.select("node"), "node", "left_anti").drop("_inner")
         inner = left.where("parent IS NOT NULL").select(F.col("parent").alias("node")).distinct().withColumn("_inner", F.lit(True))
         # a node that loses a child goes, and its other children hang on the next one up
-        hit = durable(dead.select(F.col("up").alias("node")).distinct().join(tree.select("node", F.col("parent").alias("above")), "node").where("above IS NOT NULL"))
+        hit = stored(dead.select(F.col("up").alias("node")).distinct().join(tree.select("node", F.col("parent").alias("above")), "node").where("above IS NOT NULL"))
         lifted = left.join(inner, "node", "left").withColumn("_inner", F.coalesce("_inner", F.lit(False)))
         if not hit.isEmpty():
             up = hit.select(F.col("node").alias("parent"), "above")
             lifted = lifted.join(hit.select("node"), "node", "left_anti").join(up, "parent", "left").withColumn("parent", F.coalesce("above", "parent")).drop("above")
-        tree = durable(lifted.select("node", "parent", "name", "length", "_inner"))
+        tree = stored(lifted.select("node", "parent", "name", "length", "_inner"))
     tree = tree.drop("_inner")
     if twins is not None:
         at = tree.where("name IS NOT NULL").select("node", "name").join(twins, "name")
-        leaves = durable(at.select(F.concat_ws("+", "node", "twin").alias("node"), F.col("node").alias("parent"), F.col("twin").alias("name"), F.lit(0.0).alias("length")))
+        leaves = stored(at.select(F.concat_ws("+", "node", "twin").alias("node"), F.col("node").alias("parent"), F.col("twin").alias("name"), F.lit(0.0).alias("length")))
         bare = tree.join(leaves.select(F.col("parent").alias("node"), F.lit(True).alias("_bare")).distinct(), "node", "left")
         tree = bare.select("node", "parent", F.when(F.col("_bare").isNull(), F.col("name")).alias("name"), "length").union(leaves)
     discarded = spark.createDataFrame([], "clade_id long, name string, reason string")
@@ -331,4 +331,4 @@ def _assemble(nodes: list[DataFrame], lost: list[DataFrame], twins: DataFrame |
         discarded = discarded.union(part)
     if twins is not None:
         discarded = discarded.join(twins, "name", "left").select("clade_id", F.coalesce("twin", "name").alias("name"), "reason")
-    return Lineage(durable(tree), durable(discarded), metrics)
+    return Lineage(stored(tree), stored(discarded), metrics)

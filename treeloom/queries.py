@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from treeloom import views
 from treeloom.catalog import query
 from treeloom.operators import choose, clades, encode, rounds, sampling
-from treeloom.plans.durable import durable
+from treeloom.plans.durable import stored
 from treeloom.sources import fasta, trees
 from treeloom.sources import edits as edit_lists
 from treeloom.views import SQL_CAND, SQL_CLOSURE, SQL_COUNTS, SQL_EDITS, SQL_SEQ, SQL_TREE, table
@@ -150,7 +150,7 @@ _TWENTY = "SELECT * FROM edits WHERE name IN (SELECT name FROM (SELECT DISTINCT
 def edit_encode_unseen(spark: SparkSession, d: str) -> DataFrame:
     """P3 over the vocabulary of a sample of twenty: other users may have edits that it lacks."""
     rows = views.user_edits(spark, d)
-    some = durable(sampling.sample(rows.select("name").distinct().withColumn("clade", F.lit(0)), "clade", "name", 20, 5).select("name"))
+    some = stored(sampling.sample(rows.select("name").distinct().withColumn("clade", F.lit(0)), "clade", "name", 20, 5).select("name"))
     return encode.encode(rows, encode.vocabulary(rows.join(F.broadcast(some), "name", "left_semi"), some.count()))
 
 
@@ -245,7 +245,7 @@ _BOUNDED = "bad AS (SELECT query FROM (SELECT l_returnflag, query, row_number()
 @query("next_round_pool_bounded", f"WITH RECURSIVE {_LCA}, {_SAMPLED}, {_BOUNDED} SELECT query FROM sampled UNION ALL SELECT query FROM bad")
 def next_round_pool_bounded(spark: SparkSession, d: str) -> DataFrame:
     """At most fifteen problematic rows of each clade join the sample."""
-    rows = durable(table(spark, d, "lineitem").select("l_returnflag", F.col("l_orderkey").alias("query")).distinct())
+    rows = stored(table(spark, d, "lineitem").select("l_returnflag", F.col("l_orderkey").alias("query")).distinct())
     some = sampling.sample(rows, "l_returnflag", "query", 10, 1)
     bad = rows.join(choose.problematic(_lca(spark, d), "root", "lca").select("query"), "query")
     return choose.next_round_pool(some, bad.select("l_returnflag", "query"), "l_returnflag", "query", 15, 2).select("query")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from treeloom.kernels.tree import Tree, parse_newick
 from treeloom.operators.ranking import ranked
-from treeloom.plans.durable import durable
+from treeloom.plans.durable import stored
 
 EDGES = "tree_id long, node_id long, parent_id long, edge_num int, name string, branch_length double, is_leaf boolean"
 #: Nodes up to which a tree is put together as one text on the driver.
@@ -43,7 +43,7 @@ def newick_tokens(nodes: DataFrame, lengths: bool = True) -> DataFrame:
     parent's end. Pointers double until every piece knows how many follow, so
     that no task holds the tree, however deep or wide it is.
     """
-    rows = durable(ranked(nodes.select("node", "parent", "name", "length"), ["parent"], ["node"], "nth"))
+    rows = stored(ranked(nodes.select("node", "parent", "name", "length"), ["parent"], ["node"], "nth"))
     kids = rows.where("parent IS NOT NULL").select(F.col("parent").alias("_of"), "nth", F.col("node").alias("_kid"))
     first = kids.where("nth = 0").select(F.col("_of").alias("_node"), F.col("_kid").alias("_first"))
     beside = kids.select(F.col("_of").alias("_parent"), (F.col("nth") - 1).alias("_nth"), F.col("_kid").alias("_next"))
@@ -55,16 +55,16 @@ def newick_tokens(nodes: DataFrame, lengths: bool = True) -> DataFrame:
     comma = F.when((F.col("nth") > 0) & F.col("parent").isNotNull(), ",").otherwise("")
     piece = lambda kind, c: F.concat(F.lit(kind), c)
     following = F.when(F.col("_next").isNotNull(), piece("o", F.col("_next"))).when(F.col("parent").isNotNull(), piece("c", F.col("parent")))
-    linked = durable(linked.select("node", "_first", following.alias("next"), label.alias("label"), comma.alias("comma")))
+    linked = stored(linked.select("node", "_first", following.alias("next"), label.alias("label"), comma.alias("comma")))
     leaf = linked.where("_first IS NULL").select(piece("o", F.col("node")).alias("piece"), "next", F.concat("comma", "label").alias("text"))
     opens = linked.where("_first IS NOT NULL").select(piece("o", F.col("node")).alias("piece"), piece("o", F.col("_first")).alias("next"), F.concat("comma", F.lit("(")).alias("text"))
     ends = linked.where("_first IS NOT NULL").select(piece("c", F.col("node")).alias("piece"), "next", F.concat(F.lit(")"), "label").alias("text"))
-    pieces = durable(leaf.union(opens).union(ends))
+    pieces = stored(leaf.union(opens).union(ends))
     total = pieces.count()
-    at = durable(pieces.select("piece", "next", F.when(F.col("next").isNull(), 0).otherwise(1).cast("long").alias("left")))
+    at = stored(pieces.select("piece", "next", F.when(F.col("next").isNull(), 0).otherwise(1).cast("long").alias("left")))
     while not at.where("next IS NOT NULL").isEmpty():
         on = at.select(F.col("piece").alias("_piece"), F.col("next").alias("_then"), F.col("left").alias("_left"))
-        at = durable(at.join(on, F.col("next") == F.col("_piece"), "left").select("piece", F.col("_then").alias("next"), (F.col("left") + F.coalesce("_left", F.lit(0))).alias("left")))
+        at = stored(at.join(on, F.col("next") == F.col("_piece"), "left").select("piece", F.col("_then").alias("next"), (F.col("left") + F.coalesce("_left", F.lit(0))).alias("left")))
     return pieces.select("piece", "text").join(at.select("piece", "left"), "piece").select((F.lit(total - 1) - F.col("left")).alias("at"), "text")
 
 
