@@ -5,13 +5,15 @@ from pyspark.sql import functions as F
 
 from treeloom.cli import main
 from treeloom.config import LineageConfig
-from treeloom.functions.simulate import balanced, edits
+from simulate import balanced, edits
 from treeloom.kernels.tree import parse_newick, robinson_foulds
-from treeloom.operators import clades
+from treeloom.operators import choose, clades
+from treeloom.operators.ranking import ranked
+from treeloom.plans.durable import stored
 from treeloom.plans.engine import reconstruct
 from treeloom.sources.edits import read_edits, write_edits
 from treeloom.sources.fasta import count_by_file, read_fasta, write_fasta, write_phylip
-from treeloom.sources.trees import jplace_edges, read_jplace
+from treeloom.sources.trees import jplace_edges, newick_tokens, read_jplace, write_newick
 
 
 def _leaves(t):
@@ -82,17 +84,90 @@ def test_placement_documents(spark):
     assert sorted(map(tuple, jplace_edges(df).collect())) == [(0, "s1"), (1, "s2")]
 
 
+def _chain(spark, n):
+    return spark.range(n).select(F.concat(F.lit("n"), "id").alias("node"), F.when(F.col("id") > 0, F.concat(F.lit("n"), F.col("id") - 1)).alias("parent"))
+
+
 def test_long_chains_close_in_few_joins(spark):
-    chain = spark.range(40).select(F.concat(F.lit("n"), "id").alias("node"), F.when(F.col("id") > 0, F.concat(F.lit("n"), F.col("id") - 1)).alias("parent"))
-    pairs = clades.closure(chain)
+    pairs = clades.closure(_chain(spark, 40))
     assert pairs.count() == 40 * 41 // 2
     assert pairs.agg(F.max("distance")).first()[0] == 39
 
 
+def test_a_chain_of_two_thousand_nodes(spark):
+    n = 2000
+    tree = stored(_chain(spark, n))
+    assert {(r.node, r.depth) for r in clades.depths(tree).collect()} == {(f"n{i}", i) for i in range(n)}
+    counts = spark.createDataFrame([("n1999", 5), ("n1000", 2)], "node string, cnt long")
+    got = {r.node: r.n for r in clades.subtree_counts(tree, counts).collect()}
+    assert len(got) == n and got["n0"] == got["n1000"] == 7 and got["n1001"] == got["n1999"] == 5
+    assert [tuple(r) for r in clades.clade_cut(tree, counts, "n0", 5000).collect()] == [("n1000", "cut", 7)]
+    text = "".join(r.text for r in newick_tokens(tree.select("*", F.col("node").alias("name"), F.lit(1.0).alias("length")), lengths=False).orderBy("at").collect())
+    assert text == "(" * 1999 + "".join(f"n{i})" for i in range(1999, 0, -1)) + "n0;"
+
+
+def test_newick_pieces_of_odd_names(spark):
+    rows = [("t", None, None, None), ("a", "t", "it's", 0.25), ("b", "t", "x y", None), ("c", "t", None, 1.0), ("c1", "c", "p", 0.5), ("c2", "c", "q", 0.5)]
+    df = spark.createDataFrame(rows, "node string, parent string, name string, length double")
+    text = "".join(r.text for r in newick_tokens(df).orderBy("at").collect())
+    assert text == "('it''s':0.25000,'x y':0.00000,(p:0.50000,q:0.50000):1.00000);"
+
+
+def test_ranks_of_large_and_odd_groups(spark):
+    rows = [("a", i) for i in range(3000)] + [(None, i) for i in range(0, 50, 2)] + [("b", 7)]
+    df = spark.createDataFrame(rows, "g string, x long").repartition(7)
+    got = {(r.g, r.x): r["rank"] for r in ranked(df, ["g"], ["x"]).collect()}
+    assert got == {(g, x): (x if g == "a" else x // 2 if g is None else 0) for g, x in rows}
+    assert sorted(r["rank"] for r in ranked(df, [], ["g", "x"]).collect()) == list(range(len(rows)))
+    assert ranked(df.limit(0), ["g"], ["x"]).count() == 0
+
+
+def test_common_ancestors_of_many_candidates(spark):
+    tree = spark.createDataFrame([("t", None), ("x", "t"), ("y", "t"), ("x1", "x"), ("x2", "x"), ("x21", "x2")], "node string, parent string")
+    rows = [(1, "x1"), (1, "x21"), (2, "x2"), (2, "x21"), (3, "x1"), (3, "x2"), (3, "y"), (4, "y"), (4, "y")]
+    got = choose.lowest_common_ancestor(spark.createDataFrame(rows, "q long, edge string"), ["q"], tree)
+    assert {r.q: r.lca for r in got.collect()} == {1: "x", 2: "x2", 3: "t", 4: "y"}
+
+
+def test_rounds_fall_back_and_give_up(spark):
+    """One builder misleads each round; what follows is the state machine's: a fresh sample, the last good round, or no tree."""
+    records, truth = balanced(5, 400)
+    df = spark.createDataFrame(records, "name string, seq string")
+
+    def broken(names, seqs):
+        raise RuntimeError("no tree")
+
+    out = reconstruct(df, LineageConfig(builder=broken, max_rounds=3))
+    assert {r.reason for r in out.discarded.collect()} == {"unresolved"} and out.discarded.count() == 32
+    assert out.metrics[0]["rounds"] == 2 and out.metrics[0]["discarded"] == 32
+    out = reconstruct(df, LineageConfig(builder=broken, max_rounds=2, unresolved="polytomy"))
+    t = parse_newick(out.newick())
+    assert len(t.leaves()) == 32 and len(t) == 33 and out.discarded.count() == 0
+
+
+def test_problematic_rows_are_retried_and_counted(spark):
+    records, _ = balanced(5, 400)
+    rows = [*records, ("ghost1", records[0][1]), ("ghost2", records[0][1])]
+    out = reconstruct(spark.createDataFrame(rows, "name string, seq string"), LineageConfig(method="nj", retry_rows=1, max_rounds=3))
+    assert sorted(r.name for r in out.discarded.collect()) == ["ghost1", "ghost2"]
+    assert out.metrics[0]["rounds"] == 2 and out.metrics[0]["discarded"] == 1  # equal sequences are one taxon
+    assert sum(len(x) for x in [parse_newick(out.newick()).leaves()]) == 32
+
+
+def test_unaligned_sequences(spark):
+    records, truth = balanced(4, 400, indels=True)
+    out = reconstruct(spark.createDataFrame(records, "name string, seq string"), LineageConfig(method="nj", unaligned=True))
+    t = parse_newick(out.newick())
+    assert len(t.leaves()) == 16 and robinson_foulds(t, parse_newick(truth)) <= 2
+
+
 def test_command_line(spark, tmp_path):
     records, truth = balanced(4, 400)
     (tmp_path / "in.fa").write_text("".join(f">{n}\n{s}\n" for n, s in records))
     main(["-i", str(tmp_path / "in.fa"), "-o", str(tmp_path), "-m", "nj", "-f", "tree", "-e"])
     text = spark.read.text(str(tmp_path / "tree.nwk")).first().value
+    write_newick(spark.read.parquet(str(tmp_path / "tree.nodes")), str(tmp_path / "pieces"))
+    pieces = "".join(p.read_text() for p in sorted((tmp_path / "pieces").glob("part-*")))
+    assert robinson_foulds(parse_newick(pieces), parse_newick(truth)) == 0
     assert robinson_foulds(parse_newick(text), parse_newick(truth)) == 0
     assert spark.read.parquet(str(tmp_path / "tree.nodes")).where("name IS NOT NULL").count() == 16

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from treeloom.config import LineageConfig
-from treeloom.functions.simulate import balanced
+from simulate import balanced
 from treeloom.kernels import align, distance, likelihood, parsimony
 from treeloom.kernels.sample_tree import Model, Placer, build_tree, cut, edit_vocabulary, encode_edits, upper_tree
 from treeloom.kernels.tree import Tree, induced, parse_newick, robinson_foulds, to_newick
@@ -137,3 +137,19 @@ def test_config_rejects_what_cannot_run():
     with pytest.warns(UserWarning):
         LineageConfig(model="GTR")
     assert LineageConfig(method="rapidnjNJ").method == "nj"
+
+
+@pytest.mark.parametrize("name", ["JC", "F81", "F81+G"])
+def test_likelihoods_of_all_patterns_sum_to_one(name):
+    from itertools import product
+
+    model = likelihood.substitution(name, ["AAAC", "AGTA"])
+    assert abs(np.mean(model.rates) - 1) < 1e-12 and abs(model.freq.sum() - 1) < 1e-12
+    t = parse_newick("((a:0.1,b:0.3):0.2,c:0.5);")
+    t.length[0] = 0.15
+    total = 0.0
+    for letters in product("ACGT", repeat=4):
+        sets = parsimony.state_sets(list(letters))
+        leaf = dict(zip("abc", likelihood.tips(sets[:3]), strict=True))
+        total += np.exp(likelihood.log_likelihood(t, leaf, likelihood.tips(sets[3]), model))
+    assert abs(total - 1) < 1e-9

@@ -47,11 +47,6 @@ def encode(rows: DataFrame, vocab: DataFrame, name: str = "name", edit: str = "e
     return have.select(name, F.concat(F.array_join(parts, ""), run(after(F.size("_have")), F.lit(size).cast("long"))).alias("seq"))
 
 
-def normalize_gaps(seq: Column, to: str = "-") -> Column:
-    """``.`` as a gap (P4), or as ``N`` (P5); in sequences only, never in names."""
-    return F.translate(seq, ".", to)
-
-
 def gap_fractions(df: DataFrame, seq: str, gap: str = "-") -> DataFrame:
     """(pos, gap_fraction) of every column from 0 (A10)."""
     chars = df.select(F.posexplode(F.split(F.col(seq), "")).alias("pos", "ch")).where("ch <> ''")

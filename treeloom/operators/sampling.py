@@ -36,11 +36,6 @@ def dense_rename(df: DataFrame, by: list[str], order: str, first: Column | None
     return ranked(df, by, keys, "_place").withColumn("new_name", F.concat(F.lit("s"), F.col("_place").cast("string"))).drop("_place")
 
 
-def rename_back(name: Column) -> Column:
-    """``s0`` is the root again."""
-    return F.when(name == "s0", F.lit("root")).otherwise(name)
-
-
 def root_row(df: DataFrame, name: str = "name") -> DataFrame:
     """The outgroup's row."""
     return df.where(F.col(name) == "root")
@@ -66,11 +61,6 @@ def count_and_length(df: DataFrame, by: str, seq: str) -> DataFrame:
     return df.groupBy(by).agg(F.count("*").alias("n"), F.expr(f"sum(length({seq})) div count(*)").alias("mean_length"))
 
 
-def depth_limit(n: Column, threshold: int) -> Column:
-    """max(floor(log2(n / threshold)) + 2, 2)."""
-    return F.greatest(F.floor(F.log2(n / threshold)) + 2, F.lit(2)).cast("int")
-
-
 def split_reference(df: DataFrame, names: DataFrame, on: str) -> tuple[DataFrame, DataFrame]:
     """Rows whose name is among ``names``, and the others."""
     return df.join(names, on, "left_semi"), df.join(names, on, "left_anti")

@@ -153,7 +153,7 @@ class _Run:
         threshold = self.config.threshold
 
         def run(key, cnt: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
-            clade, blank = int(key[0]), pd.DataFrame({"clade_id": [], "edge": [], "child": [], "para": [], "largest": [], "node": [], "parent": [], "length": []})
+            clade, blank = int(key[0]), pd.DataFrame({c: [] for c in ("clade_id", "edge", "child", "para", "largest", "node", "parent", "length")}, dtype=object)
             if model.empty or cnt.empty or model["error"].notna().iloc[0]:
                 return blank
             m = Model.of_row(model.iloc[0])

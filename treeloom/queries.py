@@ -8,9 +8,10 @@ from pyspark.sql.window import Window
 
 from treeloom import views
 from treeloom.catalog import query
+from treeloom.functions import columns
 from treeloom.operators import choose, clades, encode, rounds, sampling
 from treeloom.plans.durable import stored
-from treeloom.sources import fasta, trees
+from treeloom.sources import trees
 from treeloom.sources import edits as edit_lists
 from treeloom.views import SQL_CAND, SQL_CLOSURE, SQL_COUNTS, SQL_EDITS, SQL_SEQ, SQL_TREE, table
 
@@ -93,13 +94,13 @@ def dense_rename(spark: SparkSession, d: str) -> DataFrame:
 @query("rename_back", f"WITH {_RENAME} SELECT o_orderkey, CASE WHEN new_name = 's0' THEN 'root' ELSE new_name END AS name FROM renamed")
 def rename_back(spark: SparkSession, d: str) -> DataFrame:
     """P2."""
-    return _renamed(spark, d).select("o_orderkey", sampling.rename_back(F.col("new_name")).alias("name"))
+    return _renamed(spark, d).select("o_orderkey", columns.rename_back(F.col("new_name")).alias("name"))
 
 
 @query("leaf_tags", f"WITH {_RENAME} SELECT o_orderkey, CAST(substr(new_name, 2) AS BIGINT) AS tag FROM renamed")
 def leaf_tags(spark: SparkSession, d: str) -> DataFrame:
     """P7, J7."""
-    return _renamed(spark, d).select("o_orderkey", trees.leaf_tag(F.col("new_name")).alias("tag"))
+    return _renamed(spark, d).select("o_orderkey", columns.leaf_tag(F.col("new_name")).alias("tag"))
 
 
 @query("ref_query_split", "SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'ref' ELSE 'query' END AS part FROM documents")
@@ -113,7 +114,7 @@ def ref_query_split(spark: SparkSession, d: str) -> DataFrame:
 def depth_limit(spark: SparkSession, d: str) -> DataFrame:
     """P8."""
     n = table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"))
-    return n.withColumn("depth", sampling.depth_limit(F.col("n"), 10))
+    return n.withColumn("depth", columns.depth_limit(F.col("n"), 10))
 
 
 # -- edits and alignment columns ---------------------------------------------------
@@ -178,7 +179,7 @@ def select_columns(spark: SparkSession, d: str) -> DataFrame:
 @query("gap_normalize", "SELECT doc_id, replace(text, '.', '-') AS seq, replace(text, '.', 'N') AS masked FROM documents")
 def gap_normalize(spark: SparkSession, d: str) -> DataFrame:
     """P4, P5."""
-    return table(spark, d, "documents").select("doc_id", encode.normalize_gaps(F.col("text")).alias("seq"), encode.normalize_gaps(F.col("text"), "N").alias("masked"))
+    return table(spark, d, "documents").select("doc_id", columns.normalize_gaps(F.col("text")).alias("seq"), columns.normalize_gaps(F.col("text"), "N").alias("masked"))
 
 
 # -- choosing edges ----------------------------------------------------------------
@@ -480,7 +481,7 @@ def parsimony_cost(spark: SparkSession, d: str) -> DataFrame:
 @query("fasta_lines", f"WITH {SQL_SEQ} SELECT name, '>' || name || chr(10) || seq AS line FROM seqs")
 def fasta_lines(spark: SparkSession, d: str) -> DataFrame:
     """S9."""
-    return views.sequences(spark, d).select("name", fasta.fasta_line(F.col("name"), F.col("seq")).alias("line"))
+    return views.sequences(spark, d).select("name", columns.fasta_line(F.col("name"), F.col("seq")).alias("line"))
 
 
 @query("edit_lines", f"WITH {SQL_EDITS} SELECT name, list_sort(list_distinct(list(edit))) AS edits FROM edits GROUP BY name")

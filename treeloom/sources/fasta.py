@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from treeloom.functions.columns import fasta_line
+
 
 def _records(lines: DataFrame, text: str = "value") -> DataFrame:
     body = F.col(text)
@@ -30,10 +32,6 @@ def count_by_file(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return lines.groupBy(F.input_file_name().alias("file")).agg(F.count("*").alias("n"))
 
 
-def fasta_line(name: Column, seq: Column) -> Column:
-    return F.concat(F.lit(">"), name, F.lit("\n"), seq)
-
-
 def write_fasta(df: DataFrame, path: str, compression: str = "none") -> None:
     """One part file for each partition (S9); ``gzip`` packs them."""
     df.select(fasta_line(F.col("name"), F.col("seq"))).write.option("compression", compression).text(path)
