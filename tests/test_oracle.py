@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from treeloom import catalog, queries  # noqa: F401  (fills the catalog)
+from treeloom import catalog, kernel_queries, queries  # noqa: F401  (both fill the catalog)
 
 SF = "/root/testdata/sf0.001"
 
