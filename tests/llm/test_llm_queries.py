@@ -130,6 +130,19 @@ def test_statistics_query(spark):
         assert not (r.base_failed and r.kept)
 
 
+def test_held_out_rows_of_a_larger_table(spark):
+    """The list is not judged by rows that it learned from."""
+    folder = SF.replace("0.001", "0.01")
+    labels = {r.doc_id: r for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    rules = quality_rules.train(docs, spark.read.parquet(f"{folder}/labels.parquet").where(~toxicity.held_out()))
+    rows = [r for r in quality_rules.judge(docs.where(toxicity.held_out()), rules).collect() if r.doc_id in labels and not r._qr_base_failed]
+    good = [r for r in rows if labels[r.doc_id].quality == 1]
+    bad = [r for r in rows if labels[r.doc_id].quality == 0]
+    assert good and bad
+    assert sum(r._qr_kept for r in good) >= 0.95 * len(good) and sum(r._qr_kept for r in bad) <= 0.2 * len(bad)
+
+
 def test_pipeline_against_brute_force(spark):
     docs = _documents(spark)
     source = spark.read.parquet(f"{SF}/documents.parquet")
