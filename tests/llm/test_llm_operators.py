@@ -518,6 +518,22 @@ def test_scores_of_long_texts_against_a_plain_convolution():
         assert abs(got - _convolved(model, ids)) < 1e-3
 
 
+def test_few_labels_are_fitted_long_enough():
+    rng = np.random.default_rng(8)
+    vocab = rng.integers(0, toxicity.BUCKETS, (300, 3)).astype(np.int32)
+    docs = [vocab[rng.integers(1, 300, 40)] for _ in range(400)]
+    y = (np.arange(400) % 5 == 0).astype(np.int64)
+    for i in np.flatnonzero(y):
+        docs[i][rng.integers(40)] = vocab[0]
+    loss = {}
+    for steps in (0, 200):
+        model = toxicity.fit(docs[:200], y[:200], steps=steps)
+        s = model.scores(np.concatenate(docs[200:]), np.arange(201) * 40, model.folded())
+        assert toxicity.auc(s, y[200:]) > 0.99
+        loss[steps] = -np.log(np.where(y[200:] == 1, s, 1 - s)).mean()
+    assert loss[200] < loss[0] / 2
+
+
 def test_toxicity_sample_is_bounded_and_settled(spark, make_docs):
     rng = random.Random(20)
     rows = [(i, prose(rng, 30) + (" foul vile" if i % 2 else "")) for i in range(200)]
