@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 CHUNK_BYTES = 1 << 19
 _U = np.uint64
@@ -136,3 +137,9 @@ def window_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
 
 def hasher() -> _Powers:
     return _Powers()
+
+
+def own_names(df: DataFrame, prefix: str) -> None:
+    """Refuse a caller's column whose name could meet one of the operator's own."""
+    if taken := [c for c in df.columns if c.lower().startswith(prefix)]:
+        raise ValueError(f"columns {taken} begin with {prefix}, which the operator's own names do")

@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeloom.llm import decontaminate, html_extract, license_scan, line_dedup, near_dedup, packing, quality_rules, sharding, stages, toxicity, url_filter
+from treeloom.llm import centroids, decontaminate, fingerprints, html_extract, license_scan, line_dedup, near_dedup, packing, quality_rules, sharding, stages, toxicity, url_filter, vector_codes
+from treeloom.llm._vectors import added
+from treeloom.plans.durable import stored
+from treeloom.plans.sizing import broadcast_if_small
 
 #: Fixed values: (host, path, verdict).
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -142,11 +145,97 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", F.col("_hx_text").alias("text"), F.length("_hx_text").cast("long").alias("n_chars"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's cluster among 16 after three rounds."""
+    out = centroids.cluster(_table(spark, sf_dir, "embeddings"), k=16, rounds=3, dims=64, scale=64.0, salt="1")
+    return out.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(F.array_join("centroid", ","), 256).alias("centroid_sha256"))
+
+
+#: Each component's sum over a group, divided and rounded down, in the order of components.
+_MEAN = "list(CAST(floor(s / n) AS BIGINT) ORDER BY pos)"
+_APART = "CAST(list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT)"
+
+
+def _op11_sql(rounds: int = 3) -> str:
+    parts = [
+        """kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""",
+        "c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS cluster, v AS c FROM kept ORDER BY sha256('1:' || vec_id) LIMIT 16)",
+    ]
+    for i in range(rounds + 1):
+        parts.append(f"d{i} AS MATERIALIZED (SELECT r, min({{'d': {_APART}, 'k': cluster}}) AS m FROM kept, c{i} GROUP BY r)")
+        if i < rounds:
+            parts.append(f"s{i} AS (SELECT m.k AS cluster, pos, sum(v[pos]) AS s, count(*) AS n FROM kept JOIN d{i} USING (r), (SELECT unnest(range(1, 65)) AS pos) GROUP BY ALL)")
+            parts.append(f"c{i + 1} AS MATERIALIZED (SELECT o.cluster, coalesce(g.c, o.c) AS c FROM c{i} o LEFT JOIN (SELECT cluster, {_MEAN} AS c FROM s{i} GROUP BY cluster) g USING (cluster))")
+    return f"""WITH {", ".join(parts)}
+SELECT vec_id, CAST(m.k AS INTEGER) AS cluster, m.d AS distance, CAST(sum(m.d) OVER (PARTITION BY m.k) AS BIGINT) AS cluster_inertia, CAST(sum(m.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM kept JOIN d{rounds} USING (r) JOIN c{rounds} ON m.k = cluster"""
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's code of eight bytes, its error and its label's."""
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    books = vector_codes.fit(vectors, parts=8, k=16, rounds=6, scale=4096.0)
+    out = stored(vector_codes.encode(vectors, books, scale=4096.0).drop("embedding"))
+    per = stored(out.groupBy(F.col("label").alias("_of")).agg(added("_vc_error").alias("label_error")))
+    digest = F.sha2(F.lit(",".join(str(x) for x in books.ravel().tolist())), 256)
+    both = out.join(broadcast_if_small(per), F.col("label").eqNullSafe(F.col("_of")))
+    return both.select("vec_id", F.col("_vc_code").alias("code"), F.col("_vc_error").alias("error"), "label_error", digest.alias("codebooks_sha256"))
+
+
+def _op12_sql(rounds: int = 6) -> str:
+    parts = [
+        """kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding))""",
+        "cut AS MATERIALIZED (SELECT r, vec_id, part, list_slice(x, part * (len(x) // 8) + 1, (part + 1) * (len(x) // 8)) AS v FROM kept, (SELECT unnest(range(8)) AS part))",
+        "b0 AS MATERIALIZED (SELECT part, e AS entry, v AS c FROM cut JOIN (SELECT r, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept ORDER BY vec_id LIMIT 16) USING (r))",
+    ]
+    for i in range(rounds + 1):
+        parts.append(f"d{i} AS MATERIALIZED (SELECT r, part, min({{'d': {_APART}, 'k': entry}}) AS m FROM cut JOIN b{i} USING (part) GROUP BY r, part)")
+        if i < rounds:
+            parts.append(f"s{i} AS (SELECT part, m.k AS entry, pos, sum(v[pos]) AS s, count(*) AS n FROM cut JOIN d{i} USING (r, part), (SELECT unnest(range(1, 9)) AS pos) GROUP BY ALL)")
+            parts.append(f"b{i + 1} AS MATERIALIZED (SELECT o.part, o.entry, coalesce(g.c, o.c) AS c FROM b{i} o LEFT JOIN (SELECT part, entry, {_MEAN} AS c FROM s{i} GROUP BY part, entry) g USING (part, entry))")
+    return f"""WITH {", ".join(parts)},
+books AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS h FROM b{rounds}),
+codes AS (SELECT r, string_agg(printf('%02x', m.k), '' ORDER BY part) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM d{rounds} GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM kept JOIN codes USING (r), books"""
+
+
+def op13_spot_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint, and how like it is to that of its edited text and of the next document."""
+    out = fingerprints.compare_with_edits(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    text = fingerprints.text_of
+    return out.select(
+        "doc_id", F.col("_sp_n").alias("n_chars"), F.sha2("_sp_edited", 256).alias("edited_sha256"), text(F.col("_sp_signatures")).alias("fingerprint"), text(F.col("_sp_edited_signatures")).alias("edited_fingerprint"),
+        F.col("_sp_near_edited").alias("near_edited"), F.col("_sp_near_next").alias("near_next"),
+    )
+
+
+def _op13_sql() -> str:
+    """Words as rows: a spot is a content word after an anchor, its chain goes on to the next content word."""
+    anchors = ", ".join(f"'{w}'" for w in sorted({w for words in fingerprints.ANCHORS.values() for w in words.split()}))
+    like = "CASE WHEN a = b THEN 1.0 WHEN len(list_intersect(a, b)) >= 0.05 * (len(a) + len(b) - len(list_intersect(a, b))) THEN len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) ELSE 0.0 END"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+o AS (SELECT *, coalesce(lead(text) OVER w, first_value(text) OVER w) AS following, coalesce(lead(doc_id) OVER w, first_value(doc_id) OVER w) AS next_id FROM d WINDOW w AS (ORDER BY doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+e AS (SELECT *, substr(text, 1, length(text) - length(text) // 3) || substr(following, 1, length(text) // 3) AS edited FROM o),
+t AS (SELECT doc_id, 0 AS k, text FROM e UNION ALL SELECT doc_id, 1, edited FROM e),
+w AS (SELECT doc_id, k, list_filter(regexp_split_to_array(lower(text), '[^\\pL\\pM\\pN]+'), lambda x: x <> '') AS ws FROM t),
+u AS (SELECT doc_id, k, unnest(ws) AS x, unnest(range(len(ws))) AS pos FROM w),
+f AS (SELECT *, x IN ({anchors}) AS anchor, lag(x) OVER (PARTITION BY doc_id, k ORDER BY pos) AS before FROM u),
+c AS (SELECT *, lead(x) OVER (PARTITION BY doc_id, k ORDER BY pos) AS after FROM f WHERE NOT anchor),
+s AS (SELECT doc_id, k, list_sort(list(DISTINCT substr(md5(before || ' ' || x || ' ' || after), 1, 16))) AS sig FROM c WHERE before IN ({anchors}) AND after IS NOT NULL GROUP BY doc_id, k),
+g AS (SELECT doc_id, k, coalesce(sig, CASE WHEN len(ws) = 0 THEN [] ELSE [substr(md5(array_to_string(ws, ' ')), 1, 16)] END) AS sig FROM w LEFT JOIN s USING (doc_id, k)),
+p AS (SELECT e.doc_id, length(text) AS n_chars, sha256(edited) AS edited_sha256, own.sig AS a, ed.sig AS b, nx.sig AS c FROM e JOIN g own ON own.doc_id = e.doc_id AND own.k = 0 JOIN g ed ON ed.doc_id = e.doc_id AND ed.k = 1 JOIN g nx ON nx.doc_id = e.next_id AND nx.k = 0)
+SELECT doc_id, CAST(n_chars AS BIGINT) AS n_chars, edited_sha256, array_to_string(a, '') AS fingerprint, array_to_string(b, '') AS edited_fingerprint, CAST({like} AS DOUBLE) AS near_edited, CAST({like.replace("a = b", "a = c").replace("(a, b)", "(a, c)").replace("len(b)", "len(c)")} AS DOUBLE) AS near_next FROM p
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_url_filter, op2_license_scan, op3_near_dedup, op4_decontaminate, op5_line_dedup, op6_packing, op7_sharding, op8_quality_rules, op9_toxicity, op10_html_extract)
+    own = (op1_url_filter, op2_license_scan, op3_near_dedup, op4_decontaminate, op5_line_dedup, op6_packing, op7_sharding, op8_quality_rules, op9_toxicity, op10_html_extract, op11_centroids, op12_vector_codes, op13_spot_fingerprints)
     return {f.__name__: f for f in own} | {"pipeline": stages.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    out = {"op1_url_filter": OP1_SQL, "op2_license_scan": _op2_sql(), "op5_line_dedup": OP5_SQL}
+    out = {"op1_url_filter": OP1_SQL, "op2_license_scan": _op2_sql(), "op5_line_dedup": OP5_SQL, "op11_centroids": _op11_sql(), "op12_vector_codes": _op12_sql(), "op13_spot_fingerprints": _op13_sql()}
     return out | ({"pipeline": stages.ORACLE_SQL} if stages.ORACLE_SQL else {})
