@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from treeloom.operators.clades import paths
-from treeloom.operators.ranking import ranked
+from treeloom.operators.clades import preorder
 from treeloom.operators.sampling import draw, sample
-from treeloom.plans.durable import stored
+from treeloom.plans.durable import measured, stored, tables
 from treeloom.plans.sizing import broadcast_if_small
 
 
@@ -29,19 +30,45 @@ def top_k(cand: DataFrame, by: list[str], weight: str, order: str, k: int) -> Da
     return cand.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= k).drop("_rank")
 
 
+#: Places that an entry of the next level of range minima covers for each of this one's.
+FAN = 16
+
+
+def _range_minima(pre: DataFrame, longest: int) -> DataFrame:
+    """(level, place, least): the least ``up`` of the FAN**level places from ``place`` on, up to ranges of ``longest``."""
+    spark = pre.sparkSession
+    with tables(spark) as work:
+        parts = [stored(pre.where("up IS NOT NULL").select(F.lit(0).alias("level"), "place", F.col("up").alias("least")))]
+        while FAN ** len(parts) <= longest:
+            step = FAN ** (len(parts) - 1)
+            spread = parts[-1].select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(FAN - 1)), lambda i: F.col("place") - i * step)).alias("place"), "least")
+            parts.append(stored(spread.where("place > 0").groupBy("place").agg(F.min("least").alias("least")).select(F.lit(len(parts)).alias("level"), "place", "least")))
+        work.keep(*parts)
+    return reduce(DataFrame.union, parts)
+
+
 def lowest_common_ancestor(cand: DataFrame, by: list[str], tree: DataFrame, edge: str = "edge") -> DataFrame:
     """The deepest node above all candidates of a query (A8, T10), itself included. ``tree``: (node, parent).
 
-    All nodes between two in depth-first order lie below the common ancestor of
-    the two, so the first and the last candidate decide: two numbers for a query,
-    combined map-side. The common ancestor ends what their paths share.
+    All nodes between two in preorder lie below the common ancestor of the two,
+    so the first and the last candidate decide: two numbers for a query, combined
+    map-side. Of the nodes after the first, up to the last, the least place of a
+    parent is that of the common ancestor. Minima over ranges of FAN**k places
+    answer that by at most FAN lookups for a query; they take one row for a node
+    and level, however deep the tree is.
     """
-    at = stored(ranked(paths(tree), [], ["path"], "_place"))
-    n = at.count()
-    ends = cand.join(broadcast_if_small(at.select(F.col("node").alias(edge), "_place"), n), edge).groupBy(*by).agg(F.min("_place").alias("_first"), F.max("_place").alias("_last"))
-    first, last = (broadcast_if_small(at.select(F.col("_place").alias(p), F.col("path").alias(f"{p}_path")), n) for p in ("_first", "_last"))
-    both = ends.join(first, "_first").join(last, "_last")
-    return both.select(*by, F.element_at(F.array_intersect("_first_path", "_last_path"), -1).alias("lca"))
+    pre = preorder(tree)
+    at, n = pre.select("node", "place"), pre.count()
+    ends = cand.join(broadcast_if_small(at.withColumnRenamed("node", edge), n), edge).groupBy(*by).agg(F.min("place").alias("_first"), F.max("place").alias("_last"))
+    ends, seen = measured(ends, longest=F.max(F.col("_last") - F.col("_first")), rows=F.count(F.lit(1)))
+    minima = _range_minima(pre, seen["longest"] or 0)
+    level = reduce(lambda a, b: a + b, [(F.col("_last") - F.col("_first") >= FAN**k).cast("int") for k in range(1, 16)])
+    asked = ends.where("_first < _last").withColumn("level", level).withColumn("_width", F.expr(f"cast(power({FAN}, level) as bigint)"))
+    whole = F.sequence(F.col("_first") + 1, F.col("_last") - F.col("_width") + 1, F.col("_width"))
+    looked = asked.select(*by, "level", F.explode(F.array_union(whole, F.array(F.col("_last") - F.col("_width") + 1))).alias("place"))
+    met = looked.join(broadcast_if_small(minima), ["level", "place"]).groupBy(*by).agg(F.min("least").alias("place"))
+    met = met.unionByName(ends.where("_first = _last").select(*by, F.col("_first").alias("place")))
+    return met.join(broadcast_if_small(at.withColumnRenamed("node", "lca"), n), "place").select(*by, "lca")
 
 
 def problematic(placed: DataFrame, root_edge: Column | str, edge: str = "edge") -> DataFrame:
@@ -61,8 +88,12 @@ def next_round_pool(sampled: DataFrame, bad: DataFrame, by: str | None = None, n
 def edge_members(edges: DataFrame, placed: DataFrame, edge: str, name: str) -> DataFrame:
     """(edge, n, name): a row for each name on an edge, and one without a name for an empty edge.
 
-    Rows, not a list for each edge: an edge may hold most names. The engine uses
-    the counts alone.
+    Rows, not a list for each edge: an edge may hold most names. Placed rows stay
+    where they are and meet the full edges and their counts, which go to every
+    task; empty edges are added. Beyond the limit of a broadcast it is an inner
+    join, whose hot keys Spark can split.
     """
     n = placed.groupBy(edge).agg(F.count("*").alias("n"))
-    return edges.select(edge).distinct().join(n, edge, "left").join(placed.select(edge, name), edge, "left").select(edge, F.coalesce("n", F.lit(0).cast("long")).alias("n"), name)
+    full = stored(n.join(edges.select(edge).distinct(), edge, "left_semi"))
+    empty = edges.select(edge).distinct().join(full, edge, "left_anti").select(edge, F.lit(0).cast("long").alias("n"), F.lit(None).cast(placed.schema[name].dataType).alias(name))
+    return placed.select(edge, name).join(broadcast_if_small(full), edge).select(edge, "n", name).union(empty)

@@ -1,11 +1,13 @@
-"""Tree tables: closure, depth, subtree counts, the clade cut, induced trees, routing, numbering."""
+"""Tree tables: closure, depth, preorder, subtree counts, the clade cut, induced trees, re-rooting, routing, numbering."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from treeloom.operators.ranking import ranked
-from treeloom.plans.durable import stored
+
+from treeloom.operators.ranking import ranked, running
+from treeloom.plans.durable import measured, stored, tables
+from treeloom.plans.sizing import broadcast_if_small
 
 
 def closure(tree: DataFrame) -> DataFrame:
@@ -35,10 +37,15 @@ def _folded_up(start: DataFrame, fold, pending: str = "up IS NOT NULL") -> DataF
     and sets x to ``fold(x, that one's x)``; the table keeps one row for a node,
     so that an unbalanced tree costs no more than a balanced one.
     """
-    at = stored(start)
-    while not at.where(pending).isEmpty():
-        above = at.select(F.col("node").alias("_node"), F.col("up").alias("_up"), F.col("x").alias("_x"))
-        at = stored(at.join(above, F.col("up") == F.col("_node"), "left").select("node", F.col("_up").alias("up"), F.when(F.col("_node").isNull(), F.col("x")).otherwise(fold(F.col("x"), F.col("_x"))).alias("x")))
+    left = F.count_if(F.expr(pending))
+    with tables(start.sparkSession) as work:
+        at, seen = measured(start, left=left)
+        while seen["left"]:
+            below = at
+            above = at.select(F.col("node").alias("_node"), F.col("up").alias("_up"), F.col("x").alias("_x"))
+            at, seen = measured(at.join(above, F.col("up") == F.col("_node"), "left").select("node", F.col("_up").alias("up"), F.when(F.col("_node").isNull(), F.col("x")).otherwise(fold(F.col("x"), F.col("_x"))).alias("x")), left=left)
+            work.drop(below)
+        work.keep(at)
     return at.select("node", "x")
 
 
@@ -48,27 +55,94 @@ def depths(tree: DataFrame) -> DataFrame:
     return _folded_up(start, lambda x, above: x + above).withColumnRenamed("x", "depth")
 
 
-def paths(tree: DataFrame) -> DataFrame:
-    """(node, path): the nodes from the top down to each node; for trees of samples, whose paths are short."""
-    start = tree.select("node", F.col("parent").alias("up"), F.array("node").alias("x"))
-    return _folded_up(start, lambda x, above: F.concat(above, x)).withColumnRenamed("x", "path")
-
-
 def subtree_counts(tree: DataFrame, counts: DataFrame) -> DataFrame:
     """(node, n): what is counted at a node or below, where there is any (A6). ``counts``: (node, cnt).
 
     Round k adds to each node what its descendants 2**k levels down have summed
     so far; one row for a node, and as many rounds as the depth has binary digits.
     """
-    at = stored(tree.join(counts, "node", "left").select("node", F.col("parent").alias("up"), F.coalesce("cnt", F.lit(0)).cast("long").alias("n")))
-    while not at.where("up IS NOT NULL").isEmpty():
-        got = at.where("up IS NOT NULL").groupBy(F.col("up").alias("_node")).agg(F.sum("n").alias("_n"))
-        above = at.select(F.col("node").alias("_mid"), F.col("up").alias("_up"))
-        at = at.join(got, F.col("node") == F.col("_node"), "left").join(above, F.col("up") == F.col("_mid"), "left")
-        at = stored(at.select("node", F.col("_up").alias("up"), (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n")))
+    left = F.count_if(F.col("up").isNotNull())
+    with tables(tree.sparkSession) as work:
+        at, seen = measured(tree.join(counts, "node", "left").select("node", F.col("parent").alias("up"), F.coalesce("cnt", F.lit(0)).cast("long").alias("n")), left=left)
+        while seen["left"]:
+            below = at
+            got = at.where("up IS NOT NULL").groupBy(F.col("up").alias("_node")).agg(F.sum("n").alias("_n"))
+            above = at.select(F.col("node").alias("_mid"), F.col("up").alias("_up"))
+            at = at.join(got, F.col("node") == F.col("_node"), "left").join(above, F.col("up") == F.col("_mid"), "left")
+            at, seen = measured(at.select("node", F.col("_up").alias("up"), (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n")), left=left)
+            work.drop(below)
+        work.keep(at)
     return at.where("n > 0").select("node", "n")
 
 
+def preorder(tree: DataFrame) -> DataFrame:
+    """(node, parent, place, up): each node's place from 0 on, its parent's before it and siblings by name; ``up`` is the parent's.
+
+    A node comes one after its parent and all that lies under earlier siblings;
+    these steps add up along its ancestors.
+    """
+    with tables(tree.sparkSession) as work:
+        size = subtree_counts(tree, tree.select("node", F.lit(1).alias("cnt")))
+        beside = running(tree.select("node", "parent").join(size, "node"), ["parent"], ["node"], {"before": F.col("n")})
+        step = F.when(F.col("parent").isNull(), F.lit(0).cast("long")).otherwise(F.col("before") - F.col("n") + 1)
+        place = _folded_up(beside.select("node", F.col("parent").alias("up"), step.alias("x")), lambda x, above: x + above)
+        at = tree.select("node", "parent").join(place, "node").withColumnRenamed("x", "place")
+        above = place.select(F.col("node").alias("_of"), F.col("x").alias("up"))
+        out = stored(at.join(above, F.col("parent") == F.col("_of"), "left").drop("_of"))
+        work.keep(out)
+    return out
+
+
+def path_up(tree: DataFrame, node: str) -> DataFrame:
+    """(node, step): a node at 0 and its ancestors, the top last; pointers double, so that a deep one takes few rounds."""
+    with tables(tree.sparkSession) as work:
+        jump = stored(tree.select("node", F.col("parent").alias("up")))
+        path, reach = stored(jump.where(F.col("node") == node).select("node", F.lit(0).alias("step"))), 1
+        while True:
+            further, seen = measured(jump.join(broadcast_if_small(path), "node").where("up IS NOT NULL").select(F.col("up").alias("node"), (F.col("step") + reach).alias("step")), n=F.count(F.lit(1)))
+            if not seen["n"]:
+                break
+            path, reach = stored(path.union(further)), 2 * reach
+            above = jump.select(F.col("node").alias("_node"), F.col("up").alias("_up"))
+            jump = stored(jump.join(above, F.col("up") == F.col("_node")).select("node", F.col("_up").alias("up")))
+        work.keep(path)
+    return path
+
+
+def reroot(tree: DataFrame, outgroup: str, top: str | None = None) -> DataFrame:
+    """(node, parent, name, length) of ``tree`` rooted at the leaf named ``outgroup``.
+
+    The edges between the leaf and the old top turn round and take their lengths
+    along. The leaf goes and its neighbour is the top, with the leaf's length as
+    its own; or, with ``top``, a node of that name is put above both (T1), the
+    leaf at a distance of 0. The old top goes if it is left with one child, which
+    then takes its length as well, or with no child and no name.
+    """
+    at = tree.where(F.col("name") == outgroup).select("node", "parent").take(2)
+    if len(at) != 1 or at[0].parent is None:
+        raise ValueError(f"{outgroup!r} is the name of {len(at)} nodes, or of the top")
+    leaf = at[0].node
+    if not tree.where(F.col("parent") == leaf).isEmpty():
+        raise ValueError(f"{outgroup!r} has children")
+    path = path_up(tree, leaf)
+    on = stored(tree.join(broadcast_if_small(path), "node").select("node", "parent", "name", "length", "step"))
+    turned = on.where("step > 0").join(on.select((F.col("step") + 1).alias("step"), F.col("node").alias("below"), F.col("length").alias("under")), "step")
+    new_parent = F.when(F.col("step") == 1, F.lit(top)).otherwise(F.col("below"))
+    turned = stored(turned.select("node", new_parent.alias("_parent"), F.col("under").alias("_length"), (F.col("parent").isNull()).alias("_old_top"), "name"))
+    old = turned.where("_old_top").first()  # one row
+    kids = tree.where((F.col("parent") == old.node)).join(broadcast_if_small(path.select("node")), "node", "left_anti").limit(2).collect()
+    gone = [leaf] + ([old.node] if len(kids) == 1 or (not kids and old.name is None) else [])
+    both = tree.join(broadcast_if_small(turned.select("node", "_parent", "_length", F.lit(True).alias("_turned"))), "node", "left")
+    parent, length = F.when(F.col("_turned"), F.col("_parent")).otherwise(F.col("parent")), F.when(F.col("_turned"), F.col("_length")).otherwise(F.col("length"))
+    if len(kids) == 1:
+        heir = F.col("node") == kids[0].node
+        parent, length = F.when(heir, F.lit(old._parent)).otherwise(parent), F.when(heir, F.coalesce("length", F.lit(0.0)) + F.lit(old._length or 0.0)).otherwise(length)
+    out = both.where(~F.col("node").isin(gone)).select("node", parent.alias("parent"), "name", length.alias("length"))
+    if top is None:
+        return out
+    return out.union(tree.sparkSession.createDataFrame([(top, None, None, None), (leaf, top, outgroup, 0.0)], out.schema))
+
+
 def clade_cut(tree: DataFrame, counts: DataFrame, top: str, limit: int) -> DataFrame:
     """(node, kind, n): the cut tips below ``top`` (T4), ``cut`` with what they own and ``empty`` leaves.
 

@@ -24,6 +24,42 @@ def vocabulary(rows: DataFrame, total: int | Column, by: list[str] | None = None
     return rows.groupBy(*(by or []), edit).agg(F.count("*").alias("cnt")).where((F.col("cnt") / of > floor) & (F.col("cnt") < of))
 
 
+def _cells(edit: Column, depth: int, width: int) -> list[Column]:
+    return [F.pmod(F.xxhash64(F.lit(i), edit), F.lit(width)).cast("int") for i in range(depth)]
+
+
+def sketch(rows: DataFrame, edit: str, depth: int, width: int) -> DataFrame:
+    """(line, cell, cnt): a count-min sketch of the edits, at most ``depth * width`` rows, combined map-side."""
+    cells = F.array(*[F.struct(F.lit(i).alias("line"), c.alias("cell")) for i, c in enumerate(_cells(F.col(edit), depth, width))])
+    return rows.select(F.explode(cells).alias("x")).groupBy("x.line", "x.cell").agg(F.count("*").alias("cnt"))
+
+
+def possible_edits(rows: DataFrame, total: int, edit: str = "edit", floor: float = FLOOR, depth: int = 4, cells: int = 1 << 20) -> DataFrame:
+    """``rows`` without the edits that cannot be in more than ``floor`` of ``total`` taxa.
+
+    An edit's count is at most that of each of its cells in a count-min sketch,
+    so a cell at or under the floor rules all its edits out. The cells above it
+    are few, at most the occurrences over the floor, and are broadcast line by
+    line. A sketch has as many cells as hold the chance of a busy cell low, up to
+    ``cells``; whatever their number, no edit that counts is lost.
+    """
+    n = rows.count()
+    width = 1024
+    while width < cells and width < 8 * n / max(1.0, floor * total):
+        width *= 2
+    full = stored(sketch(rows, edit, depth, width).where(F.col("cnt") / total > floor).select("line", "cell"))
+    out = rows
+    for i, cell in enumerate(_cells(F.col(edit), depth, width)):
+        line = full.where(F.col("line") == i).select(F.col("cell").alias("_cell"))
+        out = out.join(broadcast_if_small(line, limit=cells), cell == F.col("_cell"), "left_semi")
+    return out
+
+
+def vocabulary_of_many(rows: DataFrame, total: int, edit: str = "edit", floor: float = FLOOR) -> DataFrame:
+    """``vocabulary`` (A4) where most of very many distinct edits are rare: only possible ones are shuffled and counted."""
+    return vocabulary(possible_edits(rows, total, edit, floor), total, edit=edit, floor=floor)
+
+
 def encode(rows: DataFrame, vocab: DataFrame, name: str = "name", edit: str = "edit") -> DataFrame:
     """(name, seq): pseudo-DNA over a sorted vocabulary (P3), from one row for each occurrence.
 

@@ -3,13 +3,62 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 #: Folders that are to be deleted when the JVM ends.
 _LEAVING: set[str] = set()
 
 
+class Tables:
+    """The stored tables of a piece of work; those that are not kept leave when it ends."""
+
+    def __init__(self, outer: Tables | None) -> None:
+        self.outer, self.paths = outer, set[str]()
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Hand tables that ``stored`` or ``counted`` returned to the work around this one."""
+        for path in {t._stored_at for t in tables}:
+            self.paths.discard(path)
+            if self.outer is not None:
+                self.outer.paths.add(path)
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that nothing reads any more."""
+        for t in tables:
+            if t._stored_at in self.paths:
+                self.paths.discard(t._stored_at)
+                _delete(t.sparkSession, t._stored_at)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+_WORK: ContextVar[Tables | None] = ContextVar("tables", default=None)
+
+
+@contextmanager
+def tables(spark: SparkSession) -> Iterator[Tables]:
+    """A piece of work whose stored tables are deleted at its end, but for those it keeps.
+
+    What it returns must not read a table that leaves: store and keep it first.
+    """
+    mine = Tables(_WORK.get())
+    token = _WORK.set(mine)
+    try:
+        yield mine
+    finally:
+        _WORK.reset(token)
+        for path in mine.paths:
+            _delete(spark, path)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The session's shared checkpoint folder.
 
@@ -48,20 +97,42 @@ def durable(df: DataFrame) -> DataFrame:
         spark.conf.set(key, before)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder; what is written there leaves with the work of ``tables`` around it, else with the JVM."""
+    base = f"{ensure_checkpoint_dir(spark)}/tables-{spark.sparkContext.applicationId}"
+    if base not in _LEAVING:
+        _LEAVING.add(base)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(base)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    path = f"{base}/{uuid.uuid4().hex}"
+    if (work := _WORK.get()) is not None:
+        work.paths.add(path)
+    return path
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as a Parquet table in the shared folder and read back, for tables that loops read again.
 
     A checkpoint runs its last stage twice and hands on the size estimate of its
     plan, which a loop of joins squares each round until planning takes all the
-    time; a table is computed once and has the size of its files. The session's
-    tables go when its JVM ends.
+    time; a table is computed once and has the size of its files. Inside
+    ``tables`` it leaves at the end of that work, else when the JVM ends.
     """
-    spark = df.sparkSession
-    base = f"{ensure_checkpoint_dir(spark)}/tables-{spark.sparkContext.applicationId}"
-    path = f"{base}/{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
-    if base not in _LEAVING:
-        _LEAVING.add(base)
-        folder = spark._jvm.org.apache.hadoop.fs.Path(base)
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
-    return spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def measured(df: DataFrame, **figures) -> tuple[DataFrame, dict]:
+    """``stored(df)`` and aggregates over its rows, taken while it is written: no job of their own."""
+    seen = Observation()
+    out = stored(df.observe(seen, *[c.alias(k) for k, c in figures.items()]))
+    return out, seen.get
+
+
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """``stored(df)`` and its number of rows, counted while it is written."""
+    out, got = measured(df, n=F.count(F.lit(1)))
+    return out, got["n"]

@@ -29,7 +29,7 @@ from treeloom.kernels.sample_tree import Model, Placer, build_tree, child_id, cu
 from treeloom.kernels.tree import to_newick
 from treeloom.operators import rounds
 from treeloom.operators.choose import next_round_pool
-from treeloom.operators.clades import pool_of
+from treeloom.operators.clades import induced_subtree, pool_of
 from treeloom.operators.sampling import count_by, draw, root_row, sample, without_root
 from treeloom.plans.durable import stored
 from treeloom.plans.sizing import arrow_rows, broadcast_if_small
@@ -307,19 +307,10 @@ def _assemble(nodes: list[DataFrame], lost: list[DataFrame], twins: DataFrame |
     tree = every.groupBy("node").agg(F.max("parent").alias("parent"), F.max("name").alias("name"), F.max("length").alias("length"))
     tops = every.where("parent IS NOT NULL").select(F.col("parent").alias("node")).distinct()
     tree = stored(tree.join(tops.withColumn("_inner", F.lit(True)), "node", "full").select("node", "parent", "name", "length", F.coalesce("_inner", F.lit(False)).alias("_inner")))
-    while True:  # tips of clades that gave up have no name, and may leave parents without tips
-        dead = stored(tree.where("name IS NULL AND NOT _inner AND parent IS NOT NULL").select("node", F.col("parent").alias("up")))
-        if dead.isEmpty():
-            break
-        left = tree.join(dead.select("node"), "node", "left_anti").drop("_inner")
-        inner = left.where("parent IS NOT NULL").select(F.col("parent").alias("node")).distinct().withColumn("_inner", F.lit(True))
-        # a node that loses a child goes, and its other children hang on the next one up
-        hit = stored(dead.select(F.col("up").alias("node")).distinct().join(tree.select("node", F.col("parent").alias("above")), "node").where("above IS NOT NULL"))
-        lifted = left.join(inner, "node", "left").withColumn("_inner", F.coalesce("_inner", F.lit(False)))
-        if not hit.isEmpty():
-            up = hit.select(F.col("node").alias("parent"), "above")
-            lifted = lifted.join(hit.select("node"), "node", "left_anti").join(up, "parent", "left").withColumn("parent", F.coalesce("above", "parent")).drop("above")
-        tree = stored(lifted.select("node", "parent", "name", "length", "_inner"))
+    if not tree.where("name IS NULL AND NOT _inner AND parent IS NOT NULL").isEmpty():
+        # tips of clades that gave up have no name, and may leave parents without tips
+        shape = induced_subtree(tree.select("node", "parent"), tree.where("name IS NOT NULL").select("node"))
+        tree = stored(shape.join(tree.drop("parent"), "node").select(*tree.columns))
     tree = tree.drop("_inner")
     if twins is not None:
         at = tree.where("name IS NOT NULL").select("node", "name").join(twins, "name")

@@ -10,8 +10,9 @@ from treeloom import views
 from treeloom.catalog import query
 from treeloom.functions import columns
 from treeloom.operators import choose, clades, encode, rounds, sampling
-from treeloom.plans.durable import stored
-from treeloom.sources import trees
+from treeloom.operators.ranking import ranked
+from treeloom.plans.durable import scratch, stored
+from treeloom.sources import newick, trees
 from treeloom.sources import edits as edit_lists
 from treeloom.views import SQL_CAND, SQL_CLOSURE, SQL_COUNTS, SQL_EDITS, SQL_SEQ, SQL_TREE, table
 
@@ -130,6 +131,17 @@ def edit_vocabulary(spark: SparkSession, d: str) -> DataFrame:
     return encode.vocabulary(li, total)
 
 
+@query(
+    "edit_vocabulary_sketched",
+    "WITH w AS (SELECT unnest(string_split(text, ' ')) AS edit FROM documents), n AS (SELECT count(*) AS n FROM documents) SELECT edit, count(*) AS cnt FROM w WHERE edit <> '' GROUP BY edit HAVING count(*) / (SELECT n FROM n) > 0.001 AND count(*) < (SELECT n FROM n)",
+)
+def edit_vocabulary_sketched(spark: SparkSession, d: str) -> DataFrame:
+    """A4 over very many edits, most of them rare (words of documents), through a sketch: only possible ones are shuffled."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("name"), "text")
+    words = docs.select("name", F.explode(F.split("text", " ")).alias("edit")).where("edit <> ''")
+    return encode.vocabulary_of_many(words, docs.count())
+
+
 def _sql_encode(sampled: str) -> str:
     return f"""WITH {SQL_EDITS}, src AS ({sampled}), total AS (SELECT count(DISTINCT name) AS n FROM src),
 v AS (SELECT list_sort(list(edit)) AS vocab FROM (SELECT edit FROM src GROUP BY edit HAVING count(*) / (SELECT n FROM total) > 0.001 AND count(*) < (SELECT n FROM total))),
@@ -390,12 +402,31 @@ def newick_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 @query("newick_roundtrip", f"WITH {SQL_TREE} SELECT node, parent FROM tree")
 def newick_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """The pieces put together (one small tree, one text) and read back."""
-    tokens = trees.newick_tokens(_nodes(spark, d))
-    text = tokens.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), "").alias("newick"))
-    back = trees.edges_of(text.select(F.lit(1).cast("long").alias("tree_id"), "newick"))
-    up = back.select(F.col("node_id").alias("parent_id"), F.col("name").alias("parent"))
-    return back.join(up, "parent_id", "left").select(F.col("name").alias("node"), "parent")
+    """A tree written as text and read back, both in pieces."""
+    return _read_back(spark, _nodes(spark, d)).select(F.col("name").alias("node"), "parent")
+
+
+def _read_back(spark: SparkSession, nodes: DataFrame) -> DataFrame:
+    """A table of named nodes, written as Newick text and read again: (node_id, parent_id, name, branch_length, is_leaf, parent)."""
+    path = scratch(spark)
+    trees.write_newick(nodes, path)
+    back = newick.read_newick(spark, path)
+    return back.join(back.select(F.col("node_id").alias("parent_id"), F.col("name").alias("parent")), "parent_id", "left")
+
+
+@query(
+    "newick_large_roundtrip",
+    """SELECT 'top' AS name, CAST(NULL AS VARCHAR) AS parent, 0.0 AS branch_length, false AS is_leaf UNION ALL SELECT 'r' || r_regionkey, 'top', 0.25, false FROM region
+UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 0.5, false FROM nation UNION ALL SELECT 'Customer, ' || c_custkey, 'n' || c_nationkey, c_custkey % 64 / 32.0, true FROM customer""",
+)
+def newick_large_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Every customer as a leaf whose quoted name holds a comma, through files and back."""
+    top = spark.createDataFrame([("top", None, 0.0)], "node string, parent string, length double")
+    region = table(spark, d, "region").select(F.concat(F.lit("r"), "r_regionkey"), F.lit("top"), F.lit(0.25))
+    nation = table(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey"), F.concat(F.lit("r"), "n_regionkey"), F.lit(0.5))
+    customer = table(spark, d, "customer").select(F.concat(F.lit("Customer, "), "c_custkey"), F.concat(F.lit("n"), "c_nationkey"), F.col("c_custkey") % 64 / F.lit(32.0))
+    nodes = top.union(region).union(nation).union(customer)
+    return _read_back(spark, nodes.select("node", "parent", F.col("node").alias("name"), "length")).select("name", "parent", "branch_length", "is_leaf")
 
 
 @query("jplace_best_edge", f"WITH {_BEST} SELECT CAST(query AS VARCHAR) AS name, CAST(substr(edge, 2) AS INTEGER) AS edge FROM best")
@@ -408,6 +439,32 @@ def jplace_best_edge(spark: SparkSession, d: str) -> DataFrame:
     return choose.best_edge(rows, ["name"], "lwr", "ord").select("name", "edge")
 
 
+_TURNED = f"""{SQL_TREE}, t AS (SELECT node, parent, length(node) / 4.0 AS len FROM tree), gone AS (SELECT 's' || min(s_suppkey) AS node FROM supplier),
+up AS (SELECT t.*, 0 AS step FROM t JOIN gone USING (node) UNION ALL SELECT t.*, up.step + 1 FROM up JOIN t ON t.node = up.parent)"""
+
+
+@query(
+    "reroot_outgroup",
+    f"""WITH RECURSIVE {_TURNED} SELECT t.node, CASE WHEN u.step = 1 THEN NULL WHEN u.step > 1 THEN b.node ELSE t.parent END AS parent, CASE WHEN u.step > 0 THEN b.len ELSE t.len END AS length
+FROM t LEFT JOIN up u ON t.node = u.node LEFT JOIN up b ON b.step = u.step - 1 WHERE coalesce(u.step, 1) > 0""",
+)
+def reroot_outgroup(spark: SparkSession, d: str) -> DataFrame:
+    """The tree of suppliers seen from the first of them, which is left out."""
+    first = table(spark, d, "supplier").agg(F.concat(F.lit("s"), F.min("s_suppkey")).alias("x")).first().x
+    nodes = views.tree(spark, d).select("node", "parent", F.col("node").alias("name"), (F.length("node") / 4).alias("length"))
+    return clades.reroot(stored(nodes), first).select("node", "parent", "length")
+
+
+@query("deep_common_ancestor", "SELECT l_partkey, 'o' || min(l_orderkey) AS lca FROM lineitem GROUP BY l_partkey")
+def deep_common_ancestor(spark: SparkSession, d: str) -> DataFrame:
+    """A8, T10 on a tree as deep as there are orders: each order lies under the one before, and a part's orders meet at the first."""
+    order = ranked(table(spark, d, "orders").select("o_orderkey"), [], ["o_orderkey"], "place")
+    before = order.select((F.col("place") + 1).alias("place"), F.col("o_orderkey").alias("up"))
+    chain = stored(order.join(before, "place", "left").select(F.concat(F.lit("o"), "o_orderkey").alias("node"), F.concat(F.lit("o"), "up").alias("parent")))
+    cand = table(spark, d, "lineitem").select("l_partkey", F.concat(F.lit("o"), "l_orderkey").alias("edge"))
+    return choose.lowest_common_ancestor(cand, ["l_partkey"], chain)
+
+
 # -- rounds ------------------------------------------------------------------------
 
 

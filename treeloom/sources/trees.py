@@ -1,40 +1,20 @@
-"""Trees in and out: Newick text and placement documents against edge tables."""
+"""Trees out as Newick text, and placement documents in; ``newick`` reads the text."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeloom.kernels.tree import Tree, parse_newick
+from treeloom.kernels.tree import Tree
 from treeloom.operators.ranking import ranked
 from treeloom.plans.durable import stored
 
-EDGES = "tree_id long, node_id long, parent_id long, edge_num int, name string, branch_length double, is_leaf boolean"
 #: Nodes up to which a tree is put together as one text on the driver.
 NEWICK_NODES = 1_000_000
 
 
-def edges_of(trees: DataFrame) -> DataFrame:
-    """EDGES of (tree_id, newick) rows (S6); a tree's nodes are numbered in preorder, its top has no parent."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for tree_id, text in zip(b["tree_id"], b["newick"], strict=True):
-                t = parse_newick(text).renumbered()
-                inner = set(t.parent)
-                yield pd.DataFrame(
-                    {
-                        "tree_id": tree_id, "node_id": range(len(t)), "parent_id": pd.array([p if p >= 0 else None for p in t.parent], "Int64"), "edge_num": range(len(t)),
-                        "name": t.name, "branch_length": t.length, "is_leaf": [v not in inner for v in range(len(t))],
-                    }
-                )
-
-    return trees.select("tree_id", "newick").mapInPandas(run, EDGES)
-
-
 def newick_tokens(nodes: DataFrame, lengths: bool = True) -> DataFrame:
     """(at, text): the Newick text (S7) of a (node, parent, name, length) table in pieces, ``at`` being their order from 0 on.
 
@@ -73,12 +53,6 @@ def write_newick(nodes: DataFrame, path: str, lengths: bool = True, compression:
     newick_tokens(nodes, lengths).orderBy("at").select("text").write.mode("overwrite").option("compression", compression).text(path)
 
 
-def read_newick(spark: SparkSession, path: str) -> DataFrame:
-    """EDGES of the trees in text files, one for each line."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    return edges_of(lines.select(F.xxhash64("value").alias("tree_id"), F.col("value").alias("newick")))
-
-
 _JPLACE = "tree string, placements array<struct<p array<array<double>>, n array<string>>>"
 
 
