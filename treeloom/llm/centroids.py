@@ -63,8 +63,8 @@ def fit(vectors: DataFrame, k: int = 16, rounds: int = 3, dims: int = 64, scale:
                 at, _ = nearest(points, held.value)
                 n += np.bincount(at, minlength=len(n))
                 np.add.at(total, at, points)
-            got = np.flatnonzero(n)
-            yield pd.DataFrame({"part": 0, "entry": got, "n": n[got], "sums": list(total[got])})
+            if (got := np.flatnonzero(n)).size:
+                yield pd.DataFrame({"part": 0, "entry": got, "n": n[got], "sums": list(total[got])})
 
         found = _vectors.merged(rows.select("vector").mapInPandas(sums, _vectors.SUMS))
         held.unpersist()

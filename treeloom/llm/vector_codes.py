@@ -111,7 +111,7 @@ def fit(vectors: DataFrame, parts: int = 8, k: int = 16, rounds: int = 6, scale:
                         at, _ = nearest(part, books[p])
                         n[p] += np.bincount(at, minlength=n.shape[1])
                         np.add.at(total[p], at, part)
-            p, e = np.nonzero(n)
+            p, e = np.nonzero(n)  # none where a task had no rows
             yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(e, pa.int32()), pa.array(n[p, e]), pa.array(total[p, e].tolist(), pa.list_(pa.int64()))], ["part", "entry", "n", "sums"])
 
         found = _vectors.merged(rows.select("vector").mapInArrow(sums, _vectors.SUMS))
