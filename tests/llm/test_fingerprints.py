@@ -13,13 +13,10 @@ ANCHORS = {w for words in fingerprints.ANCHORS.values() for w in words.split()}
 
 def _signatures(text):
     words = [w for w in re.split(r"[\W_]+", (text or "").lower()) if w]
-    found = set()
-    for i in range(1, len(words)):
-        if words[i] in ANCHORS or words[i - 1] not in ANCHORS:
-            continue
-        rest = [w for w in words[i:] if w not in ANCHORS][:2]
-        if len(rest) == 2:
-            found.add(" ".join([words[i - 1], *rest]))
+    found, content = set(), [i for i, w in enumerate(words) if w not in ANCHORS]
+    for i, j in zip(content, content[1:], strict=False):
+        if i and words[i - 1] in ANCHORS:
+            found.add(" ".join([words[i - 1], words[i], words[j]]))
     if not found and words:
         found = {" ".join(words)}
     return sorted(hashlib.md5(s.encode()).hexdigest()[:16] for s in found)
