@@ -1,4 +1,6 @@
 import gzip
+import hashlib
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,9 +8,11 @@ from pyspark.sql import functions as F
 from treeloom.cli import main
 from treeloom.config import LineageConfig
 from simulate import balanced, edits
-from treeloom.kernels.tree import parse_newick, robinson_foulds
+from treeloom.kernels import distance
+from treeloom.kernels.tree import parse_newick, robinson_foulds, to_newick
 from treeloom.operators import choose, clades
 from treeloom.operators.ranking import ranked
+from treeloom.plans import durable, engine
 from treeloom.plans.durable import stored
 from treeloom.plans.engine import reconstruct
 from treeloom.sources.edits import read_edits, write_edits
@@ -62,6 +66,14 @@ def test_fasta_forms(spark, tmp_path):
     assert sorted(r.n for r in count_by_file(spark, str(tmp_path)).collect()) == [1, 2]
     write_fasta(read_fasta(spark, str(one)), str(tmp_path / "out"), "gzip")
     assert sorted(r.name for r in read_fasta(spark, str(tmp_path / "out")).collect()) == ["x", "y"]
+    odd = tmp_path / "odd"
+    odd.mkdir()
+    (odd / "c.fa").write_bytes(b"\r\n>x change 12A>G\r\nACGT\r\nAC\r\n>y>z a > b\r\nGG\r\n>empty\r\n>last\r\nT")
+    with gzip.open(odd / "d.fa.gz", "wt") as f:
+        f.write(">u 1>2\nA\n\nC\n")
+    want = [("empty", ""), ("last", "T"), ("u", "AC"), ("x", "ACGTAC"), ("y>z", "GG")]
+    assert sorted(map(tuple, read_fasta(spark, str(odd)).collect())) == want
+    assert sorted(r.n for r in count_by_file(spark, str(odd)).collect()) == [1, 4]
     write_phylip(read_fasta(spark, str(one)), str(tmp_path / "phy"))
     assert [r.value for r in spark.read.text(str(tmp_path / "phy")).collect()][0] == "2 6"
 
@@ -154,6 +166,68 @@ def test_problematic_rows_are_retried_and_counted(spark):
     assert sum(len(x) for x in [parse_newick(out.newick()).leaves()]) == 32
 
 
+def test_a_failed_second_round_falls_back_to_the_first(spark):
+    """C3, ``previous``: rows near the root stay on its edge, their round is good, and the next one's builder fails on them."""
+    records, truth = balanced(5, 400)
+    root = records[0][1]
+    ghosts = [(f"ghost{i}", root[:i] + ("A" if root[i] != "A" else "C") + root[i + 1 :]) for i in range(12)]
+
+    def builder(names, seqs):
+        if any(n.startswith("ghost") for n in names):
+            raise RuntimeError("misled")
+        t = distance.neighbor_joining([*names[1:], "root"], distance.pairwise([*seqs[1:], seqs[0]]))
+        return f"({to_newick(t)[:-1]},root:0.1);"
+
+    for seed in range(20):  # a first sample without a ghost
+        order = sorted([n for n, _ in [*records[1:], *ghosts]], key=lambda n: (hashlib.md5(f"{seed}|0|1|{n}".encode()).hexdigest(), n))
+        if not any(n.startswith("ghost") for n in order[:10]):
+            break
+    out = reconstruct(spark.createDataFrame([*records, *ghosts], "name string, seq string"), LineageConfig(builder=builder, seed=seed, placement="MP", max_rounds=4))
+    lost = {r.name for r in out.discarded.collect() if r.reason == "problematic"}
+    assert out.metrics[0]["rounds"] == 2 and lost >= {n for n, _ in ghosts}
+    t = parse_newick(out.newick())
+    assert set(_leaves(t)) | {r.name for r in out.discarded.collect()} == {n for n, _ in [*records[1:], *ghosts]}
+    assert len(out.metrics) > 1  # the first round's cut was taken
+
+
+def test_the_cap_on_clades(spark):
+    records, _ = balanced(5, 400)
+    with pytest.raises(RuntimeError, match="max_clades"):
+        reconstruct(spark.createDataFrame(records, "name string, seq string"), LineageConfig(method="nj", max_clades=1, threshold=4))
+
+
+def test_models_beyond_a_broadcast_meet_salted_rows(spark, monkeypatch):
+    """The same tree when models are not broadcast and the one large clade is spread over salts."""
+    monkeypatch.setattr(engine, "MODEL_BYTES", -1)
+    records, truth = balanced(5, 400)
+    salted, real = [], clades.pool_of
+    monkeypatch.setattr(engine, "pool_of", lambda n, limit: salted.append(limit) or real(n, limit))
+    out = reconstruct(spark.createDataFrame(records, "name string, seq string"), LineageConfig(method="nj", chunk=8))
+    assert robinson_foulds(parse_newick(out.newick()), parse_newick(truth)) == 0
+    assert salted and set(salted) == {8}
+
+
+def test_tables_of_finished_levels_leave(spark, monkeypatch):
+    """A run's disk holds one level's rows, whatever the number of levels, and the result's two tables at its end."""
+    records, _ = balanced(6, 400)
+    df = stored(spark.createDataFrame(records, "name string, seq string"))
+    made, full = [], []
+    real = durable.stored
+
+    def watched(table):
+        out = real(table)
+        made.append((out._stored_at.removeprefix("file:"), "seq" in out.columns))
+        full.append(sum(os.path.isdir(p) for p, rows in made if rows))
+        return out
+
+    for module in (durable, engine):
+        monkeypatch.setattr(module, "stored", watched)
+    out = reconstruct(df, LineageConfig(method="nj", threshold=4))
+    assert len(out.metrics) > 2
+    assert max(full) <= 3  # the level's rows, the same placed, and the next level's
+    assert sum(os.path.isdir(p) for p, _ in made) == 2 and out.nodes.count() > 64
+
+
 def test_unaligned_sequences(spark):
     records, truth = balanced(4, 400, indels=True)
     out = reconstruct(spark.createDataFrame(records, "name string, seq string"), LineageConfig(method="nj", unaligned=True))

@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
-from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -40,7 +39,8 @@ def _delete(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-_WORK: ContextVar[Tables | None] = ContextVar("tables", default=None)
+#: The pieces of work under way on this driver, the innermost last.
+_WORK: list[Tables] = []
 
 
 @contextmanager
@@ -49,12 +49,12 @@ def tables(spark: SparkSession) -> Iterator[Tables]:
 
     What it returns must not read a table that leaves: store and keep it first.
     """
-    mine = Tables(_WORK.get())
-    token = _WORK.set(mine)
+    mine = Tables(_WORK[-1] if _WORK else None)
+    _WORK.append(mine)
     try:
         yield mine
     finally:
-        _WORK.reset(token)
+        _WORK.remove(mine)
         for path in mine.paths:
             _delete(spark, path)
 
@@ -105,8 +105,8 @@ def scratch(spark: SparkSession) -> str:
         folder = spark._jvm.org.apache.hadoop.fs.Path(base)
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     path = f"{base}/{uuid.uuid4().hex}"
-    if (work := _WORK.get()) is not None:
-        work.paths.add(path)
+    if _WORK:
+        _WORK[-1].paths.add(path)
     return path
 
 

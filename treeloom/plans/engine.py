@@ -17,7 +17,8 @@ import logging
 import math
 import time
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -31,7 +32,7 @@ from treeloom.operators import rounds
 from treeloom.operators.choose import next_round_pool
 from treeloom.operators.clades import induced_subtree, pool_of
 from treeloom.operators.sampling import count_by, draw, root_row, sample, without_root
-from treeloom.plans.durable import stored
+from treeloom.plans.durable import counted, measured, stored, tables
 from treeloom.plans.sizing import arrow_rows, broadcast_if_small
 from treeloom.sources.trees import NEWICK_NODES, tree_from_rows
 
@@ -120,12 +121,13 @@ class _Run:
             out.append(part)
         return pd.concat(out) if out else rows.iloc[:0].assign(edge=pd.Series(dtype="int32"))
 
-    def place(self, rows: DataFrame, models: DataFrame) -> DataFrame:
-        """``rows`` with the edge each belongs to."""
+    def place(self, rows: DataFrame, models: DataFrame, size: int | None = None) -> DataFrame:
+        """``rows`` with the edge each belongs to (J4); ``size``: bytes of the models, if known."""
         names = rows.columns
         schema = rows.select(*names, F.lit(0).alias("edge")).schema
         sound = models.where("error IS NULL")
-        size = sound.agg(F.sum(F.length("root") * (F.size("names") + 1) + 64 * F.size("parent"))).first()[0] or 0
+        if size is None:
+            size = sound.agg(F.sum(F.length("root") * (F.size("names") + 1) + 64 * F.size("parent"))).first()[0] or 0
         place_rows = self._place_rows
         if size <= MODEL_BYTES:
             held = rows.sparkSession.sparkContext.broadcast({r["clade_id"]: r.asDict() for r in sound.collect()})
@@ -206,95 +208,139 @@ def reconstruct(taxa: DataFrame, config: LineageConfig | None = None) -> Lineage
             raise ValueError("no record is named root")
         root = row[0]
     run = _Run(config, root)
+    spark = taxa.sparkSession
     rows = without_root(taxa.select("name", payload))
     key = F.array_join(F.sort_array("edits"), ";") if config.edits else F.col("seq")
-    first = rows.withColumn("_key", F.sha2(key, 256)).groupBy("_key").agg(F.min("name").alias("name"), F.min_by(payload, "name").alias(payload), F.count("*").alias("_n"))
-    first = stored(first)
-    twins = None
-    if not first.where("_n > 1").isEmpty():
-        named = rows.select(F.col("name").alias("twin"), F.sha2(key, 256).alias("_key"))
-        twins = stored(named.join(first.where("_n > 1").select("_key", "name"), "_key").select("name", "twin"))
-    frontier = first.select(F.lit(0).cast("long").alias("clade_id"), "name", payload)
-    if config.unaligned:
-        frontier = frontier.withColumns({"aln": F.lit(None).cast("string"), "aln_n": F.lit(None).cast("long")})
-    frontier = stored(frontier)
-
-    nodes: list[DataFrame] = []
-    lost: list[DataFrame] = []
-    metrics: list[dict] = []
-    clades = 1
-    for level in range(10_000):
-        began = time.time()
-        sizes = stored(count_by(frontier, "clade_id"))
-        figures = sizes.agg(F.count("*").alias("c"), F.sum("n").alias("n"), F.count_if(F.col("n") > config.threshold).alias("open")).first()
-        if not figures.c:
-            break
-        clades += figures.c
-        if clades > config.max_clades + 1 and figures.open:
-            raise RuntimeError(f"over {config.max_clades} clades: raise max_clades")
-        sized = frontier.join(broadcast_if_small(sizes, figures.c), "clade_id")
-        nodes.append(stored(run.direct(sized.where(F.col("n") <= config.threshold).drop("n"))))
-        metrics.append({"level": level, "clades": figures.c, "taxa": figures.n, "open": figures.open, "rounds": 0, "discarded": 0})
-        if not figures.open:
+    with tables(spark) as whole:
+        first = rows.withColumn("_key", F.sha2(key, 256)).groupBy("_key").agg(F.min("name").alias("name"), F.min_by(payload, "name").alias(payload), F.count("*").alias("_n"))
+        first, seen = measured(first, copies=F.count_if(F.col("_n") > 1))
+        twins = None
+        if seen["copies"]:
+            named = rows.select(F.col("name").alias("twin"), F.sha2(key, 256).alias("_key"))
+            again = first.where("_n > 1").select("_key", "name")
+            twins = stored(named.join(broadcast_if_small(again, seen["copies"]), "_key").select("name", "twin"))
+        frontier = first.select(F.lit(0).cast("long").alias("clade_id"), "name", payload)
+        if config.unaligned:
+            frontier = frontier.withColumns({"aln": F.lit(None).cast("string"), "aln_n": F.lit(None).cast("long")})
+        nodes: list[DataFrame] = []
+        lost: list[DataFrame] = []
+        metrics: list[dict] = []
+        clades, held = 1, first
+        for level in range(10_000):
+            began = time.time()
+            with tables(spark) as work:
+                sizes, figures = measured(count_by(frontier, "clade_id"), clades=F.count(F.lit(1)), taxa=F.sum("n"), open=F.count_if(F.col("n") > config.threshold))
+                if not figures["clades"]:
+                    break
+                clades += figures["clades"]
+                if clades > config.max_clades + 1 and figures["open"]:
+                    raise RuntimeError(f"over {config.max_clades} clades: raise max_clades")
+                metrics.append({"level": level, **figures, "rounds": 0, "discarded": 0})
+                done = _level(run, frontier, sizes, figures, metrics[-1])
+                work.keep(*done.kept)
+            nodes += done.nodes
+            lost += done.lost
             metrics[-1]["seconds"] = time.time() - began
-            break
-        active = sized.where(F.col("n") > config.threshold)
-        if config.unaligned:  # keep an alignment while the clade is not much smaller than when it was made (X12)
-            active = active.withColumn("aln", F.when(~rounds.realign(F.col("n"), F.col("aln_n"), config.realign_ratio), F.col("aln"))).withColumn("aln_n", F.when(F.col("aln").isNull(), F.col("n")).otherwise(F.col("aln_n")))
-        active = stored(active.drop("n"))
-        state = stored(sizes.where(F.col("n") > config.threshold).select("clade_id", "n", F.col("n").alias("prev"), F.lit(None).cast("int").alias("good")))
-        pool, made, settled = active, {}, []
-        for turn in range(1, config.max_rounds):
-            open_ = state.select("clade_id")
-            todo = active if turn == 1 else stored(active.join(broadcast_if_small(open_), "clade_id", "left_semi"))
-            drawn = sample(pool, "clade_id", "name", min(config.subsample, config.tip_sample), run.seed, F.lit(turn))
-            drawn = stored(drawn if root is None else drawn.where(F.col("seq") != root))
-            drawn = drawn.withColumn("_order", draw(run.seed, "clade_id", "name"))
-            models = stored(run.models(drawn))
-            placed = stored(run.place(todo, models))
-            counts = placed.groupBy("clade_id", "edge").agg(F.count("*").alias("cnt"))
-            cuts = stored(run.cuts(counts, models, state.select("clade_id", "n"), turn))
-            made[turn] = (placed, cuts)
-            got = cuts.groupBy("clade_id").agg(F.max("para").alias("para"), F.max("largest").alias("largest"))
-            s = state.join(got, "clade_id", "left")
-            fail = rounds.failed(F.col("para"), F.col("prev"), F.col("largest"), F.col("n"))
-            action = rounds.decision(fail, F.col("para"), F.col("good"), turn == config.max_rounds - 1)
-            s = stored(s.withColumn("action", action))
-            settled.append(s.where("action IN ('accept', 'previous', 'unresolved')").select("clade_id", F.when(F.col("action") == "accept", turn).when(F.col("action") == "previous", F.col("good")).alias("turn")))
-            state = stored(s.where("action IN ('again', 'retry')").select("clade_id", "n", F.when(F.col("action") == "retry", F.col("para")).otherwise(F.col("prev")).alias("prev"), F.when(F.col("action") == "retry", turn).otherwise(F.col("good")).alias("good"), "action"))
-            metrics[-1]["rounds"] = turn
-            if state.isEmpty():
+            _log.info("%s", metrics[-1])
+            if done.moved is None:
                 break
-            again = state.where("action = 'again'").select("clade_id")
-            retry = state.where("action = 'retry'").select("clade_id")
-            bad = placed.where("edge = 0").drop("edge")
-            mixed = next_round_pool(drawn.drop("_order"), bad, "clade_id", "name", config.retry_rows, run.seed).dropDuplicates(["clade_id", "name"]).join(broadcast_if_small(retry), "clade_id", "left_semi")
-            pool = active.join(broadcast_if_small(again), "clade_id", "left_semi").unionByName(mixed)
-        done = settled[0]
-        for more in settled[1:]:
-            done = done.union(more)
-        done = stored(done)
-        following = None
-        for turn, (placed, cuts) in made.items():
-            mine = broadcast_if_small(done.where(F.col("turn") == turn).select("clade_id"))
-            chosen = stored(cuts.join(mine, "clade_id", "left_semi"))
-            nodes.append(chosen.where("node IS NOT NULL").select("node", "parent", F.lit(None).cast("string").alias("name"), "length"))
-            to = chosen.where("edge IS NOT NULL").select("clade_id", "edge", "child")
-            moved = stored(placed.join(mine, "clade_id", "left_semi").join(broadcast_if_small(to), ["clade_id", "edge"], "left"))
-            lost.append(moved.where("child IS NULL").select("clade_id", "name", F.lit("problematic").alias("reason")))
-            metrics[-1]["discarded"] += lost[-1].count()
-            kept = moved.where("child IS NOT NULL").withColumn("clade_id", F.col("child")).drop("child", "edge")
-            following = kept if following is None else following.unionByName(kept)
-        stuck = stored(active.join(broadcast_if_small(done.where("turn IS NULL").select("clade_id")), "clade_id", "left_semi"))
+            whole.drop(held)  # the level that has been divided
+            held = done.moved
+            frontier = held.where("child IS NOT NULL").withColumn("clade_id", F.col("child")).select(*frontier.columns)
+        out = _assemble(nodes, lost, twins, taxa, metrics)
+        whole.keep(out.nodes, out.discarded)
+    return out
+
+
+@dataclass
+class _Level:
+    """What a level leaves: pieces of the tree, taxa left out, its rows with their child clades (none: it was the last), and the tables that these read."""
+
+    nodes: list[DataFrame] = field(default_factory=list)
+    lost: list[DataFrame] = field(default_factory=list)
+    moved: DataFrame | None = None
+    kept: list[DataFrame] = field(default_factory=list)
+
+    def keep(self, table: DataFrame) -> DataFrame:
+        self.kept.append(table)
+        return table
+
+
+def _level(run: _Run, frontier: DataFrame, sizes: DataFrame, figures: dict, metrics: dict) -> _Level:
+    """One level: small clades are solved, the others divided; counts come with the writes."""
+    config, open_ = run.config, figures["open"]
+    done = _Level()
+    sized = frontier.join(broadcast_if_small(sizes, figures["clades"]), "clade_id")
+    if open_ < figures["clades"]:
+        done.nodes.append(done.keep(stored(run.direct(sized.where(F.col("n") <= config.threshold).drop("n")))))
+    if not open_:
+        return done
+    active = sized.where(F.col("n") > config.threshold)
+    if config.unaligned:  # keep an alignment while the clade is not much smaller than when it was made (X12)
+        active = active.withColumn("aln", F.when(~rounds.realign(F.col("n"), F.col("aln_n"), config.realign_ratio), F.col("aln"))).withColumn("aln_n", F.when(F.col("aln").isNull(), F.col("n")).otherwise(F.col("aln_n")))
+    active = active.drop("n")  # the frontier and a small join: read again rather than written
+    state = sizes.where(F.col("n") > config.threshold).select("clade_id", "n", F.col("n").alias("prev"), F.lit(None).cast("int").alias("good"))
+    left, pool, made, settled = open_, active, {}, []
+    for turn in range(1, config.max_rounds):
+        todo = active if turn == 1 else active.join(broadcast_if_small(state.select("clade_id"), left), "clade_id", "left_semi")
+        drawn = sample(pool, "clade_id", "name", min(config.subsample, config.tip_sample), run.seed, F.lit(turn))
+        drawn = drawn if run.root is None else drawn.where(F.col("seq") != run.root)
+        drawn = drawn.withColumn("_order", draw(run.seed, "clade_id", "name"))
+        models, seen = measured(run.models(drawn), bytes=F.sum(F.when(F.col("error").isNull(), F.length("root") * (F.size("names") + 1) + 64 * F.size("parent"))))
+        placed = stored(run.place(todo, models, seen["bytes"] or 0))
+        counts = placed.groupBy("clade_id", "edge").agg(F.count("*").alias("cnt"))
+        cuts = stored(run.cuts(counts, models, state.select("clade_id", "n"), turn))
+        made[turn] = (placed, cuts)
+        got = cuts.groupBy("clade_id").agg(F.max("para").alias("para"), F.max("largest").alias("largest"))
+        s = state.join(got, "clade_id", "left")
+        fail = rounds.failed(F.col("para"), F.col("prev"), F.col("largest"), F.col("n"))
+        action = rounds.decision(fail, F.col("para"), F.col("good"), turn == config.max_rounds - 1)
+        s, seen = measured(s.withColumn("action", action), **{x: F.count_if(F.col("action") == x) for x in ("accept", "again", "retry", "unresolved")})
+        settled.append(s.where("action IN ('accept', 'previous', 'unresolved')").select("clade_id", F.when(F.col("action") == "accept", turn).when(F.col("action") == "previous", F.col("good")).alias("turn")))
+        state = s.where("action IN ('again', 'retry')").select("clade_id", "n", F.when(F.col("action") == "retry", F.col("para")).otherwise(F.col("prev")).alias("prev"), F.when(F.col("action") == "retry", turn).otherwise(F.col("good")).alias("good"), "action")
+        left = seen["again"] + seen["retry"]
+        metrics["rounds"] = turn
+        if not left:
+            break
+        again = state.where("action = 'again'").select("clade_id")
+        retry = state.where("action = 'retry'").select("clade_id")
+        bad = placed.where("edge = 0").drop("edge")
+        mixed = next_round_pool(drawn.drop("_order"), bad, "clade_id", "name", config.retry_rows, run.seed).dropDuplicates(["clade_id", "name"]).join(broadcast_if_small(retry, seen["retry"]), "clade_id", "left_semi")
+        pool = active.join(broadcast_if_small(again, seen["again"]), "clade_id", "left_semi").unionByName(mixed)
+    ended = reduce(DataFrame.union, settled)
+    ends = {turn: seen["accept"], None: seen["unresolved"]}
+    if turn > 1:
+        ended, n = measured(ended, stuck=F.count_if(F.col("turn").isNull()), **{str(k): F.count_if(F.col("turn") == k) for k in made})
+        ends = {None: n["stuck"]} | {k: n[str(k)] for k in made}
+    moved = None
+    for turn, (placed, cuts) in made.items():
+        if not (n := ends[turn]):
+            continue
+        if n < open_:
+            mine = broadcast_if_small(ended.where(F.col("turn") == turn).select("clade_id"), n)
+            cuts, placed = stored(cuts.join(mine, "clade_id", "left_semi")), placed.join(mine, "clade_id", "left_semi")
+        done.keep(cuts)
+        done.nodes.append(cuts.where("node IS NOT NULL").select("node", "parent", F.lit(None).cast("string").alias("name"), "length"))
+        to = cuts.where("edge IS NOT NULL").select("clade_id", "edge", "child")
+        part = placed.join(broadcast_if_small(to), ["clade_id", "edge"], "left").drop("edge")
+        moved = part if moved is None else moved.unionByName(part)
+    if moved is not None:
+        done.moved, got = measured(moved, lost=F.count_if(F.col("child").isNull()))
+        done.keep(done.moved)
+        if got["lost"]:
+            out = done.keep(stored(done.moved.where("child IS NULL").select("clade_id", "name")))
+            done.lost.append(out.withColumn("reason", F.lit("problematic")))
+            metrics["discarded"] += got["lost"]
+    if ends[None]:
+        stuck = active.join(broadcast_if_small(ended.where("turn IS NULL").select("clade_id"), ends[None]), "clade_id", "left_semi")
+        stuck, n = counted(stuck.select("clade_id", "name"))
+        done.keep(stuck)
         if config.unresolved == "polytomy":
-            nodes.append(stuck.select(F.concat(F.lit("c"), F.col("clade_id"), F.lit("."), F.col("name")).alias("node"), F.concat(F.lit("c"), F.col("clade_id")).alias("parent"), "name", F.lit(0.0).alias("length")))
+            done.nodes.append(stuck.select(F.concat(F.lit("c"), F.col("clade_id"), F.lit("."), F.col("name")).alias("node"), F.concat(F.lit("c"), F.col("clade_id")).alias("parent"), "name", F.lit(0.0).alias("length")))
         else:
-            lost.append(stuck.select("clade_id", "name", F.lit("unresolved").alias("reason")))
-            metrics[-1]["discarded"] += lost[-1].count()
-        frontier = stored(following.select(*frontier.columns))
-        metrics[-1]["seconds"] = time.time() - began
-        _log.info("%s", metrics[-1])
-    return _assemble(nodes, lost, twins, taxa, metrics)
+            done.lost.append(stuck.withColumn("reason", F.lit("unresolved")))
+            metrics["discarded"] += n
+    return done
 
 
 def _assemble(nodes: list[DataFrame], lost: list[DataFrame], twins: DataFrame | None, taxa: DataFrame, metrics: list[dict]) -> Lineage:

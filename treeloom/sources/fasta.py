@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from treeloom.functions.columns import fasta_line
 
 
-def _records(lines: DataFrame, text: str = "value") -> DataFrame:
-    body = F.col(text)
-    head = F.regexp_extract(body, r"^([^\n]*)", 1)
-    seq = F.regexp_replace(F.regexp_replace(body, r"^[^\n]*", ""), r"\s+", "")
-    return lines.where(F.length(F.trim(body)) > 0).select(F.regexp_extract(head, r"^\s*(\S+)", 1).alias("name"), seq.alias("seq"))
+def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(value): each record's text, without the ``>`` at its start.
+
+    Records are cut where a line starts with ``>``, so that one inside a
+    description stays there. A file's first record keeps its sign.
+    """
+    text = spark.read.option("lineSep", "\n>").text(path)
+    return text.select(F.regexp_replace("value", r"^\s*>", "").alias("value")).where(F.length(F.trim(F.regexp_replace("value", r"\s+", " "))) > 0)
 
 
 def read_fasta(spark: SparkSession, path: str | list[str], partitions: int | None = None) -> DataFrame:
@@ -22,14 +25,15 @@ def read_fasta(spark: SparkSession, path: str | list[str], partitions: int | Non
     Records may span lines; what follows the name on its line is dropped. A
     compressed file cannot be split, so give ``partitions`` to spread it.
     """
-    rows = _records(spark.read.option("lineSep", ">").text(path))
+    body = F.col("value")
+    seq = F.regexp_replace(F.regexp_replace(body, r"^[^\n]*", ""), r"\s+", "")
+    rows = _lines(spark, path).select(F.regexp_extract(body, r"^[^\S\n]*(\S+)", 1).alias("name"), seq.alias("seq"))
     return rows.repartition(partitions) if partitions else rows
 
 
 def count_by_file(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, n): records of each input file (A1)."""
-    lines = spark.read.option("lineSep", ">").text(path).where(F.length(F.trim("value")) > 0)
-    return lines.groupBy(F.input_file_name().alias("file")).agg(F.count("*").alias("n"))
+    return _lines(spark, path).groupBy(F.input_file_name().alias("file")).agg(F.count("*").alias("n"))
 
 
 def write_fasta(df: DataFrame, path: str, compression: str = "none") -> None:
