@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 
 import numpy as np
@@ -290,7 +291,8 @@ def _distance(a, b):
 
 def test_line_dedup(make_docs):
     rows = [(i, f"Menu \nown line {i}\n\n footer", "en", "a") for i in range(10)]
-    rows += [(i, "Menu\nunique" if i < 12 else f"page {i}", "en", "b") for i in range(10, 35)]  # 2 of 25 pages
+    rows += [(i, "Menu\nunique" if i < 102 else f"page {i}", "en", "b") for i in range(100, 150)]  # 2 of 50 pages
+    rows += [(i, "Menu\nunique" if i < 203 else f"page {i}", "en", "d") for i in range(200, 250)]  # 3 of 50 pages
     rows += [(i, "copied page\nMenu" if i < 60 else f"page {i}", "en", "c") for i in range(40, 61)]  # 20 of 21 pages, copies all
     rows += [(70, None, "en", "a"), (71, "", "en", None), (72, "Menu", "en", "a"), (72, "Menu", "en", "a"), (73, "Menu\n" + "x" * 3_000_000 + "\nend", "en", "a")]
     docs = make_docs(rows).withColumns({"line": F.lit(1), "_key": F.lit(2)})
@@ -298,7 +300,7 @@ def test_line_dedup(make_docs):
     text = {r.doc_id: r.text for r in got}
     assert len(got) == len(rows)
     assert text[0] == "own line 0\n" and text[72] == "" and text[70] is None and text[71] == ""
-    assert text[10] == "Menu\nunique" and text[40] == "" and text[60] == "page 60"
+    assert text[100] == "Menu\nunique" and text[200] == "" and text[40] == "" and text[60] == "page 60"
     assert text[73] == "x" * 3_000_000 + "\nend"
     assert {(r._ld_lines, r._ld_dropped) for r in got if r.doc_id < 10} == {(4, 2)}
     assert line_dedup.dedup_lines(make_docs(rows).limit(0)).count() == 0
@@ -316,7 +318,7 @@ def test_line_dedup_against_brute_force_on_small_sites(make_docs):
         pages[s] = pages.get(s, 0) + 1
         for x in set(t.split("\n")):
             count[s, x] = count.get((s, x), 0) + 1
-    want = {d: "\n".join(x for x in t.split("\n") if not (count[s, x] >= 2 and count[s, x] > 0.1 * pages[s])) for d, t, _, s in rows}
+    want = {d: "\n".join(x for x in t.split("\n") if not (count[s, x] >= 2 and count[s, x] > 0.05 * pages[s])) for d, t, _, s in rows}
     got = line_dedup.dedup_lines(make_docs(rows), site=url_filter.host_of(F.col("source")))
     assert {r.doc_id: r.text for r in got.collect()} == want
 
@@ -605,3 +607,50 @@ def test_html_of_odd_pages(spark):
     text = {r.page_id: r._hx_text for r in got.collect()}
     assert (text[1], text[2], text[3], text[4], text[5], text[7]) == ("", "", "plain <text>", "a\nb\nc", "kept", "deep")
     assert got.columns == ["page_id", "url", "text", "_hx_text"] and got.count() == len(rows)
+
+
+@pytest.mark.parametrize("columns", range(60, 121, 6))
+def test_whole_licences_at_any_width(spark, make_docs, columns):
+    """Every known whole licence, its paragraphs filled anew: what stands at a line's start is no notice for that."""
+    import textwrap
+
+    rows, want = [], []
+    for name, texts in license_scan.TEXTS.items():
+        for text in texts:
+            paragraphs = re.split(r"\n[ \t]*\n", text)
+            rows.append((len(rows), "\n\n".join(textwrap.fill(" ".join(p.split()), columns, break_long_words=False, break_on_hyphens=False) for p in paragraphs)))
+            want.append(name)
+            if name in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause"):  # under notices of the holder's own
+                rows.append((len(rows), f"Copyright (c) 2019-2024 Jane Doe\n(c) 2011 Someone Else\nAll rights reserved.\n\n{rows[-1][1]}"))
+                want.append(name)
+    got = {r.doc_id: r._ls_license for r in license_scan.scan_licenses(make_docs(rows), license_scan.known_licenses(spark)).collect()}
+    assert [got[i] for i in range(len(rows))] == want
+
+
+def test_sentences_about_copyright_are_no_notices(spark, make_docs):
+    rows = [
+        (1, "Copyrighted songs were played all night.\nCopyright law is the subject of this essay.\nReleased under the MIT License."),
+        (2, "Copyrighted songs were played all night."),
+        (3, "Copyright 2020 Jane Doe\nReleased under the MIT License."),
+        (4, "Copyright by Jane Doe\n© the authors\nCopyright © 1999\nCopyright (C) ACME\nCopyright [yyyy] [name]\nAll rights reserved.\nReleased under the MIT License."),
+        (5, "copyright notice, this list\nCOPYRIGHT HOLDERS BE LIABLE\n(c) You must retain\nReleased under the MIT License."),
+        (6, "Copyright Law is dull.\nReleased under the MIT License."),
+    ]
+    got = {r.doc_id: r for r in license_scan.scan_licenses(make_docs(rows), license_scan.known_licenses(spark)).collect()}
+    assert [got[i]._ls_license for i in range(1, 7)] == [None, None, "MIT", "MIT", None, None]
+    assert [got[i]._ls_notice for i in range(1, 7)] == ["MIT", None, "MIT", "MIT", "MIT", "MIT"]
+    assert got[2]._ls_digest != license_scan.scan_licenses(make_docs([(9, "")]), license_scan.known_licenses(spark)).first()._ls_digest
+
+
+def test_own_names_are_refused(spark, make_docs):
+    docs = make_docs([(1, "a")]).withColumns({"url": F.lit("http://a"), "html": F.lit("<p>a")})
+    known, rules = license_scan.known_licenses(spark), spark.createDataFrame([("a", "/", "block")], "host string, path string, verdict string")
+    calls = {
+        "_uf_rule": lambda d: url_filter.filter_urls(d, rules, d.select("url")), "_ls_lined": lambda d: license_scan.scan_licenses(d, known), "_ld_left": line_dedup.dedup_lines,
+        "_sh_rank": sharding.assign_shards, "_hx_text": html_extract.extract,
+    }
+    for name, call in calls.items():
+        call(docs.withColumn("x" + name, F.lit(1)))
+        for clash in (name, name.upper()):
+            with pytest.raises(ValueError):
+                call(docs.withColumn(clash, F.lit(1)))

@@ -155,7 +155,7 @@ def test_pipeline_against_brute_force(spark):
     texts = {i: docs[i].text for i in kept}
     pages = Counter(docs[i].source for i in texts)
     count = Counter((docs[i].source, x) for i, t in texts.items() for x in {y.strip(" \t\r\v\f") for y in t.split("\n")} if x)
-    gone = {k for k, n in count.items() if n >= 2 and n > 0.1 * pages[k[0]]}
+    gone = {k for k, n in count.items() if n >= 2 and n > 0.05 * pages[k[0]]}
     texts = {i: "\n".join(x for x in t.split("\n") if (docs[i].source, x.strip(" \t\r\v\f")) not in gone) for i, t in texts.items()}
     # stage 3
     found = components(list(texts.items()), 5)

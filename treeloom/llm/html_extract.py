@@ -16,7 +16,8 @@ Defined results: a null page is empty; a page without text gives "". Character
 references are decoded, white space inside a block becomes one space, blocks are
 joined by one newline, and nothing else is dropped or capped. Unclosed and stray
 tags are tolerated, cut-off pages keep what they have. Equal pages get equal
-texts. Other columns are carried through; own ones begin with ``_hx_``.
+texts. Other columns are carried through; names that begin with ``_hx_`` are
+refused with a ValueError.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from treeloom.llm._text import own_names
 from treeloom.plans.sizing import arrow_rows
 
 #: Elements by role in a page.
@@ -204,6 +206,7 @@ def main_text(html: str | None) -> str:
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:
     """``pages`` without ``html`` and with _hx_text."""
+    own_names(pages, "_hx_")
     arrow_rows(pages.sparkSession)
     kept = [c for c in pages.columns if c != html]
     schema = T.StructType([pages.schema[c] for c in kept] + [T.StructField("_hx_text", T.StringType())])

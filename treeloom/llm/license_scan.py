@@ -1,21 +1,29 @@
 """License scan: canonical digests of entire texts against known licences.
 
 A text is folded to a canonical form: lower case, equivalent spellings made one,
-copyright lines and punctuation gone, white space as single blanks. The digest
+copyright notices and punctuation gone, white space as single blanks. The digest
 of the whole form is joined by hash to the digests of known texts. Each line is
 a text of its own as well, so that a notice inside a document is found by the
 same lookup; the whole document counts first.
 
+A copyright notice is a line that starts with the word copyright and a sign, a
+year or a holder (a capital letter, or a blank to fill in), with the sign and
+anything, with "(c)" and a year, or that says "all rights reserved" and no more.
+The word alone makes none: sentences and the bodies of licences have lines that
+start with it, depending on where they were wrapped. Licences that carry a
+notice of their own lose it to the next line when they are wrapped anew, so that
+a whole text is looked up with its notices as well as without: one form has no
+lines, the other no holders.
+
 Letters and digits of every script count, so that a notice beside Russian or
 Chinese prose is not taken for the whole text. Equivalent spellings are those of
-SPELLINGS. A copyright line starts with the word copyright, "(c)" or the sign,
-or says "all rights reserved" and no more.
+SPELLINGS.
 
 Defined results: a null text has no digest and no licence; a text whose form is
 empty has the digest of the empty form and no licence; equal texts get equal
 results; among several notices in a document the one of least id is reported and
-their number counted. Other columns are carried through (own ones start with
-``_ls_``). The list of known texts is a parameter of any size: up to LIST_ROWS
+their number counted. Other columns are carried through; names that begin with
+``_ls_`` are refused with a ValueError. The list of known texts is a parameter of any size: up to LIST_ROWS
 it is broadcast behind a count, beyond that it is joined by shuffle.
 """
 
@@ -26,6 +34,9 @@ from importlib.resources import files
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from treeloom.llm._text import own_names
+from treeloom.plans.durable import counted
+
 #: Short licence notices, by SPDX identifier.
 NOTICES = {
     "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", "This project is licensed under the MIT License.", "SPDX-License-Identifier: MIT"],
@@ -78,23 +89,41 @@ SPELLINGS = [
     ("(c)", " copyright "),
     ("©", " copyright "),
 ]
-#: A line that is a copyright notice (the first start, or the whole of the second), and what is neither letter, mark, digit nor line end.
-_COPYRIGHT_LINE = r"(?m)(?d)^[ \t]*(?:(?:copyright|\(c\)|©)[^\n]*|all rights reserved[^\n\p{L}]*)$"
+PHRASES = [(a, b) for a, b in SPELLINGS if a.replace(" ", "").isalpha() and " " in a]
+#: A line that is a copyright notice (what follows the word, or what stands for it), and what is neither letter, mark, digit nor line end.
+_WORD = r"(?i:copyright)"
+_NOT_HOLDERS = r"(?i:notices?|holders?|owners?|laws?|licen[cs]es?|acts?|protection|and|or|in|of|to|the|is|are)"
+_NOTICE_STARTS = [
+    rf"{_WORD}[ \t:]*(?:(?i:\(c\))|©|[12][0-9]{{3}}|[<\[{{])",
+    rf"{_WORD}[ \t]+(?:(?i:by)[ \t]+)?(?!{_NOT_HOLDERS}\b)\p{{Lu}}",
+    r"(?i:\(c\))[ \t]*[12][0-9]{3}",
+    r"©",
+]
+_NOTICE = rf"(?m)(?d)^[ \t]*(?:(?:{'|'.join(_NOTICE_STARTS)})[^\n]*|(?i:all rights reserved)[^\n\p{{L}}]*)$"
 _OTHER = r"[^\p{L}\p{M}\p{N}\n]+"
 #: Known texts (about 100 bytes each in the lookup) that are broadcast.
 LIST_ROWS = 5_000
 
 
-def _by_line(text: Column) -> Column:
+def _lined(text: Column) -> Column:
     """The canonical form with its line ends, which the form of the whole text reads as blanks."""
-    out = F.regexp_replace(F.lower(text), _COPYRIGHT_LINE, "")
+    out = F.lower(text)
     for a, b in SPELLINGS:
         out = F.replace(out, F.lit(a), F.lit(b))
     return F.regexp_replace(out, _OTHER, " ")
 
 
+def _by_line(text: Column) -> Column:
+    """The same without copyright notices."""
+    return _lined(F.regexp_replace(text, _NOTICE, ""))
+
+
 def _whole(by_line: Column) -> Column:
-    return F.btrim(F.regexp_replace(by_line, "[ \n]+", " "))
+    """On one line, where spellings of two words meet that a line end parted."""
+    out = F.btrim(F.regexp_replace(by_line, "[ \n]+", " "))
+    for a, b in PHRASES:
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out
 
 
 def canonical_form(text: Column) -> Column:
@@ -113,16 +142,21 @@ def known_licenses(spark: SparkSession) -> DataFrame:
 def scan_licenses(docs: DataFrame, known: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with _ls_digest, _ls_license (whole text), _ls_notice (least id of a line's) and _ls_notices (number of such lines).
 
-    The whole text's digest meets the list in a hash join. Every line that is not
+    The whole text's digests meet the list in a hash join. Every line that is not
     blank is looked up: of a short list, in a hash set in the plan; of a long
     one, by a join of exploded line digests, counted by distinct text.
     """
-    lists = known.where("text IS NOT NULL").select(digest(F.col("text")).alias("_ls_key"), "license_id", canonical_form(F.col("text")).alias("_ls_form")).where("_ls_form <> ''").groupBy("_ls_key").agg(F.min("license_id").alias("_ls_id"))
-    short = lists.count() <= LIST_ROWS
+    own_names(docs, "_ls_")
+    forms = F.array_distinct(F.array(canonical_form(F.col("text")), _whole(_lined(F.col("text")))))
+    lists = known.where("text IS NOT NULL").select("license_id", F.explode(forms).alias("_ls_form")).where("_ls_form <> ''").groupBy(F.sha2("_ls_form", 256).alias("_ls_key")).agg(F.min("license_id").alias("_ls_id"))
+    lists, n = counted(lists)
+    short = n <= LIST_ROWS
     lists = F.broadcast(lists) if short else lists
-    # one canonical pass over a text serves its whole form and its lines
+    # one canonical pass over a text serves its whole form and its lines; only a text with notices takes another
     whole = docs.withColumn("_ls_lined", _by_line(F.col(text))).withColumn("_ls_digest", F.sha2(_whole(F.col("_ls_lined")), 256))
-    out = whole.join(lists.withColumnsRenamed({"_ls_key": "_ls_k1", "_ls_id": "_ls_license"}), F.col("_ls_digest") == F.col("_ls_k1"), "left").drop("_ls_k1")
+    whole = whole.withColumn("_ls_full", F.when(F.col(text).rlike(_NOTICE), F.sha2(_whole(_lined(F.col(text))), 256)).otherwise(F.col("_ls_digest")))
+    out = whole.join(lists.toDF("_ls_k1", "_ls_bare"), F.col("_ls_digest") == F.col("_ls_k1"), "left").join(lists.toDF("_ls_k2", "_ls_noted"), F.col("_ls_full") == F.col("_ls_k2"), "left")
+    out = out.withColumn("_ls_license", F.coalesce("_ls_bare", "_ls_noted"))
     lines = F.filter(F.transform(F.split(F.col("_ls_lined"), "\n"), lambda x: F.btrim(x)), lambda x: x != "")
     if short:
         ids = {r._ls_key: r._ls_id for r in lists.collect()}

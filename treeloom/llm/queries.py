@@ -60,24 +60,37 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op2_sql() -> str:
-    """Its own wording of the canonical form: lines first, copyright lines by their start, then letters, marks and digits."""
+    """Its own wording: notices are found line by line, by their first two words; then letters, marks and digits are left."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
+    notice = """(regexp_matches(x, '^[ \\t]*(?i:copyright)[ \\t:]*((?i:\\(c\\))|©|[12][0-9][0-9][0-9]|[<{]|\\[)')
+      OR (regexp_matches(x, '^[ \\t]*(?i:copyright)[ \\t]+((?i:by)[ \\t]+)?\\p{Lu}')
+        AND regexp_extract(lower(x), '^[ \\t]*copyright[ \\t]+(by[ \\t]+)?([\\pL\\pN_]+)', 2) NOT IN ('notice', 'notices', 'holder', 'holders', 'owner', 'owners', 'law', 'laws', 'license', 'licenses', 'licence', 'licences', 'act', 'acts', 'protection', 'and', 'or', 'in', 'of', 'to', 'the', 'is', 'are'))
+      OR regexp_matches(x, '^[ \\t]*(?i:\\(c\\))[ \\t]*[12][0-9][0-9][0-9]') OR regexp_matches(x, '^[ \\t]*©') OR regexp_matches(x, '^[ \\t]*(?i:all rights reserved)[^\\pL]*$'))"""
 
-    def line_form(x: str) -> str:
-        out = f"CASE WHEN regexp_matches({x}, '^[ \\t]*(copyright|\\(c\\)|©|all rights reserved[^\\pL]*$)') THEN '' ELSE {x} END"
+    def form(x: str) -> str:
+        out = f"lower({x})"
         for a, b in license_scan.SPELLINGS:
             out = f"replace({out}, {quote(a)}, {quote(b)})"
         return f"trim(regexp_replace({out}, '[^\\pL\\pM\\pN]+', ' ', 'g'))"
 
+    def forms(bare: bool) -> str:
+        lines = f"list_filter(string_split(text, chr(10)), lambda x: NOT {notice})" if bare else "string_split(text, chr(10))"
+        return f"list_filter(list_transform({lines}, lambda x: {form('x')}), lambda x: x <> '')"
+
+    def whole(bare: bool | str) -> str:
+        out = f"array_to_string({bare if isinstance(bare, str) else forms(bare)}, ' ')"
+        for a, b in license_scan.PHRASES:
+            out = f"replace({out}, {quote(a)}, {quote(b)})"
+        return f"sha256({out})"
+
     known = ", ".join(f"({quote(k)}, {quote(t)})" for table in (license_scan.NOTICES, license_scan.TEXTS) for k, ts in table.items() for t in ts)
-    forms = f"list_filter(list_transform(string_split(lower(text), chr(10)), lambda x: {line_form('x')}), lambda x: x <> '')"
     return f"""
 WITH known(id, text) AS (VALUES {known}),
-lists AS (SELECT sha256(array_to_string({forms}, ' ')) AS key, min(id) AS id FROM known GROUP BY 1),
-d AS (SELECT doc_id, {forms} AS forms FROM documents),
+lists AS (SELECT key, min(id) AS id FROM (SELECT id, {whole(True)} AS key FROM known UNION ALL SELECT id, {whole(False)} FROM known) GROUP BY key),
+d AS (SELECT doc_id, {forms(True)} AS forms, {forms(False)} AS noted FROM documents),
 found AS (SELECT doc_id, min(lists.id) AS notice_id, count(*) AS n FROM (SELECT doc_id, sha256(unnest(forms)) AS key FROM d) f JOIN lists ON f.key = lists.key GROUP BY doc_id)
-SELECT w.doc_id, w.digest, lists.id AS license_id, found.notice_id AS notice_id, CAST(coalesce(found.n, 0) AS BIGINT) AS n_notices
-FROM (SELECT doc_id, sha256(array_to_string(forms, ' ')) AS digest FROM d) w LEFT JOIN lists ON w.digest = lists.key LEFT JOIN found ON w.doc_id = found.doc_id
+SELECT w.doc_id, w.digest, coalesce(a.id, b.id) AS license_id, found.notice_id AS notice_id, CAST(coalesce(found.n, 0) AS BIGINT) AS n_notices
+FROM (SELECT doc_id, {whole('forms')} AS digest, {whole('noted')} AS full_digest FROM d) w LEFT JOIN lists a ON w.digest = a.key LEFT JOIN lists b ON w.full_digest = b.key LEFT JOIN found ON w.doc_id = found.doc_id
 """
 
 
@@ -101,7 +114,7 @@ OP5_SQL = r"""
 WITH d AS (SELECT doc_id, source, text, list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13) || chr(11) || chr(12))) AS keys FROM documents),
 total AS (SELECT source, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY source),
 counts AS (SELECT source, line, count(*) AS pages FROM (SELECT source, unnest(list_distinct(keys)) AS line FROM d WHERE text IS NOT NULL) WHERE line <> '' GROUP BY source, line),
-gone AS (SELECT c.source, list(c.line) AS lines FROM counts c JOIN total t ON c.source IS NOT DISTINCT FROM t.source WHERE pages >= 2 AND pages > 0.1 * n GROUP BY c.source),
+gone AS (SELECT c.source, list(c.line) AS lines FROM counts c JOIN total t ON c.source IS NOT DISTINCT FROM t.source WHERE pages >= 2 AND pages > 0.05 * n GROUP BY c.source),
 kept AS (
   SELECT doc_id, text, keys, CASE WHEN gone.lines IS NULL THEN string_split(text, chr(10)) ELSE list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(gone.lines, trim(x, ' ' || chr(9) || chr(13) || chr(11) || chr(12)))) END AS rest
   FROM d LEFT JOIN gone ON d.source IS NOT DISTINCT FROM gone.source

@@ -15,8 +15,8 @@ salt, so that no key's rows are sorted in one task either.
 
 Defined results: a null source is a source of its own; null and empty texts are
 rows like others; equal keys and repeated rows take near ranks in some order; an empty table has no shards; fewer rows than shards leave shards empty.
-Columns of ``docs`` are carried through (own ones begin with ``_sh_``); select
-what is needed first, since rows travel twice.
+Columns of ``docs`` are carried through (names that begin with ``_sh_`` are
+refused with a ValueError); select what is needed first, since rows travel twice.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from treeloom.llm._text import own_names
 from treeloom.plans.durable import durable
 from treeloom.plans.sizing import broadcast_if_small
 
@@ -40,6 +41,7 @@ def _running(counts: DataFrame, by: list[Column], bucket: list[str], n: str, out
 
 def assign_shards(docs: DataFrame, shards: int = 16, source: str = "source", key: str = "doc_id", seed: int = 17) -> DataFrame:
     """``docs`` with _sh_rank (place in the whole order), _sh_shard and _sh_slot."""
+    own_names(docs, "_sh_")
     rows = docs.withColumns({"_sh_source": F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("n")), "_sh_hash": F.xxhash64(F.lit(seed), F.col(key)), "_sh_salt": F.monotonically_increasing_id()})
     rows = durable(rows)
     total = rows.count()

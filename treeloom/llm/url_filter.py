@@ -18,7 +18,7 @@ matches no rule and is allowed. Longest is by the rule's whole length (host and
 path), then by host, then by name; a url listed twice, or a rule given twice
 with the same verdict, counts once, and a rule given with both verdicts blocks.
 An empty list allows everything. Repeated pages are judged alike. Other columns
-are carried through (the operator's own begin with ``_uf_``).
+are carried through; names that begin with ``_uf_`` are refused with a ValueError.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from treeloom.llm._text import own_names
 from treeloom.plans.durable import durable
 from treeloom.plans.sizing import broadcast_if_small
 
@@ -106,6 +107,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, urls: DataFrame, url: str =
     ``rules``: (host, path, verdict), ``verdict`` allow or block; ``urls``: (url),
     pages to block. A url without a rule is blocked if listed, else allowed.
     """
+    own_names(pages, "_uf_")
     entries = durable(_entries(rules, urls))
     n = entries.count()
     pairs = entries.where("rank > 0").select("labels", "start").distinct().orderBy("start", "labels").limit(SHAPES + 1).collect()
