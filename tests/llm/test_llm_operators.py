@@ -578,9 +578,24 @@ def test_html_ratio_decides_with_articles(page):
     assert html_extract.main_text(f"<html><body>{page}</body></html>") == BODY_TEXT
 
 
-def test_html_clutter_in_an_article_is_weighed():
-    got = html_extract.main_text(f"<article>{BODY_DIV}{CLUTTER}</article>")
-    assert got.startswith(BODY_TEXT) and not any(x in got for x in ("6789", "abc"))  # smoothing carries one line over the end
+def test_html_nothing_of_an_article_is_lost():
+    """Lines rich in tags, short parts beside long ones, a second article, and names that only sound like clutter."""
+    tagged = "\n".join(["12345", "6789", "abc"])
+    assert html_extract.main_text(f"<article>{BODY_DIV}{CLUTTER}</article>") == f"{BODY_TEXT}\n{tagged}"
+    names = '<h2 id="search-algorithms">Search</h2><section class="related work"><p>Work of others.</p></section><p class="social history">A history.</p><div class="dialog"><p>Who goes there?</p></div>'
+    assert html_extract.main_text(f'<article><p>{LONG[0]}</p>{names}<div class="ad-slot top">Buy</div><div id="comments">Me too</div></article>') == "\n".join([LONG[0], "Search", "Work of others.", "A history.", "Who goes there?"])
+    parts = "<div>" + "".join(f"<p>{x}</p>" for x in LONG * 2) + f"</div><p>Between.</p><div><p>{LONG[0]}</p></div>"
+    want = "\n".join([*LONG * 2, "Between.", LONG[0]])
+    menu = "<nav><ul><li><a href=a>Home</a><li><a href=b>About us</a></ul></nav>"
+    for page in (f"<article>{parts}</article>", f"<body>{menu}<div>{parts}</div></body>", f"<body>{menu}{parts}</body>"):
+        assert html_extract.main_text(page) == want
+    assert html_extract.main_text(f"<main><article>{BODY_DIV}</article><article><p>A short second article.</p></article></main>") == f"{BODY_TEXT}\nA short second article."
+
+
+def test_html_menus_are_kept_out_by_their_ratio():
+    menu = "<nav>" + "".join(f"<a href={i}>Item {i}</a><br>" for i in range(3)) + "<ul>" + "".join(f"<li><a href={i}>Topic number {i}</a>" for i in range(12)) + "</ul></nav>"
+    page = f"<body>{menu}<div><p>A short text.</p><p>It has two lines.</p></div></body>"
+    assert html_extract.main_text(page) == "A short text.\nIt has two lines."
 
 
 def test_html_linked_line_inside_the_text():
@@ -590,9 +605,10 @@ def test_html_linked_line_inside_the_text():
 
 
 def test_html_outcome_depends_on_the_ratio(monkeypatch):
-    pages = [f"<div>{CLUTTER}{BODY_DIV}</div>", f"<article>{BODY_DIV}{CLUTTER}</article>", "<article><h2>Other story</h2><p>A teaser of one line.</p></article>" + BODY_DIV]
+    menu = "<nav><ul>" + "".join(f"<li><a href={i}>Topic number {i}</a>" for i in range(12)) + "</ul></nav>"
+    pages = [f"<div>{CLUTTER}{BODY_DIV}</div>", f"<body>{menu}{BODY_DIV}</body>", "<article><h2>Other story</h2><p>A teaser of one line.</p></article>" + BODY_DIV]
     want = [html_extract.main_text(p) for p in pages]
-    monkeypatch.setattr(html_extract, "smoothed", lambda ratios, sigma: np.zeros(len(ratios)))
+    monkeypatch.setattr(html_extract, "smoothed", lambda ratios, sigma: np.ones(len(ratios)))
     assert all(html_extract.main_text(p) != w for p, w in zip(pages, want, strict=True))
 
 

@@ -15,7 +15,7 @@ import pytest
 from test_llm_operators import _fewest, components, plain_statistics
 from pyspark.sql import functions as F
 
-from treeloom.llm import quality_rules, queries, stages, toxicity
+from treeloom.llm import html_extract, quality_rules, queries, stages, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -121,6 +121,19 @@ def test_extraction_query(spark):
         assert r.text == _article(pages[i].html)
 
 
+def test_extraction_query_depends_on_its_method(spark, monkeypatch):
+    """On the given pages: every line instead of the clusters' region changes all results, a constant ratio most."""
+    pages = [r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+    want = [html_extract.main_text(x) for x in pages]
+    changed = lambda: sum(html_extract.main_text(x) != w for x, w in zip(pages, want, strict=True))
+    with monkeypatch.context() as m:
+        m.setattr(html_extract, "select", lambda lines: lines)
+        assert changed() == len(pages)
+    with monkeypatch.context() as m:
+        m.setattr(html_extract, "smoothed", lambda ratios, sigma: np.ones(len(ratios)))
+        assert changed() > len(pages) / 2
+
+
 def test_statistics_query(spark):
     docs = _documents(spark)
     for r in queries.op8_quality_rules(spark, SF).collect():

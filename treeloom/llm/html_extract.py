@@ -1,16 +1,18 @@
 """Main text of HTML pages by text-to-tag ratio over parser events.
 
 The standard library's streaming parser turns a page into lines, one for each
-block, while elements that never hold main text (scripts, menus, headers,
-footers, sidebars, notices, adverts, forms, comments of readers) are passed
-over. A line's ratio is its text outside links over its tags; ratios are
-smoothed by a Gaussian along the page and lines above a threshold, a share of
-their spread, form clusters. The content region is the innermost container that
-holds most of the clustered text of all lines, from end to end; text in an
-article or main element counts MAIN_WEIGHT times in that choice and decides
-nothing else. Where the container lies inside such an element, the element's
-headings and other clustered lines belong to the region too. Short lines of
-links are left out where their run reaches beyond the clusters.
+block, while elements that never hold main text (scripts, headers, footers,
+sidebars, forms) or say so themselves (adverts, notices, comments of readers)
+are passed over. A line's ratio is its text outside links over its tags; ratios
+are smoothed by a Gaussian along the page and lines above a threshold, a share
+of their spread, form clusters. The text of menus counts as links, and the
+Gaussian doesn't reach across the border of a menu, an article or a main element,
+so that menus fall under the threshold. The content region starts as the innermost container that holds most
+of the clusters' mass, the sum of smoothed ratios, in which lines of an article
+or main element count MAIN_WEIGHT times. If it lies inside such an element, all
+of that belongs to the region; else clusters elsewhere that are as rich as those
+inside join it, with all that lies between. Short lines of links are left out
+where their run reaches beyond the clusters.
 
 Defined results: a null page is empty; a page without text gives "". Character
 references are decoded, white space inside a block becomes one space, blocks are
@@ -37,21 +39,28 @@ from treeloom.llm._text import own_names
 from treeloom.plans.sizing import arrow_rows
 
 #: Elements by role in a page.
-SKIPPED = frozenset("script style noscript template svg math head title nav footer aside form button select textarea iframe object canvas audio video dialog menu".split())
+SKIPPED = frozenset("script style noscript template svg math head title footer aside form button select textarea iframe object canvas audio video dialog".split())
+MENUS = frozenset("nav menu".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words in class, id or role that mark boilerplate.
+#: Roles of elements that hold no main text.
+ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar status form".split())
+#: Words in class or id that mark boilerplate; inside an article all words must be such or of the layout.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox adslot adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert disclaimer sidebar sidebars rail menu menus nav navbar navigation breadcrumb breadcrumbs "
-    "footer foot masthead topbar toolbar comment comments commentlist respond reply replies disqus discussion share sharing social related recommended recommendations newsletter subscribe subscription signup login search popup modal overlay lightbox widget widgets pagination pager contentinfo complementary dialog".split()
+    "footer foot masthead topbar toolbar comment comments commentlist respond reply replies disqus share sharing social related recommended recommendations newsletter subscribe subscription signup login popup modal overlay lightbox widget widgets pagination pager".split()
 )
+LAYOUT = frozenset("slot unit wrapper wrap container box block section area panel bar list item items inner outer top bottom left right middle center inline row col column card large small medium mobile desktop full width x px js first last odd even main page site post article entry links buttons posts stories".split())
+#: Elements of text, whose names say nothing against them inside an article.
+TEXTUAL = frozenset("h1 h2 h3 h4 h5 h6 p li dt dd blockquote pre td th caption figcaption a b i em strong code span".split())
 #: A header mark counts outside the article only.
 TOP_MARKS = frozenset("header head hero topnav".split())
-#: Elements that can be the content region, and headings.
+#: Elements that can be the content region.
 HOLDERS = frozenset("article blockquote body center div main section td".split())
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: How often clustered text in an article or main element counts in the choice of container.
 MAIN_WEIGHT = 2
+#: The share of the clusters' mass that the content region starts with.
+MOST = 0.8
 _NEGATED = frozenset("with has no without".split())
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
@@ -62,23 +71,27 @@ class Line:
     linked: int
     tags: int
     path: tuple[int, ...]  # numbers of the open containers
-    main: int  # number of the innermost article or main element, or 0
-    heading: bool
+    main: int  # number of the main element, else of the outermost article, or 0
+    menu: bool
 
 
-def marked(attrs: list[tuple[str, str | None]], inside: bool) -> bool:
+def marked(tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> bool:
     """Whether an element's attributes name boilerplate or hide it."""
     for name, value in attrs:
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
             return True
         if name == "style" and value and "display:none" in value.replace(" ", "").lower():
             return True
-        if name in ("class", "id", "role") and value:
-            for part in value.split():
-                words = [x.lower() for x in _TOKEN.findall(part)]
-                for i, x in enumerate(words):
-                    if (x in MARKS or (x in TOP_MARKS and not inside)) and not (i and words[i - 1] in _NEGATED):
-                        return True
+        if name == "role" and value and value.strip().lower() in ROLES:
+            return True
+        if name in ("class", "id") and value:
+            parts = [[x.lower() for x in _TOKEN.findall(part)] for part in value.split()]
+            if inside:
+                words = {x for part in parts for x in part}
+                if tag not in TEXTUAL and words & MARKS and words <= MARKS | LAYOUT:
+                    return True
+            elif any((x in MARKS or x in TOP_MARKS) and not (i and part[i - 1] in _NEGATED) for part in parts for i, x in enumerate(part)):
+                return True
     return False
 
 
@@ -97,20 +110,21 @@ class Lines(HTMLParser):
     def flush(self) -> None:
         text = " ".join("".join(self.buffer).split())
         if text:
-            main = max((n for t, n in self.open if t in ("article", "main")), default=0)
-            self.lines.append(Line(text, self.linked, self.tags, tuple(n for t, n in self.open if t in HOLDERS), main, any(t in HEADINGS for t, _ in self.open)))
+            frames = [n for t, n in self.open if t == "main"] or [n for t, n in self.open if t == "article"] or [0]
+            menu = not frames[0] and any(t in MENUS for t, _ in self.open)
+            self.lines.append(Line(text, len(text) if menu else self.linked, self.tags, tuple(n for t, n in self.open if t in HOLDERS), frames[0], menu))
         self.buffer, self.tags, self.linked = [], 0, 0
 
     def handle_starttag(self, tag, attrs):
         if self.skip:
-            if tag in ("article", "main", "body") and not marked(attrs, True) and self.skip[0] not in ("article", "main") and not any(t in ("article", "main") for t, _ in self.open):
+            if tag in ("article", "main", "body") and not marked(tag, attrs, True) and self.skip[0] not in ("article", "main") and not any(t in ("article", "main") for t, _ in self.open):
                 self.skip = []  # an unclosed menu or advert does not swallow the page
             else:
                 if tag not in VOID:
                     self.skip.append(tag)
                 return
         inside = any(t in ("article", "main") for t, _ in self.open)
-        if tag not in VOID and tag not in ("html", "body") and (tag in SKIPPED or (tag == "header" and not inside) or marked(attrs, inside)):
+        if tag not in VOID and tag not in ("html", "body") and (tag in SKIPPED or (tag in MENUS and inside) or (tag == "header" and not inside) or marked(tag, attrs, inside)):
             if tag in BLOCKS:
                 self.flush()
             self.skip = [tag]
@@ -173,21 +187,28 @@ def select(lines: list[Line], sigma: float = 1.0, share: float = 0.35) -> list[L
     if not lines:
         return []
     size = np.array([len(x.text) for x in lines], float)
-    plain = size - np.minimum(size, [x.linked for x in lines])
-    wave = smoothed(plain / (1 + np.array([x.tags for x in lines])), sigma)
+    ratio = (size - np.minimum(size, [x.linked for x in lines])) / (1 + np.array([x.tags for x in lines]))
+    menu = np.array([x.menu for x in lines])
+    borders = np.flatnonzero(np.diff(menu) | (np.diff([x.main for x in lines]) != 0)) + 1
+    wave = np.concatenate([smoothed(part, sigma) for part in np.split(ratio, borders)])
     chosen = wave > 0
     if len(lines) > 1:
         chosen &= wave >= share * min(wave.std(), wave.mean())
-    counted = plain * chosen * np.where([x.main > 0 for x in lines], MAIN_WEIGHT, 1)
+    mass = wave * chosen * np.where([x.main > 0 for x in lines], MAIN_WEIGHT, 1)
     weight: dict[int, float] = {}
-    for x, s in zip(lines, counted, strict=True):
+    for x, s in zip(lines, mass, strict=True):
         if s:
             for n in x.path:
                 weight[n] = weight.get(n, 0) + s
-    held = [n for n, s in weight.items() if s >= 0.8 * counted.sum()]  # nested in each other, the largest number innermost
+    held = [n for n, s in weight.items() if s >= MOST * mass.sum()]  # nested in each other, the largest number innermost
     best = max(held, default=0)
     frame = next((x.main for x in lines if best in x.path and x.main and x.main <= best), 0) if best else 0
-    region = [(x, c) for x, c in zip(lines, chosen, strict=True) if not best or best in x.path or (frame in x.path and (c or x.heading))]
+    inside = np.array([not best or best in x.path or frame in x.path for x in lines])
+    if not frame and (chosen & inside).any():
+        rich = inside | (chosen & (ratio >= 0.5 * np.median(ratio[chosen & inside])))
+        ends = np.flatnonzero(rich)
+        inside[ends[0] : ends[-1] + 1] = True
+    region = [(x, c) for x, c, i in zip(lines, chosen, inside, strict=True) if i and (c or not x.menu)]
     out: list[Line] = []
     for links, run in groupby(region, lambda v: len(v[0].text) < 200 and v[0].linked > 0.6 * len(v[0].text) and v[0].tags > 0):
         rows = list(run)
