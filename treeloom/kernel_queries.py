@@ -10,7 +10,7 @@ from treeloom import views
 from treeloom.catalog import query
 from treeloom.config import LineageConfig
 from treeloom.kernels import align
-from treeloom.operators import choose, clades, sampling
+from treeloom.operators import choose, clades, parsimony, sampling
 from treeloom.plans.durable import stored
 from treeloom.plans.engine import _Run, reconstruct
 from treeloom.kernels.sample_tree import Model
@@ -79,10 +79,21 @@ def ml_place(spark: SparkSession, d: str) -> DataFrame:
     return _placed(spark, d, method="nj")
 
 
+def _mp_edges(models: DataFrame) -> DataFrame:
+    """The edge sets of finished models: their trees and sequences as tables."""
+    each = models.where("error IS NULL").select("clade_id", "root", "names", "seqs", F.posexplode(F.arrays_zip("parent", "label")).alias("node", "x"))
+    nodes = each.select("clade_id", "node", F.when(F.col("x.parent") >= 0, F.col("x.parent")).alias("parent"), F.col("x.label").alias("name"))
+    taxa = models.where("error IS NULL").select("clade_id", F.explode(F.arrays_zip("names", "seqs")).alias("x")).select("clade_id", F.col("x.names").alias("name"), parsimony.planes(F.col("x.seqs")).alias("sets"))
+    leaves = nodes.where("name <> ''").join(taxa, ["clade_id", "name"]).select("clade_id", "node", "sets")
+    return parsimony.edge_sets(nodes.select("clade_id", "node", "parent"), leaves, models.where("error IS NULL").select("clade_id", parsimony.planes(F.col("root")).alias("sets")))
+
+
 @query("mp_place")
 def mp_place(spark: SparkSession, d: str) -> DataFrame:
-    """J4, X9."""
-    return _placed(spark, d, placement="MP")
+    """Every sequence on its clade's sample tree, by bit operations on tables of site sets."""
+    models = stored(_Run(LineageConfig(placement="MP"), views.ROOT).models(_samples(spark, d)))
+    rows = views.sequences(spark, d).withColumnRenamed("label", "clade_id").select("clade_id", "name", "seq")
+    return parsimony.place(rows, _mp_edges(models), 0).drop("seq")
 
 
 @query("careful_place")
