@@ -134,16 +134,20 @@ def test_config_rejects_what_cannot_run():
     for bad in ({"method": "x"}, {"placement": "XX"}, {"edits": True}, {"max_rounds": 1}, {"unresolved": "?"}, {"subsample": 1}):
         with pytest.raises(ValueError):
             LineageConfig(**bad)
-    with pytest.warns(UserWarning):
-        LineageConfig(model="GTR")
+    assert [LineageConfig(model=m).substitution() for m in ("GTR", "GTRCAT", "GTRGAMMA", "F81")] == ["GTR", "GTR+G", "GTR+G", "F81"]
+    assert LineageConfig().estimated() and not LineageConfig(placement="MP").estimated() and not LineageConfig(model="JC").estimated()
     assert LineageConfig(method="rapidnjNJ").method == "nj"
 
 
-@pytest.mark.parametrize("name", ["JC", "F81", "F81+G"])
+#: Frequencies of A, C, G, T, rates of AC, AG, AT, CG, CT, GT, gamma shape.
+KNOWN = [0.3, 0.2, 0.15, 0.35, 1.0, 4.0, 0.7, 1.3, 5.0, 1.0, 0.5]
+
+
+@pytest.mark.parametrize("name", ["JC", "F81", "F81+G", "GTR", "GTR+G"])
 def test_likelihoods_of_all_patterns_sum_to_one(name):
     from itertools import product
 
-    model = likelihood.substitution(name, ["AAAC", "AGTA"])
+    model = likelihood.substitution(name, ["AAAC", "AGTA"], KNOWN if name.startswith("GTR") else None)
     assert abs(np.mean(model.rates) - 1) < 1e-12 and abs(model.freq.sum() - 1) < 1e-12
     t = parse_newick("((a:0.1,b:0.3):0.2,c:0.5);")
     t.length[0] = 0.15
@@ -153,3 +157,18 @@ def test_likelihoods_of_all_patterns_sum_to_one(name):
         leaf = dict(zip("abc", likelihood.tips(sets[:3]), strict=True))
         total += np.exp(likelihood.log_likelihood(t, leaf, likelihood.tips(sets[3]), model))
     assert abs(total - 1) < 1e-9
+
+
+def test_general_rates():
+    """With equal rates the general model is Felsenstein's; with others it is another one, reversible, of one change a unit of time."""
+    sets = likelihood.tips(parsimony.state_sets(["ACGT"]))[0]
+    plain = likelihood.substitution("F81", ["AACGTT"])
+    same = likelihood.Substitution(plain.freq, (1.0,), np.ones(6))
+    assert np.allclose(plain.along(sets, 0.3), same.along(sets, 0.3))
+    model = likelihood.substitution("GTR", [], KNOWN)
+    p = model.along(np.eye(4), 0.2)  # column j: the chance of j after the branch
+    assert np.allclose(p.T.sum(axis=1), 1) and np.allclose(model.freq[:, None] * p.T, (model.freq[:, None] * p.T).T)
+    small = model.along(np.eye(4), 1e-5).T
+    assert np.isclose(model.freq @ (1 - small.diagonal()), 1e-5, rtol=1e-3)
+    assert np.allclose(likelihood.gamma_rates(4, 1.0), [0.1369, 0.4768, 1.0, 2.3863], atol=2e-3)
+    assert np.isclose(np.mean(likelihood.gamma_rates(4, 0.3)), 1) and np.ptp(likelihood.gamma_rates(4, 50.0)) < 0.5 < np.ptp(likelihood.gamma_rates(4, 0.3))

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import warnings
 from collections.abc import Callable
 from dataclasses import dataclass
 
 METHODS = ("mp", "nj", "ml")
 #: Method names that users of comparable tools know.
 ALIASES = {"raxmlMP": "mp", "rapidnjNJ": "nj", "fasttreeML": "ml", "raxmlML": "ml"}
-MODELS = ("JC", "F81", "F81+G")
-#: Names of models with exchange rates as well, and the nearest one here: base frequencies and rate categories.
-NEAREST = {"GTR": "F81", "GTRCAT": "F81+G", "GTRGAMMA": "F81+G"}
+MODELS = ("JC", "F81", "F81+G", "GTR", "GTR+G")
+#: Other names for general time reversible rates with rate categories.
+NEAREST = {"GTRCAT": "GTR+G", "GTRGAMMA": "GTR+G"}
 
 
 @dataclass(frozen=True)
@@ -59,13 +58,15 @@ class LineageConfig:
             raise ValueError("max_rounds is 2 at least: a run makes max_rounds - 1 rounds")
         if self.model not in (*MODELS, *NEAREST):
             raise ValueError(f"model is one of {MODELS} or {tuple(NEAREST)}")
-        if self.model == "GTR":
-            warnings.warn("GTR is approximated by F81: all exchanges have one rate", stacklevel=2)
 
     def substitution(self) -> str:
         """The model that is computed."""
         return NEAREST.get(self.model, self.model)
 
+    def estimated(self) -> bool:
+        """Whether exchange rates are estimated: where likelihoods are computed on aligned sequences."""
+        return self.substitution().startswith("GTR") and not self.edits and not self.unaligned and (self.placement == "ML" or self.method == "ml")
+
     def seed_value(self) -> int:
         """The seed; ``random`` draws one for this run."""
         if self.seed == "random":

@@ -10,7 +10,7 @@ from treeloom import views
 from treeloom.catalog import query
 from treeloom.config import LineageConfig
 from treeloom.kernels import align
-from treeloom.operators import choose, clades, parsimony, sampling
+from treeloom.operators import choose, clades, parsimony, sampling, substitution
 from treeloom.plans.durable import stored
 from treeloom.plans.engine import _Run, reconstruct
 from treeloom.kernels.sample_tree import Model
@@ -68,7 +68,8 @@ def user_builder_tree(spark: SparkSession, d: str) -> DataFrame:
 
 def _placed(spark: SparkSession, d: str, **how) -> DataFrame:
     run = _Run(LineageConfig(**how), views.ROOT)
-    models = stored(run.models(_samples(spark, d)))
+    some = stored(_samples(spark, d))
+    models = stored(run.models(some.join(substitution.estimates(some), "clade_id") if run.config.estimated() else some))
     rows = views.sequences(spark, d).withColumnRenamed("label", "clade_id")
     return run.place(rows.select("clade_id", "name", "seq"), models).drop("seq")
 

@@ -1,12 +1,12 @@
 """Likelihood of DNA on a tree: scores of attaching a query to each edge, and tree search by interchange.
 
 The substitution model has base frequencies (equal ones are Jukes-Cantor, others
-Felsenstein 1981) and rate categories, whose likelihoods are averaged by site.
+Felsenstein 1981), exchange rates where they were estimated (general time
+reversible) and rate categories, whose likelihoods are averaged by site.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,18 +20,33 @@ PENDANT = (0.0005, 0.005, 0.02, 0.05, 0.1, 0.3)
 
 @dataclass(frozen=True)
 class Substitution:
-    """Base frequencies (A, C, G, T) and relative rates of equal weight."""
+    """Base frequencies (A, C, G, T), relative rates of equal weight and, if they differ, the exchange rates AC, AG, AT, CG, CT, GT."""
 
     freq: np.ndarray
     rates: tuple[float, ...] = (1.0,)
+    exchange: np.ndarray | None = None
 
     @property
     def pace(self) -> float:
         """What makes a branch of length 1 one expected change a site."""
         return 1 / (1 - float((self.freq**2).sum()))
 
+    def _modes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Eigenvalues of the rate matrix, and what leads into their modes and back."""
+        q = np.zeros((4, 4))
+        q[np.triu_indices(4, 1)] = self.exchange
+        q = (q + q.T) * self.freq
+        q -= np.diag(q.sum(axis=1))
+        q /= -(self.freq * q.diagonal()).sum()
+        root = np.sqrt(self.freq)
+        values, vectors = np.linalg.eigh(root[:, None] * q / root)
+        return values, root[:, None] * vectors, (vectors / root[:, None]).T
+
     def along(self, partial: np.ndarray, t: np.ndarray | float) -> np.ndarray:
         """Partial likelihoods (..., 4) after a branch of length t."""
+        if self.exchange is not None:
+            values, into, back = self._modes()
+            return np.maximum((partial @ into * np.exp(values * np.maximum(t, 1e-6))) @ back, 0)
         e = np.exp(-self.pace * np.maximum(t, 1e-6))
         return e * partial + (1 - e) * (partial * self.freq).sum(axis=-1, keepdims=True)
 
@@ -39,20 +54,34 @@ class Substitution:
 JC = Substitution(np.full(4, 0.25))
 
 
-def gamma_rates(n: int = 4) -> tuple[float, ...]:
-    """Mean rates of the n equal shares of an exponential distribution (a gamma one of shape 1)."""
-    cut = [-math.log(1 - k / n) for k in range(n)]
-    tail = [(x + 1) * math.exp(-x) for x in cut] + [0.0]
-    return tuple(n * (tail[k] - tail[k + 1]) for k in range(n))
+def gamma_rates(n: int = 4, shape: float = 1.0) -> tuple[float, ...]:
+    """Mean rates of the n equal shares of a gamma distribution of mean 1, by a sum over a fine grid of x**power."""
+    power = min(shape, 1.0)  # an even grid of x**shape takes the peak at 0 out of small shapes
+    u = np.linspace(0, (40 / shape + 10) ** power, 200_001)
+    x = ((u[1:] + u[:-1]) / 2) ** (1 / power)
+    log = (shape - power) * np.log(x) - shape * x
+    weight = np.exp(log - log.max())
+    weight /= weight.sum()
+    share = np.minimum((np.cumsum(weight) * n).astype(int), n - 1)
+    means = np.bincount(share, weight * x, n) * n
+    return tuple((means / means.mean()).tolist())
+
 
+def substitution(name: str, seqs: list[str], model: list[float] | None = None) -> Substitution:
+    """The model ``name`` with the base frequencies of ``seqs`` (X7); a base that is missing counts once.
 
-def substitution(name: str, seqs: list[str]) -> Substitution:
-    """The model ``name`` (JC, F81 or F81+G) with the base frequencies of ``seqs`` (X7); a base that is missing counts once."""
+    ``model``: what ``operators.substitution.estimates`` found for the clade;
+    without it, GTR has equal exchange rates and +G a shape of 1.
+    """
     if name == "JC":
         return JC
-    codes = np.frombuffer("".join(seqs).upper().encode(), np.uint8)
-    n = np.array([max(1, int((codes == c).sum())) for c in b"ACGT"], float)
-    return Substitution(n / n.sum(), gamma_rates() if name == "F81+G" else (1.0,))
+    shape = 1.0
+    if model is not None and name.startswith("GTR"):
+        freq, exchange, shape = np.array(model[:4]), np.array(model[4:10]), model[10]
+    else:
+        codes = np.frombuffer("".join(seqs).upper().encode(), np.uint8)
+        freq, exchange = np.array([max(1, int((codes == c).sum())) for c in b"ACGT"], float), None
+    return Substitution(freq / freq.sum(), gamma_rates(4, shape) if name.endswith("+G") else (1.0,), exchange)
 
 
 def tips(sets: np.ndarray) -> np.ndarray:

@@ -40,8 +40,8 @@ def _rooted(newick: str) -> Tree:
     return from_links(links, {v: n for v, n in enumerate(t.name) if v in links and len(links[v]) == 1 and n})
 
 
-def build_tree(names: list[str], seqs: list[str], root: str, config: LineageConfig) -> Tree:
-    """The sample's tree without its outgroup."""
+def build_tree(names: list[str], seqs: list[str], root: str, config: LineageConfig, model: list[float] | None = None) -> Tree:
+    """The sample's tree without its outgroup (X1-X5); ``model``: the clade's estimates, if there are any."""
     if config.builder is not None:
         return _rooted(config.builder(["root", *names], [root, *seqs]))
     sets = parsimony.state_sets([*seqs, root])
@@ -50,7 +50,7 @@ def build_tree(names: list[str], seqs: list[str], root: str, config: LineageConf
         return parsimony.stepwise(names, sets[:-1], sets[-1])
     tree = distance.neighbor_joining([*names, "root"], distance.pairwise([*seqs, root]))
     if config.method == "ml":
-        tree = likelihood.interchange(parsimony.with_lengths(tree, leaf, sets[-1]), names, seqs, root, likelihood.substitution(config.substitution(), [*seqs, root]))
+        tree = likelihood.interchange(parsimony.with_lengths(tree, leaf, sets[-1]), names, seqs, root, likelihood.substitution(config.substitution(), [*seqs, root], model))
     return tree if config.method == "nj" else parsimony.with_lengths(tree, leaf, sets[-1])
 
 
@@ -63,11 +63,12 @@ class Model:
     seqs: list[str]
     root: str
     vocab: list[str] | None
+    estimates: list[float] | None = None
 
     @classmethod
     def of_row(cls, row) -> Model:
         listed = lambda x: list(x) if x is not None else None
-        return cls(Tree([int(p) for p in row["parent"]], [n or None for n in row["label"]], [float(x) for x in row["length"]]), listed(row["names"]), listed(row["seqs"]), row["root"], listed(row["vocab"]))
+        return cls(Tree([int(p) for p in row["parent"]], [n or None for n in row["label"]], [float(x) for x in row["length"]]), listed(row["names"]), listed(row["seqs"]), row["root"], listed(row["vocab"]), listed(row["model"]))
 
     def tables(self, placement: str, substitution: str = "JC") -> list[np.ndarray]:
         """Score tables (sites, states, edges): a query's score on an edge sums its states' entries, in the best of them."""
@@ -81,7 +82,7 @@ class Model:
                 miss[..., k] = (edge & np.uint8(1 << k)) == 0
             return [np.ascontiguousarray(-miss.transpose(1, 2, 0))]
         tips = {n: likelihood.tips(s) for n, s in leaf.items()}
-        out = likelihood.attachment_table(self.tree, tips, likelihood.tips(sets[-1]), likelihood.substitution(substitution, [*self.seqs, self.root]))
+        out = likelihood.attachment_table(self.tree, tips, likelihood.tips(sets[-1]), likelihood.substitution(substitution, [*self.seqs, self.root], self.estimates))
         return [np.ascontiguousarray(t.transpose(1, 2, 0)) for t in out]
 
 

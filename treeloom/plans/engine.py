@@ -31,6 +31,7 @@ from treeloom.kernels.tree import to_newick
 from treeloom.operators import rounds
 from treeloom.operators.choose import next_round_pool
 from treeloom.operators.clades import induced_subtree, pool_of
+from treeloom.operators.substitution import estimates
 from treeloom.operators.sampling import count_by, draw, root_row, sample, without_root
 from treeloom.plans.durable import counted, measured, stored, tables
 from treeloom.plans.sizing import arrow_rows, broadcast_if_small
@@ -39,7 +40,7 @@ from treeloom.sources.trees import NEWICK_NODES, tree_from_rows
 _log = logging.getLogger(__name__)
 
 NODES = "node string, parent string, name string, length double"
-_MODEL = "clade_id long, parent array<int>, label array<string>, length array<double>, names array<string>, seqs array<string>, root string, vocab array<string>, error string"
+_MODEL = "clade_id long, parent array<int>, label array<string>, length array<double>, names array<string>, seqs array<string>, root string, vocab array<string>, model array<double>, error string"
 #: Bytes of sample trees that may be broadcast; beyond, rows and models meet in salted groups.
 MODEL_BYTES = 64 << 20
 
@@ -84,14 +85,15 @@ class _Run:
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values("_order")
             clade = int(pdf["clade_id"].iloc[0])
-            blank = {"clade_id": clade, "parent": None, "label": None, "length": None, "names": None, "seqs": None, "root": None, "vocab": None}
+            blank = {"clade_id": clade, "parent": None, "label": None, "length": None, "names": None, "seqs": None, "root": None, "vocab": None, "model": None}
             try:
                 seqs, root, vocab = encoded(pdf)
                 names = list(pdf["name"])
                 if len(names) < 2:
                     raise ValueError("a sample of one taxon has no edge to cut")
-                t = build_tree(names, seqs, root, config)
-                row = blank | {"parent": t.parent, "label": [n or "" for n in t.name], "length": [float(x) for x in t.length], "names": names, "seqs": seqs, "root": root, "vocab": vocab, "error": None}
+                model = pdf["model"].iloc[0] if "model" in pdf else None
+                t = build_tree(names, seqs, root, config, model)
+                row = blank | {"model": model, "parent": t.parent, "label": [n or "" for n in t.name], "length": [float(x) for x in t.length], "names": names, "seqs": seqs, "root": root, "vocab": vocab, "error": None}
             except Exception as e:  # the state machine decides what follows (C13)
                 row = blank | {"error": f"{type(e).__name__}: {e}"}
             return pd.DataFrame([row])
@@ -285,6 +287,9 @@ def _level(run: _Run, frontier: DataFrame, sizes: DataFrame, figures: dict, metr
         todo = active if turn == 1 else active.join(broadcast_if_small(state.select("clade_id"), left), "clade_id", "left_semi")
         drawn = sample(pool, "clade_id", "name", min(config.subsample, config.tip_sample), run.seed, F.lit(turn))
         drawn = drawn if run.root is None else drawn.where(F.col("seq") != run.root)
+        if config.estimated():  # exchange rates of the clades' samples (X7)
+            drawn = stored(drawn)
+            drawn = drawn.join(broadcast_if_small(estimates(drawn), left), "clade_id", "left")
         drawn = drawn.withColumn("_order", draw(run.seed, "clade_id", "name"))
         models, seen = measured(run.models(drawn), bytes=F.sum(F.when(F.col("error").isNull(), F.length("root") * (F.size("names") + 1) + 64 * F.size("parent"))))
         placed = stored(run.place(todo, models, seen["bytes"] or 0))
@@ -305,7 +310,7 @@ def _level(run: _Run, frontier: DataFrame, sizes: DataFrame, figures: dict, metr
         again = state.where("action = 'again'").select("clade_id")
         retry = state.where("action = 'retry'").select("clade_id")
         bad = placed.where("edge = 0").drop("edge")
-        mixed = next_round_pool(drawn.drop("_order"), bad, "clade_id", "name", config.retry_rows, run.seed).dropDuplicates(["clade_id", "name"]).join(broadcast_if_small(retry, seen["retry"]), "clade_id", "left_semi")
+        mixed = next_round_pool(drawn.drop("_order", "model"), bad, "clade_id", "name", config.retry_rows, run.seed).dropDuplicates(["clade_id", "name"]).join(broadcast_if_small(retry, seen["retry"]), "clade_id", "left_semi")
         pool = active.join(broadcast_if_small(again, seen["again"]), "clade_id", "left_semi").unionByName(mixed)
     ended = reduce(DataFrame.union, settled)
     ends = {turn: seen["accept"], None: seen["unresolved"]}

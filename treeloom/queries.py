@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from treeloom import views
 from treeloom.catalog import query
 from treeloom.functions import columns
-from treeloom.operators import choose, clades, encode, rounds, sampling
+from treeloom.operators import choose, clades, encode, rounds, sampling, substitution
 from treeloom.operators.ranking import ranked
 from treeloom.plans.durable import scratch, stored
 from treeloom.sources import newick, trees
@@ -532,6 +532,21 @@ def parsimony_cost(spark: SparkSession, d: str) -> DataFrame:
     return per.groupBy("label").agg(F.sum(F.least("t", F.col("n") - F.col("t"))).alias("cost"))
 
 
+_BASES = "b AS (SELECT label, pos, count(*) FILTER (ch = 'A') AS a, count(*) FILTER (ch = 'C') AS c, count(*) FILTER (ch = 'G') AS g, count(*) FILTER (ch = 'T') AS t FROM (SELECT label, pos, substr(seq, pos, 1) AS ch FROM seqs, (SELECT unnest(range(1, 65)) AS pos)) GROUP BY ALL)"
+
+
+@query(
+    "substitution_counts",
+    f"""WITH {SQL_SEQ}, {_BASES}, s AS (SELECT *, (a > 0)::INT + (c > 0)::INT + (g > 0)::INT + (t > 0)::INT - 1 AS k FROM b)
+SELECT label, CAST(sum(a * (a - 1) // 2) AS BIGINT) AS AA, CAST(sum(c * (c - 1) // 2) AS BIGINT) AS CC, CAST(sum(g * (g - 1) // 2) AS BIGINT) AS GG, CAST(sum(t * (t - 1) // 2) AS BIGINT) AS TT,
+  CAST(sum(a * c) AS BIGINT) AS AC, CAST(sum(a * g) AS BIGINT) AS AG, CAST(sum(a * t) AS BIGINT) AS AT, CAST(sum(c * g) AS BIGINT) AS CG, CAST(sum(c * t) AS BIGINT) AS CT, CAST(sum(g * t) AS BIGINT) AS GT,
+  count(*) AS sites, CAST(sum(k) AS BIGINT) AS changes, CAST(sum(k * k) AS BIGINT) AS changes2 FROM s GROUP BY label""",
+)
+def substitution_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of rows by their bases, over all sites of each clade."""
+    return substitution.substitution_counts(views.sequences(spark, d), "label")
+
+
 # -- text forms ----------------------------------------------------------------------
 
 
