@@ -10,7 +10,7 @@ from treeloom import views
 from treeloom.catalog import query
 from treeloom.config import LineageConfig
 from treeloom.kernels import align
-from treeloom.operators import choose, clades, parsimony, sampling, substitution
+from treeloom.operators import choose, clades, encode, parsimony, sampling, substitution
 from treeloom.plans.durable import stored
 from treeloom.plans.engine import _Run, reconstruct
 from treeloom.kernels.sample_tree import Model
@@ -129,37 +129,57 @@ def plus_one_align(spark: SparkSession, d: str) -> DataFrame:
     return raw.join(broadcast_if_small(stored(lists), limit=10_000), "label").mapInPandas(run, "label long, name string, aligned string")
 
 
-def _clades(nodes: DataFrame, taxa: DataFrame, depth: int) -> DataFrame:
-    """(clade, n, together): for each true clade of the first levels its taxa, and the taxa under the node where they meet in ``nodes``."""
+def _clades(nodes: DataFrame, taxa: DataFrame, levels: list[str]) -> DataFrame:
+    """(clade, n, together): for each value of the nested columns its taxa, and the taxa under the node where they meet in ``nodes``."""
     tree = stored(nodes.select("node", "parent", "name"))
     leaves = tree.where("name IS NOT NULL").select("node", "name").join(taxa, "name")
-    each = stored(leaves.select("node", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("m"), "prefix").select(F.substring(F.col("prefix"), F.lit(1), F.col("m")).alias("clade"), F.col("node").alias("edge")))
+    paths = F.array(F.lit(""), *[F.concat_ws("/", *levels[: i + 1]) for i in range(len(levels))])
+    each = stored(leaves.select(F.col("node").alias("edge"), F.explode(paths).alias("clade")))
     met = choose.lowest_common_ancestor(each, ["clade"], tree)
     under = clades.subtree_counts(tree, leaves.select("node", F.lit(1).alias("cnt"))).select(F.col("node").alias("lca"), F.col("n").alias("together"))
     return sampling.count_by(each, "clade").join(met, "clade").join(under, "lca").select("clade", "n", "together")
 
 
-@query("lineage_full", views.sql_clades("customer", "c_custkey", 5))
+def _sequences(edits: DataFrame) -> tuple[DataFrame, str]:
+    """(name, seq) of rows of edits as pseudo-DNA over all edits, and the sequence of a row without any."""
+    rows = stored(edits)
+    seqs = stored(encode.encode(rows, rows.select("edit").distinct()))
+    sites = seqs.agg(F.max(F.length("seq"))).first()[0]
+    half = min(sites, sites // 2 + 1)
+    return seqs, "C" * half + "G" * (sites - half)
+
+
+def _column_edits(taxa: DataFrame, *more: str) -> DataFrame:
+    return views.column_edits(taxa, "name", [F.col(c) for c in [*views.LEVELS, *more]])
+
+
+#: The levels down to the single nation, which the queries look for in the tree.
+_FOUND = views.LEVELS[: len(views.NATION_SPANS)]
+
+
+@query("lineage_full", views.sql_clades(views.sql_nested("customer", "c_nationkey"), _FOUND))
 def lineage_full(spark: SparkSession, d: str) -> DataFrame:
-    """The whole engine, with the default sample, threshold and rounds, over sequences that evolved along a known tree: its clades stay together, whole."""
-    taxa = stored(views.lineage_taxa(spark, d, "customer", "c_custkey"))
-    rows = views.lineage_sequences(taxa).union(spark.createDataFrame([("root", "A" * views.SITES)], "name string, seq string"))
-    return _clades(reconstruct(rows, LineageConfig(method="nj", placement="MP", careful=2, max_clades=10**9)).nodes, taxa, 5)
+    """The whole engine, with the default sample, threshold and rounds: customers by the edits that their nation and key stand for, whose nesting the tree finds again."""
+    taxa = stored(views.nested(spark, d, "customer", "c_custkey", "c_nationkey"))
+    seqs, root = _sequences(_column_edits(taxa))
+    rows = seqs.union(spark.createDataFrame([("root", root)], "name string, seq string"))
+    return _clades(reconstruct(rows, LineageConfig(method="nj", placement="MP", careful=2, max_clades=10**9)).nodes, taxa, _FOUND)
 
 
-@query("lineage_edits", views.sql_clades("supplier", "s_suppkey", 4))
+@query("lineage_edits", views.sql_clades(views.sql_nested("supplier", "s_nationkey"), _FOUND))
 def lineage_edits(spark: SparkSession, d: str) -> DataFrame:
-    """The same in edit mode."""
-    taxa = stored(views.lineage_taxa(spark, d, "supplier", "s_suppkey"))
-    out = reconstruct(views.lineage_edits(taxa), LineageConfig(method="nj", edits=True, placement="MP", careful=2, max_clades=10**9))
-    return _clades(out.nodes, taxa, 4)
+    """The same in edit mode (E3): suppliers, each with edits of its own besides."""
+    taxa = stored(views.nested(spark, d, "supplier", "s_suppkey", "s_nationkey"))
+    rows = _column_edits(taxa, "name").groupBy("name").agg(F.collect_list("edit").alias("edits"))
+    out = reconstruct(rows, LineageConfig(method="nj", edits=True, placement="MP", careful=2, max_clades=10**9))
+    return _clades(out.nodes, taxa, _FOUND)
 
 
 @query("lineage_discarded", "SELECT 'problematic' AS reason, count(*) AS n FROM nation")
 def lineage_discarded(spark: SparkSession, d: str) -> DataFrame:
-    """Taxa that cannot be told from the root stay on its edge in every round and are left out, with all their copies."""
-    taxa = views.lineage_taxa(spark, d, "supplier", "s_suppkey")
-    blank = table(spark, d, "nation").select(F.concat(F.lit("blank"), "n_nationkey"), F.repeat(F.lit("A"), F.lit(views.SITES)))
-    rows = views.lineage_sequences(taxa).union(blank).union(spark.createDataFrame([("root", "A" * views.SITES)], "name string, seq string"))
-    out = reconstruct(rows, LineageConfig(method="nj", max_clades=10**9))
+    """Taxa without any edit cannot be told from the root, stay on its edge in every round and are left out, with all their copies."""
+    seqs, root = _sequences(_column_edits(views.nested(spark, d, "supplier", "s_suppkey", "s_nationkey")))
+    blank = table(spark, d, "nation").select(F.concat(F.lit("blank"), "n_nationkey"), F.lit(root))
+    rows = seqs.union(blank).union(spark.createDataFrame([("root", root)], "name string, seq string"))
+    out = reconstruct(rows, LineageConfig(method="nj", placement="MP", careful=2, max_clades=10**9))
     return out.discarded.groupBy("reason").agg(F.count("*").alias("n"))

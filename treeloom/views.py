@@ -52,42 +52,36 @@ def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy(F.concat(F.lit("s"), F.col("l_suppkey")).alias("node")).agg(F.count("*").alias("cnt"))
 
 
-#: Levels of the binary tree that keys are spread over, sites of a sequence, sites that change on the way to a node.
-LEVELS, SITES, CHANGES = 12, 2000, 12
+#: Edits that each value of a column stands for.
+EACH = 6
 
 
-def _prefix(key: Column) -> Column:
-    """A key's way down: a bit for each of the first digits of its MD5; an eighth of all keys take the first branch."""
-    h = F.md5(key.cast("string"))
-    bit = lambda k: F.when(F.substring(h, k, 1) >= "8", "1").otherwise("0")
-    return F.concat(F.when(F.substring(h, 1, 1) < "2", "1").otherwise("0"), *[bit(k) for k in range(2, LEVELS + 1)])
+def column_edits(rows: DataFrame, key: str, levels: list[Column]) -> DataFrame:
+    """(name, edit): what a row has in common with all others of the same ``levels``, from the outermost on.
 
+    Rows that agree in the first columns share their edits, so that the values of
+    the columns, nested in each other, are the clades of a right tree.
+    """
+    paths = [F.concat_ws("/", *levels[: i + 1]) for i in range(len(levels))]
+    edit = F.transform(F.sequence(F.lit(1), F.lit(EACH)), lambda j: F.concat_ws("#", F.col("path"), j.cast("string")))
+    return rows.select(F.col(key).cast("string").alias("name"), F.explode(F.array(*paths)).alias("path")).select("name", F.explode(edit).alias("edit"))
 
-def lineage_taxa(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
-    """(name, prefix): rows of a table as leaves of that tree."""
-    return table(spark, sf_dir, name).select(F.concat(F.lit("t"), F.col(key)).alias("name"), _prefix(F.col(key)).alias("prefix"))
 
+#: Halvings of the nations by key, from two groups of them to each alone, and of the keys within a nation.
+NATION_SPANS, KEY_PARTS = (16, 8, 4, 2, 1), (2, 4, 8)
 
-def lineage_edits(taxa: DataFrame) -> DataFrame:
-    """(name, edits): each branch adds edits of its own, which all below inherit."""
-    steps = F.sequence(F.lit(1), F.lit(LEVELS))
-    own = lambda m: F.transform(F.sequence(F.lit(1), F.lit(CHANGES)), lambda j: F.concat_ws(".", F.lit("e"), F.substring(F.col("prefix"), F.lit(1), m), j))
-    return taxa.select("name", F.flatten(F.transform(steps, own)).alias("edits"))
 
+def nation_levels(nation: str) -> list[Column]:
+    return [F.floor(F.col(nation) / w).cast("string") for w in NATION_SPANS]
 
-def lineage_sequences(taxa: DataFrame) -> DataFrame:
-    """(name, seq): the root is all A; each branch, the one to the top of all taxa included, changes some sites."""
-    steps = F.explode(F.sequence(F.lit(0), F.lit(LEVELS)))
-    at = taxa.select("name", "prefix", steps.alias("m")).withColumn("node", F.substring(F.col("prefix"), F.lit(1), F.col("m")))
-    at = at.withColumn("j", F.explode(F.sequence(F.lit(1), F.lit(CHANGES))))
-    site = F.pmod(F.xxhash64("node", "j"), F.lit(SITES))
-    letter = F.substring(F.lit("CGT"), (F.pmod(F.xxhash64("j", "node"), F.lit(3)) + 1).cast("int"), F.lit(1))
-    last = at.groupBy("name", site.alias("site")).agg(F.max_by(letter, F.struct("m", "j")).alias("ch"))
-    rows = last.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("site", "ch"))).alias("s"))
-    gap = lambda a, b: F.repeat(F.lit("A"), (b - a).cast("int"))
-    after = lambda k: F.coalesce(F.get("s", k - 1)["site"] + 1, F.lit(0).cast("long"))
-    parts = F.transform("s", lambda x, k: F.concat(gap(after(k), x["site"]), x["ch"]))
-    return rows.select("name", F.concat(F.array_join(parts, ""), gap(after(F.size("s")), F.lit(SITES))).alias("seq"))
+
+def nested(spark: SparkSession, sf_dir: str, name: str, key: str, nation: str) -> DataFrame:
+    """(name, level1, level2, ...) of the rows of a table: groups of nations, the nation, groups of keys within it."""
+    levels = [*nation_levels(nation), *[(F.col(key) % n).cast("string") for n in KEY_PARTS]]
+    return table(spark, sf_dir, name).select(F.concat(F.lit("t"), F.col(key)).alias("name"), *[c.alias(f"level{i}") for i, c in enumerate(levels, 1)])
+
+
+LEVELS = [f"level{i}" for i in range(1, len(NATION_SPANS) + len(KEY_PARTS) + 1)]
 
 
 #: DuckDB twins of the views above.
@@ -101,8 +95,12 @@ SQL_SEQ = """seqs AS (SELECT 'v' || vec_id AS name, CAST(label AS BIGINT) AS lab
 SQL_EDITS = "edits AS (SELECT 'u' || user_id AS name, event_type || ':' || hour(ts) AS edit FROM events)"
 
 
-def sql_clades(table: str, key: str, depth: int) -> str:
-    """Every clade of the first ``depth`` levels with its number of taxa, which a right tree keeps together."""
-    h = f"md5(CAST({key} AS VARCHAR))"
-    bits = " || ".join([f"CASE WHEN substr({h}, 1, 1) < '2' THEN '1' ELSE '0' END"] + [f"CASE WHEN substr({h}, {k}, 1) >= '8' THEN '1' ELSE '0' END" for k in range(2, depth + 1)])
-    return f"SELECT substr(p, 1, m) AS clade, count(*) AS n, count(*) AS together FROM (SELECT {bits} AS p FROM {table}), (SELECT unnest(range(0, {depth + 1})) AS m) GROUP BY 1"
+def sql_clades(taxa: str, columns: list[str]) -> str:
+    """Every value of nested columns with its number of taxa, which a right tree keeps together."""
+    paths = ["''"] + [" || '/' || ".join(columns[: i + 1]) for i in range(len(columns))]
+    each = " UNION ALL ".join(f"SELECT {p} AS clade FROM taxa" for p in paths)
+    return f"WITH taxa AS ({taxa}) SELECT clade, count(*) AS n, count(*) AS together FROM ({each}) GROUP BY clade"
+
+
+def sql_nested(table: str, nation: str) -> str:
+    return f"SELECT {', '.join(f'{nation} // {w} AS level{i}' for i, w in enumerate(NATION_SPANS, 1))} FROM {table}"
