@@ -14,14 +14,12 @@ Columns beside those of documents are left out, whatever their names.
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeloom.llm import decontaminate, line_dedup, near_dedup, packing, quality_rules
-from treeloom.plans.durable import durable, ensure_checkpoint_dir
+from treeloom.plans.durable import durable, scratch
 from treeloom.plans.sizing import broadcast_if_small
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -64,8 +62,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; every stage but the last is written to the shared folder and read again."""
-    folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4()}"
+    """All stages over documents; every stage but the last is written to the shared folder, where it stays until the session ends, and read again."""
+    folder = scratch(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
