@@ -42,6 +42,8 @@ def parser() -> argparse.ArgumentParser:
     add("-g", "--gzip", action="store_true", help="pack text results")
     add("-e", "--keep", action="store_true", help="keep the node table and the figures as Parquet and JSON")
     add("--unresolved", default="drop", choices=["drop", "polytomy"])
+    add("--retry-rows", type=int, help="problematic rows of a clade that join its next sample; all by default")
+    add("--chunk", type=int, default=10_000, help="rows of a clade beyond which it is placed in parts")
     add("-v", "--version", action="version", version="treeloom 1")
     return p
 
@@ -53,7 +55,7 @@ def config_of(args: argparse.Namespace) -> LineageConfig:
         builder = getattr(importlib.import_module(module), name)
     return LineageConfig(
         method=args.method, builder=builder, subsample=args.subsample, tip_sample=args.tip_sample, threshold=args.threshold, placement=args.placement, careful=args.careful,
-        max_rounds=args.max_rounds, unaligned=args.unaligned, realign_ratio=args.realign_ratio, edits=args.edits, model=args.model, seed=args.seed if args.seed == "random" else int(args.seed), max_clades=args.max_clades, unresolved=args.unresolved,
+        max_rounds=args.max_rounds, unaligned=args.unaligned, realign_ratio=args.realign_ratio, edits=args.edits, model=args.model, seed=args.seed if args.seed == "random" else int(args.seed), max_clades=args.max_clades, unresolved=args.unresolved, retry_rows=args.retry_rows, chunk=args.chunk,
     )
 
 
