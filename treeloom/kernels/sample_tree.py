@@ -11,12 +11,13 @@ import numpy as np
 from treeloom.config import LineageConfig
 from treeloom.kernels import align, distance, likelihood, parsimony
 from treeloom.kernels.tree import Tree, from_links, induced, parse_newick
+from treeloom.operators.encode import FLOOR
 
 
 def edit_vocabulary(rows: list[list[str]], total: int) -> list[str]:
-    """Edits in more than a thousandth of the rows but not in all, sorted (A4)."""
+    """Edits in more than FLOOR of the rows but not in all, sorted (A4)."""
     n = Counter(e for r in rows for e in r)
-    return sorted(e for e, c in n.items() if c / total > 0.001 and c < total)
+    return sorted(e for e, c in n.items() if c / total > FLOOR and c < total)
 
 
 def encode_edits(edits: list[str], vocab: list[str]) -> str:

@@ -480,8 +480,6 @@ def _rounds(spark: SparkSession, d: str) -> DataFrame:
 )
 def accepted_round(spark: SparkSession, d: str) -> DataFrame:
     """The round before the first that leaves more problematic rows than the one before, else the last."""
-    from pyspark.sql.window import Window
-
     r = _rounds(spark, d)
     return r.groupBy("conv_id").agg(F.coalesce(F.min(F.when(rounds.worse(F.col("para"), F.col("prev")), F.col("turn") - 1)), F.max("turn")).cast("long").alias("accepted"))
 
