@@ -221,6 +221,17 @@ def test_tables_leave_with_their_work(spark):
     assert not there(lost)
 
 
+def test_tables_of_another_thread_stay(spark):
+    import threading
+
+    made = []
+    with tables(spark):
+        t = threading.Thread(target=lambda: made.append(stored(spark.range(4))))
+        t.start()
+        t.join()
+    assert made[0].count() == 4
+
+
 def test_counts_are_taken_while_writing(spark):
     table, n = counted(spark.range(1000).where("id % 3 = 0"))
     assert n == 334 and table.count() == 334

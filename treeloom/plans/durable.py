@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -39,8 +40,12 @@ def _delete(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-#: The pieces of work under way on this driver, the innermost last.
-_WORK: list[Tables] = []
+#: The pieces of work under way by thread of this driver, the innermost last.
+_WORK: dict[int, list[Tables]] = {}
+
+
+def _under_way() -> list[Tables]:
+    return _WORK.setdefault(threading.get_ident(), [])
 
 
 @contextmanager
@@ -49,12 +54,13 @@ def tables(spark: SparkSession) -> Iterator[Tables]:
 
     What it returns must not read a table that leaves: store and keep it first.
     """
-    mine = Tables(_WORK[-1] if _WORK else None)
-    _WORK.append(mine)
+    work = _under_way()
+    mine = Tables(work[-1] if work else None)
+    work.append(mine)
     try:
         yield mine
     finally:
-        _WORK.remove(mine)
+        work.remove(mine)
         for path in mine.paths:
             _delete(spark, path)
 
@@ -105,8 +111,8 @@ def scratch(spark: SparkSession) -> str:
         folder = spark._jvm.org.apache.hadoop.fs.Path(base)
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     path = f"{base}/{uuid.uuid4().hex}"
-    if _WORK:
-        _WORK[-1].paths.add(path)
+    if work := _under_way():
+        work[-1].paths.add(path)
     return path
 
 
