@@ -157,6 +157,20 @@ def test_rounds_fall_back_and_give_up(spark):
     assert len(t.leaves()) == 32 and len(t) == 33 and out.discarded.count() == 0
 
 
+def test_a_star_below_the_first_clade_is_kept_whole(spark):
+    """More taxa of one group, told apart by their own edits only, than a sample holds: leaves of their clade's top."""
+    taxa = [(f"{k}{i}", [f"{k}#{j}" for j in range(6)] + [f"{k}{i}#{j}" for j in range(6)]) for k in "xyz" for i in range(40)]
+    out = reconstruct(spark.createDataFrame(taxa, "name string, edits array<string>"), LineageConfig(method="nj", edits=True, placement="MP", careful=2))
+    assert out.discarded.count() == 0 and sum(m["discarded"] for m in out.metrics) == 0
+    tree = stored(out.nodes)
+    leaves = tree.where("name IS NOT NULL").select("node", "name")
+    assert sorted(r.name for r in leaves.collect()) == sorted(n for n, _ in taxa)
+    cand = leaves.select(F.substring("name", 1, 1).alias("group"), F.col("node").alias("edge"))
+    tops = choose.lowest_common_ancestor(cand, ["group"], tree.select("node", "parent"))
+    under = clades.subtree_counts(tree.select("node", "parent"), leaves.select("node", F.lit(1).alias("cnt")))
+    assert {r.group: r.n for r in tops.join(under, tops.lca == under.node).collect()} == dict.fromkeys("xyz", 40)
+
+
 def test_problematic_rows_are_retried_and_counted(spark):
     records, _ = balanced(5, 400)
     rows = [*records, ("ghost1", records[0][1]), ("ghost2", records[0][1])]

@@ -4,7 +4,10 @@ A level is a frontier table (clade_id, name, seq or edits). Clades small enough
 are solved directly. The others are sampled, a tree is built for each sample,
 every row is placed on its clade's tree, and edge *counts*, never lists of
 names, decide where the tree is cut. Rounds repeat for the clades whose cut is
-not clean. Rows then take their child clade's id and form the next level.
+not clean. Rows then take their child clade's id and form the next level. Rows
+that no edge below their clade's top takes in any round (a star has many) become
+leaves of that top; in the first clade, where only the root lies above, they are
+left out.
 
 Rows are never grouped by clade as a whole (the first clade is everything):
 only samples, edge counts and clades under the threshold are. Every table that
@@ -330,12 +333,16 @@ def _level(run: _Run, frontier: DataFrame, sizes: DataFrame, figures: dict, metr
         part = placed.join(broadcast_if_small(to), ["clade_id", "edge"], "left").drop("edge")
         moved = part if moved is None else moved.unionByName(part)
     if moved is not None:
-        done.moved, got = measured(moved, lost=F.count_if(F.col("child").isNull()))
+        first = F.col("clade_id") == 0
+        done.moved, got = measured(moved, lost=F.count_if(F.col("child").isNull() & first), top=F.count_if(F.col("child").isNull() & ~first))
         done.keep(done.moved)
-        if got["lost"]:
-            out = done.keep(stored(done.moved.where("child IS NULL").select("clade_id", "name")))
+        if got["lost"]:  # of the first clade: nothing tells them from the root
+            out = done.keep(stored(done.moved.where(F.col("child").isNull() & first).select("clade_id", "name")))
             done.lost.append(out.withColumn("reason", F.lit("problematic")))
             metrics["discarded"] += got["lost"]
+        if got["top"]:  # the edge above their clade is theirs, and none below it: leaves of the clade's top
+            on = F.concat(F.lit("c"), F.col("clade_id"))
+            done.nodes.append(done.keep(stored(done.moved.where(F.col("child").isNull() & ~first).select(F.concat(on, F.lit("/"), F.col("name")).alias("node"), on.alias("parent"), "name", F.lit(0.0).alias("length")))))
     if ends[None]:
         stuck = active.join(broadcast_if_small(ended.where("turn IS NULL").select("clade_id"), ends[None]), "clade_id", "left_semi")
         stuck, n = counted(stuck.select("clade_id", "name"))
