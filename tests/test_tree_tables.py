@@ -255,3 +255,55 @@ def test_ranks_by_ranges(spark, size):
     got = {(r.g, r.x): r["rank"] for r in ranked(df, ["g"], ["x"]).collect()}
     assert got == {(g, x): (x if g == "a" else x // 2 if g is None else 0) for g, x in rows}
     assert sorted(r["rank"] for r in ranked(df, [], ["g", "x"]).collect()) == list(range(len(rows)))
+
+
+@pytest.mark.parametrize("names", ["near", "mixed"])
+def test_trees_in_ranges(spark, monkeypatch, names):
+    """Sums, places, depths and common ancestors where a tree takes many ranges and blocks, near nodes having near names or not."""
+    monkeypatch.setattr(clades, "RANGE_ROWS", 60)
+    monkeypatch.setattr(choose, "BLOCK", 64)
+    monkeypatch.setattr(choose, "TREE_ROWS", 100)
+    monkeypatch.setattr(choose, "ASKED_ROWS", 50)
+    rng = random.Random(6)
+    n = 900
+    as_name = (lambda i: f"v{i:05d}") if names == "near" else (lambda i: f"v{i * 7919 % 10007:05d}")
+    up = [None if i == 0 else i - 1 if rng.random() < 0.9 else rng.randrange(max(0, i - 40), i) for i in range(n)]
+    above = [[i] for i in range(n)]
+    for i in range(1, n):
+        above[i] += above[up[i]]
+    tree = stored(spark.createDataFrame([(as_name(i), None if u is None else as_name(u)) for i, u in enumerate(up)], "node string, parent string"))
+    assert {r.node: r.depth for r in clades.depths(tree).collect()} == {as_name(i): len(a) - 1 for i, a in enumerate(above)}
+    below = [0] * n
+    for a in above:
+        for i in a:
+            below[i] += 1
+    got = clades.subtree_counts(tree, tree.select("node", F.lit(1).alias("cnt"))).collect()
+    assert {r.node: r.n for r in got} == {as_name(i): x for i, x in enumerate(below)}
+    kids = {}
+    for i, u in enumerate(up):
+        kids.setdefault(u, []).append(i)
+    order, todo = [], [0]
+    while todo:
+        order.append(i := todo.pop())
+        todo += sorted(kids.get(i, []), key=as_name, reverse=True)
+    got = clades.preorder(tree).collect()
+    place = {i: k for k, i in enumerate(order)}
+    assert {(r.node, r.place, r.up) for r in got} == {(as_name(i), place[i], None if up[i] is None else place[up[i]]) for i in range(n)}
+    asked = [(q, [rng.randrange(n) for _ in range(rng.randint(1, 3))]) for q in range(600)]
+    cand = spark.createDataFrame([(q, as_name(i)) for q, some in asked for i in some], "q long, edge string")
+    meet = {q: as_name(max(set.intersection(*(set(above[i]) for i in some)), key=lambda i: len(above[i]))) for q, some in asked}
+    assert {r.q: r.lca for r in choose.lowest_common_ancestor(cand, ["q"], tree).collect()} == meet
+
+
+def test_a_deep_tree_takes_few_jobs(spark):
+    """Steps on a chain whose near nodes have near names do not grow with its depth."""
+    def jobs(n):
+        tree = stored(spark.range(n).selectExpr("concat('n', lpad(id, 6, '0')) AS node", "if(id > 0, concat('n', lpad(id - 1, 6, '0')), null) AS parent"))
+        spark.sparkContext.setJobGroup(f"chain{n}", "")
+        try:
+            assert clades.preorder(tree).agg(F.max("place")).first()[0] == n - 1
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"chain{n}"))
+
+    assert jobs(5000) <= jobs(50) + 4

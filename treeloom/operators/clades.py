@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from treeloom.operators.ranking import ranked, running
-from treeloom.plans.durable import measured, stored, tables
+from treeloom.plans.durable import counted, measured, stored, tables
 from treeloom.plans.sizing import broadcast_if_small
 
 
@@ -30,14 +37,85 @@ def closure(tree: DataFrame) -> DataFrame:
         reach *= 2
 
 
-def _folded_up(start: DataFrame, fold, pending: str = "up IS NOT NULL") -> DataFrame:
-    """Let every node learn of all nodes above it, in a number of joins logarithmic in the depth.
-
-    ``start``: (node, up, x). Round k joins a node to its ancestor 2**k levels up
-    and sets x to ``fold(x, that one's x)``; the table keeps one row for a node,
-    so that an unbalanced tree costs no more than a balanced one.
+#: Nodes of one range of a tree, which a task works on by itself.
+RANGE_ROWS = 500_000
+
+_FOLDS = {
+    "sum": (np.add, lambda x, above: x + above),
+    "any": (np.logical_or, lambda x, above: x | above),
+    "first": (lambda x, above: np.where(pd.isnull(x), above, x), F.coalesce),
+}
+
+
+def _within(rows: DataFrame, n: int, kind: str) -> DataFrame:
+    """``rows`` (node, up, x, ...) by ranges of nodes, with ``all``, x folded over what of a node's range lies above it
+    (``down``: summed over what lies below), the range's highest node above it, ``_root``, and the one above that, ``_out``."""
+    parts = -(-n // RANGE_ROWS)
+    dealt = rows.repartitionByRange(parts, "node") if parts > 1 else rows.repartition(1)
+    fields = {f.name: f.dataType for f in rows.schema.fields}
+    schema = T.StructType([*rows.schema.fields, T.StructField("all", fields["x"]), T.StructField("_root", fields["node"]), T.StructField("_out", fields["up"])])
+    fold = None if kind == "down" else _FOLDS[kind][0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not held:
+            return
+        t = pa.Table.from_batches(held).combine_chunks()
+        at = pc.fill_null(pc.index_in(t["up"], value_set=t["node"].combine_chunks()), -1).to_numpy().astype(np.int64)
+        x = np.array(t["x"].to_pandas())
+        root = np.where(at >= 0, at, np.arange(len(at)))
+        for _ in range(64):
+            on = np.flatnonzero(at >= 0)
+            if not len(on):
+                break
+            p = at[on]
+            if fold is None:
+                np.add.at(x, p, x[on])
+            else:
+                x[on] = fold(x[on], x[p])
+            root[on] = root[p]
+            up = np.full(len(at), -1)
+            up[on] = at[p]
+            at = up
+        else:
+            raise ValueError("a node of the tree lies above itself")
+        for name, column in (("all", pa.array(x, t["x"].type, from_pandas=True)), ("_root", t["node"].take(pa.array(root))), ("_out", t["up"].take(pa.array(root)))):
+            t = t.append_column(name, column)
+        yield from t.to_batches(max_chunksize=10_000)
+
+    return dealt.mapInArrow(run, schema)
+
+
+def folded_up(start: DataFrame, kind: str) -> DataFrame:
+    """``start`` (node, up, x, ...) with ``all``: x folded from each node over all nodes above it; ``sum``, ``any`` or the ``first`` that is not null.
+
+    Nodes meet in ranges of their names, where a task folds paths as far as they
+    stay in the range. What leaves a range is known by the node it leaves to; if
+    few nodes are left to, they are a small tree that is folded in the same way,
+    else pointers between them double. So a tree whose near nodes have near names
+    is shuffled once, however deep it is, and any other tree a number of times
+    that is logarithmic in its depth.
     """
-    left = F.count_if(F.expr(pending))
+    fold = _FOLDS[kind][1]
+    names = [*start.columns, "all"]
+    with tables(start.sparkSession) as work:
+        rows, n = counted(start)
+        at = stored(_within(rows, n, kind).select(*names, *(["_out"] if n > RANGE_ROWS else [])))
+        work.drop(rows)
+        if n > RANGE_ROWS:
+            left, m = counted(at.where("_out IS NOT NULL").select(F.col("_out").alias("node")).distinct())
+            above = at.join(broadcast_if_small(left, m), "node", "left_semi").select("node", F.col("_out").alias("up"), F.col("all").alias("x"))
+            far = (folded_up if 2 * m <= n else _doubled)(above, kind)
+            far = far.select(F.col("node").alias("_out"), F.col("all").alias("_far"))
+            near, at = at, stored(at.join(broadcast_if_small(far, m), "_out", "left").withColumn("all", F.when(F.col("_far").isNull(), F.col("all")).otherwise(fold(F.col("all"), F.col("_far")))).select(*names))
+            work.drop(near)
+        work.keep(at)
+    return at
+
+
+def _doubled(start: DataFrame, kind: str) -> DataFrame:
+    """(node, all) of ``start`` (node, up, x): round k joins a node to its ancestor 2**k levels up."""
+    fold, left = _FOLDS[kind][1], F.count_if(F.expr("up IS NOT NULL AND x IS NULL" if kind == "first" else "up IS NOT NULL"))
     with tables(start.sparkSession) as work:
         at, seen = measured(start, left=left)
         while seen["left"]:
@@ -46,33 +124,59 @@ def _folded_up(start: DataFrame, fold, pending: str = "up IS NOT NULL") -> DataF
             at, seen = measured(at.join(above, F.col("up") == F.col("_node"), "left").select("node", F.col("_up").alias("up"), F.when(F.col("_node").isNull(), F.col("x")).otherwise(fold(F.col("x"), F.col("_x"))).alias("x")), left=left)
             work.drop(below)
         work.keep(at)
-    return at.select("node", "x")
+    return at.select("node", F.col("x").alias("all"))
 
 
-def depths(tree: DataFrame) -> DataFrame:
-    """(node, depth): edges between a node and the top."""
-    start = tree.select("node", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("x"))
-    return _folded_up(start, lambda x, above: x + above).withColumnRenamed("x", "depth")
+def _summed(start: DataFrame) -> DataFrame:
+    """``start`` (node, up, x, ...) with ``all``: x summed over each node and all below it.
 
+    By ranges, as in ``folded_up``: the sums of the highest nodes of all ranges
+    are a smaller tree, and what that sends into a range from outside is summed there.
+    """
+    names = [*start.columns, "all"]
+    with tables(start.sparkSession) as work:
+        rows, n = counted(start)
+        at = stored(_within(rows, n, "down").select(*names, *(["_root"] if n > RANGE_ROWS else [])))
+        work.drop(rows)
+        if n > RANGE_ROWS:
+            tops, m = counted(at.where("node = _root AND up IS NOT NULL").select("node", F.col("up").alias("_port"), F.col("all").alias("x")))
+            home = at.join(broadcast_if_small(tops.select(F.col("_port").alias("node")).distinct(), m), "node", "left_semi").select(F.col("node").alias("_port"), F.col("_root").alias("up"))
+            least = tops.join(home, "_port", "left").select("node", "up", "x", "_port")
+            sent = _summed(least) if 2 * m <= n else _doubled_sums(least)
+            sent, ports = counted(sent.groupBy(F.col("_port").alias("node")).agg(F.sum("all").alias("_in")))
+            more = at.drop("_root").withColumnsRenamed({"x": "_x", "all": "_own"}).join(broadcast_if_small(sent, ports), "node", "left").withColumn("x", F.coalesce("_in", F.lit(0).cast("long"))).drop("_in")
+            near, at = at, stored(_within(more, n, "down").withColumn("all", F.col("_own") + F.col("all")).withColumn("x", F.col("_x")).select(*names))
+            work.drop(near)
+        work.keep(at)
+    return at
 
-def subtree_counts(tree: DataFrame, counts: DataFrame) -> DataFrame:
-    """(node, n): what is counted at a node or below, where there is any (A6). ``counts``: (node, cnt).
 
-    Round k adds to each node what its descendants 2**k levels down have summed
-    so far; one row for a node, and as many rounds as the depth has binary digits.
-    """
+def _doubled_sums(start: DataFrame) -> DataFrame:
+    """``start`` (node, up, x, _port) with ``all``; round k adds to each node what its descendants 2**k levels down have summed so far."""
     left = F.count_if(F.col("up").isNotNull())
-    with tables(tree.sparkSession) as work:
-        at, seen = measured(tree.join(counts, "node", "left").select("node", F.col("parent").alias("up"), F.coalesce("cnt", F.lit(0)).cast("long").alias("n")), left=left)
+    with tables(start.sparkSession) as work:
+        at, seen = measured(start.select("node", "up", "_port", F.col("x").alias("all")), left=left)
         while seen["left"]:
             below = at
-            got = at.where("up IS NOT NULL").groupBy(F.col("up").alias("_node")).agg(F.sum("n").alias("_n"))
+            got = at.where("up IS NOT NULL").groupBy(F.col("up").alias("_node")).agg(F.sum("all").alias("_n"))
             above = at.select(F.col("node").alias("_mid"), F.col("up").alias("_up"))
             at = at.join(got, F.col("node") == F.col("_node"), "left").join(above, F.col("up") == F.col("_mid"), "left")
-            at, seen = measured(at.select("node", F.col("_up").alias("up"), (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n")), left=left)
+            at, seen = measured(at.select("node", F.col("_up").alias("up"), "_port", (F.col("all") + F.coalesce("_n", F.lit(0))).alias("all")), left=left)
             work.drop(below)
         work.keep(at)
-    return at.where("n > 0").select("node", "n")
+    return at
+
+
+def depths(tree: DataFrame) -> DataFrame:
+    """(node, depth): edges between a node and the top."""
+    start = tree.select("node", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("x"))
+    return folded_up(start, "sum").select("node", F.col("all").alias("depth"))
+
+
+def subtree_counts(tree: DataFrame, counts: DataFrame) -> DataFrame:
+    """(node, n): what is counted at a node or below, where there is any (A6). ``counts``: (node, cnt)."""
+    start = tree.join(counts, "node", "left").select("node", F.col("parent").alias("up"), F.coalesce("cnt", F.lit(0)).cast("long").alias("x"))
+    return _summed(start).where(F.col("all") > 0).select("node", F.col("all").alias("n"))
 
 
 def preorder(tree: DataFrame) -> DataFrame:
@@ -82,15 +186,12 @@ def preorder(tree: DataFrame) -> DataFrame:
     these steps add up along its ancestors.
     """
     with tables(tree.sparkSession) as work:
-        size = subtree_counts(tree, tree.select("node", F.lit(1).alias("cnt")))
-        beside = running(tree.select("node", "parent").join(size, "node"), ["parent"], ["node"], {"before": F.col("n")})
-        step = F.when(F.col("parent").isNull(), F.lit(0).cast("long")).otherwise(F.col("before") - F.col("n") + 1)
-        place = _folded_up(beside.select("node", F.col("parent").alias("up"), step.alias("x")), lambda x, above: x + above)
-        at = tree.select("node", "parent").join(place, "node").withColumnRenamed("x", "place")
-        above = place.select(F.col("node").alias("_of"), F.col("x").alias("up"))
-        out = stored(at.join(above, F.col("parent") == F.col("_of"), "left").drop("_of"))
+        size = _summed(tree.select("node", F.col("parent").alias("up"), F.lit(1).cast("long").alias("x"))).select("node", "up", F.col("all").alias("n"))
+        beside = running(size, ["up"], ["node"], {"before": F.col("n")})
+        step = F.when(F.col("up").isNull(), F.lit(0).cast("long")).otherwise(F.col("before") - F.col("n") + 1)
+        out = folded_up(beside.select("node", "up", step.alias("x")), "sum")
         work.keep(out)
-    return out
+    return out.select("node", F.col("up").alias("parent"), F.col("all").alias("place"), F.when(F.col("up").isNotNull(), F.col("all") - F.col("x")).alias("up"))
 
 
 def path_up(tree: DataFrame, node: str) -> DataFrame:
@@ -157,7 +258,7 @@ def clade_cut(tree: DataFrame, counts: DataFrame, top: str, limit: int) -> DataF
     stop = (F.col("node") != top) & ((F.coalesce("cnt", F.lit(0)) > 0) | (F.col("depth") >= limit))
     state = stored(state.select("node", "parent", stop.alias("stop"), F.coalesce("inner", F.lit(False)).alias("inner")))
     up = state.select(F.col("node").alias("_of"), F.col("stop").alias("_stop"))
-    hidden = _folded_up(state.join(up, F.col("parent") == F.col("_of"), "left").select("node", F.col("parent").alias("up"), F.coalesce("_stop", F.lit(False)).alias("x")), lambda x, above: x | above)
+    hidden = folded_up(state.join(up, F.col("parent") == F.col("_of"), "left").select("node", F.col("parent").alias("up"), F.coalesce("_stop", F.lit(False)).alias("x")), "any").select("node", F.col("all").alias("x"))
     reached = state.join(hidden, "node").where((F.col("node") != top) & ~F.col("x") & (F.col("stop") | ~F.col("inner")))
     n = subtree_counts(tree, counts)
     return reached.join(n, "node", "left").select("node", F.when(F.col("stop"), "cut").otherwise("empty").alias("kind"), F.coalesce("n", F.lit(0).cast("long")).alias("n"))
@@ -182,7 +283,7 @@ def induced_subtree(tree: DataFrame, keep: DataFrame) -> DataFrame:
     state = stored(state)
     up = state.where("stays").select(F.col("node").alias("_of"))
     start = state.join(up, F.col("parent") == F.col("_of"), "left").select("node", F.col("parent").alias("up"), F.col("_of").alias("x"))
-    near = _folded_up(start, F.coalesce, "up IS NOT NULL AND x IS NULL")
+    near = folded_up(start, "first").select("node", F.col("all").alias("x"))
     return state.where("stays").select("node").join(near, "node", "left").select("node", F.col("x").alias("parent"))
 
 
