@@ -13,7 +13,7 @@ from treeloom.operators.ranking import ranked, running
 from treeloom.plans import durable, engine
 from treeloom.plans.durable import counted, measured, stored, tables
 from treeloom.sources import newick
-from treeloom.sources.trees import write_newick
+from treeloom.sources.trees import newick_tokens, write_newick
 
 TEXTS = [
     "((a:1,b:2)x:1,(c:1,d:2)y:3)r;", "only;", "(a[note, (x)]:1e-3,b);", "('it''s, (so)':0.25,'x y':0.0,(p:0.5,q:0.5):1.0);", "(,(,));", "((((A)B)C)D)E;",
@@ -307,3 +307,17 @@ def test_a_deep_tree_takes_few_jobs(spark):
         return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"chain{n}"))
 
     assert jobs(5000) <= jobs(50) + 4
+
+
+def test_text_of_a_large_tree_takes_few_jobs(spark):
+    """The order of the pieces is a sum along their list, whose rounds do not grow with the tree."""
+    def jobs(n):
+        rows = spark.range(n).selectExpr("concat('n', lpad(id, 6, '0')) AS node", "if(id > 0, 'n000000', null) AS parent", "cast(null AS string) AS name", "1.0D AS length")
+        spark.sparkContext.setJobGroup(f"text{n}", "")
+        try:
+            assert newick_tokens(stored(rows)).count() == n + 1
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"text{n}"))
+
+    assert jobs(4000) <= jobs(40) + 4

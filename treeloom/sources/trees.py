@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treeloom.kernels.tree import Tree
+from treeloom.operators.clades import folded_up
 from treeloom.operators.ranking import ranked
 from treeloom.plans.durable import stored
 
@@ -20,8 +21,9 @@ def newick_tokens(nodes: DataFrame, lengths: bool = True) -> DataFrame:
 
     The pieces form a list, each of which knows the next one: a node's opening is
     followed by its first child, its end by its next sibling's opening or its
-    parent's end. Pointers double until every piece knows how many follow, so
-    that no task holds the tree, however deep or wide it is.
+    parent's end. How many pieces follow each is a sum along the list, by ranges
+    of names (``clades.folded_up``), so that no task holds the tree, however
+    deep or wide it is.
     """
     rows = stored(ranked(nodes.select("node", "parent", "name", "length"), ["parent"], ["node"], "nth"))
     kids = rows.where("parent IS NOT NULL").select(F.col("parent").alias("_of"), "nth", F.col("node").alias("_kid"))
@@ -39,13 +41,9 @@ def newick_tokens(nodes: DataFrame, lengths: bool = True) -> DataFrame:
     leaf = linked.where("_first IS NULL").select(piece("o", F.col("node")).alias("piece"), "next", F.concat("comma", "label").alias("text"))
     opens = linked.where("_first IS NOT NULL").select(piece("o", F.col("node")).alias("piece"), piece("o", F.col("_first")).alias("next"), F.concat("comma", F.lit("(")).alias("text"))
     ends = linked.where("_first IS NOT NULL").select(piece("c", F.col("node")).alias("piece"), "next", F.concat(F.lit(")"), "label").alias("text"))
-    pieces = stored(leaf.union(opens).union(ends))
-    total = pieces.count()
-    at = stored(pieces.select("piece", "next", F.when(F.col("next").isNull(), 0).otherwise(1).cast("long").alias("left")))
-    while not at.where("next IS NOT NULL").isEmpty():
-        on = at.select(F.col("piece").alias("_piece"), F.col("next").alias("_then"), F.col("left").alias("_left"))
-        at = stored(at.join(on, F.col("next") == F.col("_piece"), "left").select("piece", F.col("_then").alias("next"), (F.col("left") + F.coalesce("_left", F.lit(0))).alias("left")))
-    return pieces.select("piece", "text").join(at.select("piece", "left"), "piece").select((F.lit(total - 1) - F.col("left")).alias("at"), "text")
+    pieces = leaf.union(opens).union(ends).select(F.col("piece").alias("node"), F.col("next").alias("up"), F.when(F.col("next").isNull(), 0).otherwise(1).cast("long").alias("x"), "text")
+    at = folded_up(pieces, "sum")  # how many pieces follow
+    return at.select((F.lit(at.count() - 1) - F.col("all")).alias("at"), "text")
 
 
 def write_newick(nodes: DataFrame, path: str, lengths: bool = True, compression: str = "none") -> None:
