@@ -321,3 +321,16 @@ def test_text_of_a_large_tree_takes_few_jobs(spark):
         return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"text{n}"))
 
     assert jobs(4000) <= jobs(40) + 4
+
+
+def test_sums_below_a_deep_tree_take_few_jobs(spark):
+    def jobs(n):
+        tree = stored(spark.range(n).selectExpr("concat('n', lpad(id, 6, '0')) AS node", "if(id > 0, concat('n', lpad(id - 1, 6, '0')), null) AS parent", "1 AS cnt"))
+        spark.sparkContext.setJobGroup(f"sums{n}", "")
+        try:
+            assert clades.subtree_counts(tree.select("node", "parent"), tree.select("node", "cnt")).agg(F.max("n")).first()[0] == n
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"sums{n}"))
+
+    assert jobs(4000) <= jobs(40) + 4
