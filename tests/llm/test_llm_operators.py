@@ -547,6 +547,51 @@ def test_toxicity_sample_is_bounded_and_settled(spark, make_docs):
     assert toxicity.train(docs, labels, chars=0).constant == 0.5
 
 
+def test_toxicity_learns_from_every_label(spark, make_docs):
+    """A word of the toxic rows of largest hash counts, in one block and in many."""
+    rng = random.Random(30)
+    ids = [r.id for r in spark.range(3300).select("id", F.xxhash64(F.lit(23), "id").alias("h")).orderBy("h").collect()]
+    rows = [(i, prose(rng, 8) + (" foul " if k < 3000 else " gruesome ") + prose(rng, 8)) for k, i in enumerate(ids)]
+    rows += [(i, prose(rng, 17)) for i in range(3300, 6600)]
+    docs, labels = make_docs(rows), spark.range(6600).selectExpr("id AS doc_id", "int(id < 3300) AS toxic")
+    asked = make_docs([(i, prose(rng, 8) + word + prose(rng, 8)) for i, word in enumerate([" foul ", " gruesome ", " "] * 20)])
+    for size in (8000, 700):
+        got = {r.doc_id: r.predicted for r in toxicity.score(asked, toxicity.train(docs, labels, rows=size)).collect()}
+        assert sum(got[i] == int(i % 3 < 2) for i in range(60)) >= 57
+
+
+def test_toxicity_blocks_do_not_depend_on_files(spark, make_docs):
+    rng = random.Random(31)
+    docs = make_docs([(i, prose(rng, 20) + (" foul" if i % 3 == 0 else ""), "en" if i % 2 else "de") for i in range(400)])
+    labels = spark.range(400).selectExpr("id AS doc_id", "int(id % 3 = 0) AS toxic")
+    a = toxicity.train(docs, labels, rows=60, steps=0)
+    b = toxicity.train(docs.repartition(7), labels.repartition(3), rows=60, steps=0)
+    assert np.array_equal(a.out, b.out) and np.array_equal(a.embed, b.embed) and a.out_bias == b.out_bias
+    assert a.thresholds == b.thresholds and set(a.thresholds) == {"de", "en"}
+
+
+def test_cuts_against_every_threshold(spark):
+    rng = random.Random(32)
+    rows = [(of, rng.randrange(12) / 16, rng.randrange(2)) for of in "ab" for _ in range(40)]
+    got = {r["of"]: r for r in toxicity.best_cuts(spark.createDataFrame(rows, "of string, score double, toxic int")).collect()}
+    for of in "ab":
+        mine = [(s, t) for o, s, t in rows if o == of]
+        f1 = lambda cut: 2 * sum(t for s, t in mine if s >= cut) / (sum(s >= cut for s, _ in mine) + sum(t for _, t in mine))  # noqa: B023, E731
+        top = max({s for s, _ in mine}, key=lambda s: (f1(s), s))
+        below = max((s for s, _ in mine if s < top), default=0)
+        assert (got[of]["n"], got[of]["toxic"], got[of]["cut"]) == (40, sum(t for _, t in mine), (top + below) / 2)
+
+
+def test_long_texts_are_learned_in_runs(monkeypatch):
+    rng = np.random.default_rng(9)
+    docs = [rng.integers(0, toxicity.BUCKETS, (n, 3)).astype(np.int32) for n in (1, 2, 63, 64, 65, 66, 200, 7)]
+    model = toxicity.blank(rng)
+    whole = toxicity._peaks(model, docs)
+    monkeypatch.setattr(toxicity, "RUN", 64)
+    runs = toxicity._peaks(model, docs)
+    assert np.allclose(whole[0], runs[0], atol=1e-5) and (whole[1] == runs[1]).mean() > 0.99
+
+
 # -- op10 ----------------------------------------------------------------------------
 
 PAGE = """<html><head><title>T</title><script>x("<p>no</p>")</script></head><body class="no-sidebar"><header>Site</header><nav><a href=x>Home</a></nav>
