@@ -334,3 +334,21 @@ def test_sums_below_a_deep_tree_take_few_jobs(spark):
         return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"sums{n}"))
 
     assert jobs(4000) <= jobs(40) + 4
+
+
+def test_sums_over_ranges_of_sampled_bounds(spark, monkeypatch):
+    """The sums of a range's second visit belong to the ranges of its first."""
+    monkeypatch.setattr(clades, "RANGE_ROWS", 1500)
+    n, name = 30_000, lambda i: f"n{i * 7919 % 30_011:05d}"
+    parent = {i: (i - 1) // 3 for i in range(1, n)}
+    want = [1] * n
+    for i in range(n - 1, 0, -1):
+        want[parent[i]] += want[i]
+    rows = [(name(i), name(parent[i]) if i else None, 1) for i in range(n)]
+    tree = stored(spark.createDataFrame(rows, "node string, parent string, cnt int").repartition(8))
+    got = {r.node: r.n for r in clades.subtree_counts(tree.select("node", "parent"), tree.select("node", "cnt")).collect()}
+    assert got == {name(i): want[i] for i in range(n)}
+    near = [(f"n{i:05d}", f"n{(i - 1) // 3:05d}" if i else None, 1) for i in range(n)]
+    tree = stored(spark.createDataFrame(near, "node string, parent string, cnt int").repartition(8))
+    got = {r.node: r.n for r in clades.subtree_counts(tree.select("node", "parent"), tree.select("node", "cnt")).collect()}
+    assert got == {f"n{i:05d}": want[i] for i in range(n)}

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,11 +50,14 @@ _FOLDS = {
 
 def _within(rows: DataFrame, n: int, kind: str) -> DataFrame:
     """``rows`` (node, up, x, ...) by ranges of nodes, with ``all``, x folded over what of a node's range lies above it
-    (``down``: summed over what lies below), the range's highest node above it, ``_root``, and the one above that, ``_out``."""
+    (``down``: summed over what lies below), the range's highest node above it, ``_root``, the one above that, ``_out``,
+    and the range's number, ``_range``. Spark draws the ranges' bounds from a sample, each time anew: rows that have a
+    ``_range`` stay in it."""
     parts = -(-n // RANGE_ROWS)
-    dealt = rows.repartitionByRange(parts, "node") if parts > 1 else rows.repartition(1)
+    again = "_range" in rows.columns
+    dealt = rows.repartitionById(parts, F.col("_range")) if again else rows.repartitionByRange(parts, "node") if parts > 1 else rows.repartition(1)
     fields = {f.name: f.dataType for f in rows.schema.fields}
-    schema = T.StructType([*rows.schema.fields, T.StructField("all", fields["x"]), T.StructField("_root", fields["node"]), T.StructField("_out", fields["up"])])
+    schema = T.StructType([*rows.schema.fields, T.StructField("all", fields["x"]), T.StructField("_root", fields["node"]), T.StructField("_out", fields["up"]), *([] if again else [T.StructField("_range", T.IntegerType())])])
     fold = None if kind == "down" else _FOLDS[kind][0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,6 +66,9 @@ def _within(rows: DataFrame, n: int, kind: str) -> DataFrame:
             return
         t = pa.Table.from_batches(held).combine_chunks()
         at = pc.fill_null(pc.index_in(t["up"], value_set=t["node"].combine_chunks()), -1).to_numpy().astype(np.int64)
+        if again:  # a task may get several ranges
+            of = t["_range"].to_numpy()
+            at = np.where((at >= 0) & (of[at] == of), at, -1)
         x = np.array(t["x"].to_pandas())
         root = np.where(at >= 0, at, np.arange(len(at)))
         for _ in range(64):
@@ -81,6 +88,8 @@ def _within(rows: DataFrame, n: int, kind: str) -> DataFrame:
             raise ValueError("a node of the tree lies above itself")
         for name, column in (("all", pa.array(x, t["x"].type, from_pandas=True)), ("_root", t["node"].take(pa.array(root))), ("_out", t["up"].take(pa.array(root)))):
             t = t.append_column(name, column)
+        if not again:
+            t = t.append_column("_range", pa.array(np.full(len(at), TaskContext.get().partitionId(), np.int32)))
         yield from t.to_batches(max_chunksize=10_000)
 
     return dealt.mapInArrow(run, schema)
@@ -136,7 +145,7 @@ def _summed(start: DataFrame) -> DataFrame:
     names = [*start.columns, "all"]
     with tables(start.sparkSession) as work:
         rows, n = counted(start)
-        at = stored(_within(rows, n, "down").select(*names, *(["_root"] if n > RANGE_ROWS else [])))
+        at = stored(_within(rows, n, "down").select(*names, *(["_root", "_range"] if n > RANGE_ROWS else [])))
         work.drop(rows)
         if n > RANGE_ROWS:
             tops, m = counted(at.where("node = _root AND up IS NOT NULL").select("node", F.col("up").alias("_port"), F.col("all").alias("x")))
