@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from treeloom.llm import decontaminate, html_extract, license_scan, line_dedup, near_dedup, packing, quality_rules, sharding, toxicity, url_filter
+from treeloom.operators import ranking
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 VOCAB = [f"w{i}" for i in range(4000)]
@@ -582,6 +583,15 @@ def test_cuts_against_every_threshold(spark):
         assert (got[of]["n"], got[of]["toxic"], got[of]["cut"]) == (40, sum(t for _, t in mine), (top + below) / 2)
 
 
+def test_cuts_of_more_scores_than_a_window_takes(spark, monkeypatch):
+    rng = random.Random(33)
+    rows = [(of, rng.random(), rng.randrange(2)) for of, n in (("", 300), ("en", 80), ("de", 10)) for _ in range(n)]
+    scored = spark.createDataFrame(rows, "of string, score double, toxic int")
+    want = sorted(toxicity.best_cuts(scored).collect())
+    monkeypatch.setattr(ranking, "WINDOW_ROWS", 50)
+    assert sorted(toxicity.best_cuts(scored).collect()) == want and len(want) == 3
+
+
 def test_long_texts_are_learned_in_runs(monkeypatch):
     rng = np.random.default_rng(9)
     docs = [rng.integers(0, toxicity.BUCKETS, (n, 3)).astype(np.int32) for n in (1, 2, 63, 64, 65, 66, 200, 7)]

@@ -102,6 +102,19 @@ def test_running_sums_and_last_values(spark, size):
     assert running(df.limit(0), ["g"], ["i"], {"total": F.col("x")}).count() == 0
 
 
+@pytest.mark.parametrize("g", ["of", "at", "block", "n"])
+def test_groups_of_any_name_by_ranges(spark, monkeypatch, g):
+    monkeypatch.setattr(ranking, "WINDOW_ROWS", 20)
+    rows = [(k, i) for i in range(90) for k in (["a", "b", None] if i < 10 else ["a", "b"] if i < 50 else ["a"])]
+    df = spark.createDataFrame(rows, f"{g} string, x long").repartition(3)
+    got = {(r[g], r.x): (r.total, r.seen) for r in running(df, [g], [F.desc("x")], {"total": F.col("x")}, {"seen": F.when(F.col("x") % 7 == 0, F.col("x"))}).collect()}
+    assert len(got) == len(rows)
+    for k, x in rows:
+        above = [y for of, y in rows if of == k and y >= x]
+        assert got[k, x] == (sum(above), min((y for y in above if y % 7 == 0), default=None))
+    assert {(r[g], r.x): r["rank"] for r in ranked(df, [g], ["x"]).collect()} == {(k, x): x for k, x in rows}
+
+
 def test_common_ancestors_of_random_trees(spark, size):
     rng = random.Random(5)
     tree = _random_tree(rng, 400)

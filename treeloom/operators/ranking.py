@@ -21,8 +21,17 @@ def _dealt(rows: DataFrame, by: list[str], order: list[Column | str]) -> DataFra
     return stored(dealt).withColumn("_rk_block", F.shiftrightunsigned("_rk_at", 33))
 
 
-def _same(by: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_rk_{c}")) for c in by], F.col("_rk_block") == F.col("_rk_of"))
+def _named(by: list[str]) -> list[Column]:
+    """A group's columns beside its rows, named by their places, so that no caller's name meets one of these."""
+    return [F.col(c).alias(f"_rk_by{i}") for i, c in enumerate(by)]
+
+
+def _same(by: list[str], *more: Column) -> Column:
+    return reduce(lambda a, b: a & b, [*more, *[F.col(c).eqNullSafe(F.col(f"_rk_by{i}")) for i, c in enumerate(by)]])
+
+
+def _same_range(by: list[str]) -> Column:
+    return _same(by, F.col("_rk_block") == F.col("_rk_of"))
 
 
 def _earlier(by: list[str]) -> Window:
@@ -31,12 +40,11 @@ def _earlier(by: list[str]) -> Window:
 
 def _large(rows: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame | None]:
     """``rows`` of groups that one window may sort each, and of those larger than WINDOW_ROWS, if there are any."""
-    big, m = counted(rows.groupBy(*by).agg(F.count("*").alias("_rk_n")).where(F.col("_rk_n") > WINDOW_ROWS).select(*[F.col(c).alias(f"_rk_{c}") for c in by]))
+    big, m = counted(rows.groupBy(*by).agg(F.count("*").alias("_rk_n")).where(F.col("_rk_n") > WINDOW_ROWS).select(*_named(by)))
     if not m:
         return rows, None
-    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_rk_{c}")) for c in by])
     big = broadcast_if_small(big, m)
-    return rows.join(big, same, "left_anti"), rows.join(big, same, "left_semi")
+    return rows.join(big, _same(by), "left_anti"), rows.join(big, _same(by), "left_semi")
 
 
 def ranked(df: DataFrame, by: list[str], order: list[Column | str], out: str = "rank") -> DataFrame:
@@ -63,8 +71,8 @@ def _ranked_dealt(df: DataFrame, by: list[str], order: list[Column | str], out:
     dealt = _dealt(rows, by, order)
     heads = dealt.groupBy(*by, "_rk_block").agg(F.min("_rk_at").alias("_rk_first"), F.count("*").alias("_rk_n"))
     before = F.coalesce(F.sum("_rk_n").over(_earlier(by)), F.lit(0))
-    heads, m = counted(heads.select(*[F.col(c).alias(f"_rk_{c}") for c in by], F.col("_rk_block").alias("_rk_of"), (before - F.col("_rk_first")).alias("_rk_shift")))
-    return dealt.join(broadcast_if_small(heads, m), _same(by)).select(*df.columns, (F.col("_rk_at") + F.col("_rk_shift")).alias(out))
+    heads, m = counted(heads.select(*_named(by), F.col("_rk_block").alias("_rk_of"), (before - F.col("_rk_first")).alias("_rk_shift")))
+    return dealt.join(broadcast_if_small(heads, m), _same_range(by)).select(*df.columns, (F.col("_rk_at") + F.col("_rk_shift")).alias(out))
 
 
 def running(df: DataFrame, by: list[str], order: list[Column | str], sums: dict[str, Column] | None = None, last: dict[str, Column] | None = None) -> DataFrame:
@@ -98,8 +106,8 @@ def _running_dealt(rows: DataFrame, by: list[str], order: list[Column | str], su
     heads = dealt.groupBy(*by, "_rk_block").agg(*[F.sum(k).alias(k) for k in sums], *[c.alias(k) for k, c in final.items()])
     w = _earlier(by)
     carried = [*[F.coalesce(F.sum(k).over(w), F.lit(0)).alias(f"_rk_sum_{k}") for k in sums], *[F.last(k, ignorenulls=True).over(w).alias(f"_rk_last_{k}") for k in last]]
-    heads, m = counted(heads.select(*[F.col(c).alias(f"_rk_{c}") for c in by], F.col("_rk_block").alias("_rk_of"), *carried))
+    heads, m = counted(heads.select(*_named(by), F.col("_rk_block").alias("_rk_of"), *carried))
     inside = dealt.withColumns(here(Window.partitionBy(*by, "_rk_block").orderBy("_rk_at").rowsBetween(Window.unboundedPreceding, 0)))
-    both = inside.join(broadcast_if_small(heads, m), _same(by))
+    both = inside.join(broadcast_if_small(heads, m), _same_range(by))
     kept = [c for c in rows.columns if c not in sums and c not in last]
     return both.select(*kept, *[(F.col(k) + F.col(f"_rk_sum_{k}")).alias(k) for k in sums], *[F.coalesce(k, f"_rk_last_{k}").alias(k) for k in last])
